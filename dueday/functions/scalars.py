@@ -132,7 +132,7 @@ def pos_dpd30(dpd: Column | str, dpd_def: Column | str) -> Column:
 
 
 def apply_threshold(score: Column | str, threshold: Column | float) -> Column:
-    return (_c(score) >= threshold).cast("int")
+    return (_c(score) >= (F.lit(threshold) if isinstance(threshold, float) else threshold)).cast("int")
 
 
 def strip_prefix(name: Column | str) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..schemas import (
     APPLICATION_NUMERIC,
     BUREAU_FEATURES,
@@ -16,7 +15,7 @@ from ..schemas import (
     SNAPSHOT_KEYS,
 )
 from .labels import dpd_day_table, missed_flag
-from .skew import HOT_ROWS, hot_keys, lookup
+from .skew import HOT_ROWS, HotKeys, hot_keys, lookup
 from .timeline import PIECE, PIECE_SOURCE, borrower_timeline
 
 FEATURES = [*HISTORY_FEATURES, *APPLICATION_NUMERIC, *SLICE_COLS, *PREVIOUS_FEATURES, *BUREAU_FEATURES]
@@ -45,7 +44,7 @@ def join_history_1to1(snapshots: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def join_entity_features(
-    snapshots: DataFrame, entity: DataFrame, hot: DataFrame | None = None, limit: int = HOT_ROWS
+    snapshots: DataFrame, entity: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS
 ) -> DataFrame:
     """Many snapshots to one borrower row; hot borrowers are spread by snapshot."""
     return lookup(snapshots, entity, ENTITY, ["snapshot_id"], hot, limit)
@@ -63,7 +62,7 @@ def model_table(
     events: DataFrame,
     pos: DataFrame,
     entity: DataFrame,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
     window_days: int = 90,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
@@ -74,21 +73,14 @@ def model_table(
     per piece of a hot borrower and join on (borrower, piece), the partitioning
     the windows already have, so the big side is not shuffled for them.
     """
-    if hot is None:
-        hot = hot_keys(events, ENTITY, limit)
+    hot = hot_keys(events, ENTITY, limit) if hot is None else hot
     timeline = borrower_timeline(events, hot).select(
         *SNAPSHOT_KEYS,
         *PIECE,
         *HISTORY_FEATURES,
         F.when(F.col("next_DAYS_INSTALMENT").isNotNull(), missed_flag()).alias("missed_upcoming_emi"),
     )
-    pieces = (
-        events.join(F.broadcast(hot.select(ENTITY)), ENTITY, "left_semi")
-        .select(ENTITY, *[F.col(c).alias(p) for c, p in zip(PIECE_SOURCE, PIECE)])
-        .distinct()
-    )
-    spread = entity.join(pieces, ENTITY, "left").fillna(0, subset=PIECE)
-    wide = timeline.join(spread, [ENTITY, *PIECE], "left").drop(*PIECE)
+    wide = timeline.join(_spread_over_pieces(entity, events, hot), [ENTITY, *PIECE], "left").drop(*PIECE)
     days = dpd_day_table(events, pos, window_days).select(
         ENTITY,
         F.col("day").alias("snapshot_day"),
@@ -102,6 +94,18 @@ def model_table(
     )
 
 
+def _spread_over_pieces(entity: DataFrame, events: DataFrame, hot: HotKeys) -> DataFrame:
+    """Borrower rows, once per piece for hot borrowers."""
+    if not hot:
+        return entity.withColumns({piece: F.lit(0) for piece in PIECE})
+    pieces = (
+        events.join(hot.keys(), ENTITY, "left_semi")
+        .select(ENTITY, *[F.col(c).alias(p) for c, p in zip(PIECE_SOURCE, PIECE)])
+        .distinct()
+    )
+    return entity.join(pieces, ENTITY, "left").fillna(0, subset=PIECE)
+
+
 def target_rows(model: DataFrame, target: str) -> DataFrame:
     """The model table of one target: rows where its label is defined."""
     other = {"missed_upcoming_emi": "future_dpd30", "future_dpd30": "missed_upcoming_emi"}[target]
@@ -115,8 +119,6 @@ def interval_exists(
 
     Both sides are reduced to distinct (key, day) before the range window.
     """
-    from pyspark.sql import Window
-
     probe = rows.select(key, F.col(day).alias("day"), F.lit(0).alias("hit"), F.lit(1).alias("probe"))
     marks = flagged.select(key, F.col(day).alias("day"), F.lit(1).alias("hit"), F.lit(0).alias("probe"))
     merged = probe.unionByName(marks).groupBy(key, "day").agg(
@@ -135,7 +137,7 @@ def interval_exists(
 
 def entity_max_back(
     df: DataFrame, value: str, name: str, key: str = ENTITY, spread_by: list[str] | None = None,
-    hot: DataFrame | None = None, limit: int = HOT_ROWS,
+    hot: HotKeys | None = None, limit: int = HOT_ROWS,
 ) -> DataFrame:
     """The key's maximum beside every row."""
     best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(name))

@@ -74,6 +74,7 @@ def missing_summary(df: DataFrame, table_name: str, dtypes: bool = False) -> Dat
         F.lit(table_name).alias("table_name"),
         "column_name",
         "missing_count",
+        (F.col("total_rows") - F.col("missing_count")).alias("present_count"),
         S.safe_ratio("missing_count", "total_rows").alias("missing_pct"),
     )
     if dtypes:

@@ -64,12 +64,8 @@ def running_totals(
     ).drop("part", *[f"before_{c}" for c in totals])
 
 
-def pr_curve(df: DataFrame, by: Sequence[str], score: str = "y_prob", label: str = "label") -> DataFrame:
-    """Precision and recall at every distinct score, with the counts behind them.
-
-    ``tp``/``fp`` are the counts at the score, ``cum_tp``/``cum_fp`` at or above it.
-    """
-    counts = score_counts(df, by, score, label)
+def curve_from_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Curve from one row per (group, score); group columns must not be NULL."""
     curve = running_totals(counts, by, [F.desc("score")], {"tp": "cum_tp", "fp": "cum_fp"})
     return curve.withColumnsRenamed({"all_cum_tp": "positives", "all_cum_fp": "negatives"}).withColumns(
         {
@@ -79,10 +75,20 @@ def pr_curve(df: DataFrame, by: Sequence[str], score: str = "y_prob", label: str
     )
 
 
+def pr_curve(df: DataFrame, by: Sequence[str], score: str = "y_prob", label: str = "label") -> DataFrame:
+    """Precision and recall at every distinct score, with the counts behind them.
+
+    ``tp``/``fp`` are the counts at the score, ``cum_tp``/``cum_fp`` at or above it.
+    """
+    return curve_from_counts(score_counts(df, by, score, label), by)
+
+
 def roc_auc_of() -> Column:
     """Area under the ROC curve, half credit for ties; NULL with one class only."""
     area = F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / F.lit(2.0)))
-    return area / F.nullif(F.max("positives") * F.max("negatives"), F.lit(0))
+    # as doubles: the product of two row counts can exceed a bigint
+    pairs = F.max("positives").cast("double") * F.max("negatives").cast("double")
+    return area / F.nullif(pairs, F.lit(0.0))
 
 
 def average_precision_of() -> Column:
@@ -114,7 +120,7 @@ def best_f1_threshold(df: DataFrame, by: Sequence[str], score: str = "y_prob", l
     return best_f1_of(pr_curve(df, by, score, label), by)
 
 
-def quantile_rank(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def exact_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact median of each group: distinct values counted, then ranked in even parts."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("copies"))
     ranked = running_totals(counts, by, [F.col(value)], {"copies": "upto"})

@@ -3,29 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is hot. At most rows/HOT_ROWS keys can be, so
-# the list of hot keys is small enough to broadcast: 100 billion rows give at
-# most 100,000 of them.
+# A key with more rows than this is hot. At most rows / HOT_ROWS keys can be:
+# 100 billion rows have at most 100,000 hot keys, a few megabytes.
 HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
-    """(key, pieces) for keys with more than ``limit`` rows.
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys with more than ``limit`` rows, and how many pieces to cut each into."""
 
-    Only the key column is scanned and counts are combined before the shuffle.
-    ``pieces`` is how many tasks the rows of the key should be spread over.
+    key: str
+    frame: DataFrame
+    count: int
+
+    def __bool__(self) -> bool:
+        return self.count > 0
+
+    def keys(self) -> DataFrame:
+        return F.broadcast(self.frame.select(self.key))
+
+
+def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys:
+    """Count rows per key and keep the hot ones.
+
+    This runs one job now: it scans the key column only and combines counts
+    before the shuffle. Knowing the answer keeps the plans simple, because
+    without hot keys no plan needs a second path.
     """
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("key_rows"))
-        .where(F.col("key_rows") > limit)
-        .select(key, F.ceil(F.col("key_rows") / F.lit(limit)).cast("int").alias("pieces"))
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
+    hot = counted.where(F.col("key_rows") > limit).select(
+        key, F.ceil(F.col("key_rows") / F.lit(limit)).cast("int").alias("pieces")
     )
+    rows = hot.collect()  # at most rows / limit of them
+    return HotKeys(key, df.sparkSession.createDataFrame(rows, hot.schema), len(rows))
 
 
 def lookup(
@@ -33,7 +48,7 @@ def lookup(
     right: DataFrame,
     key: str,
     spread_by: Sequence[str],
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join to a table with one row per ``key``, safe for hot keys.
@@ -42,23 +57,17 @@ def lookup(
     ``spread_by``; its single right row is repeated once per piece, which adds
     at most 2 * rows / limit rows to the right side.
     """
-    if hot is None:
-        hot = hot_keys(left, key, limit)
-    hot = F.broadcast(hot.select(key, F.col("pieces").alias("_pieces")))
-    spread_left = (
-        left.join(hot, key, "left")
-        .withColumn(
-            "_piece",
-            F.when(
-                F.col("_pieces").isNotNull(),
-                F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int"),
-            ).otherwise(F.lit(0)),
-        )
-        .drop("_pieces")
+    hot = hot_keys(left, key, limit) if hot is None else hot
+    if not hot:
+        return left.join(right, key, "left")
+    pieces = F.broadcast(hot.frame.select(key, F.col("pieces").alias("_pieces")))
+    by_hash = F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int")
+    spread_left = left.join(pieces, key, "left").withColumn("_piece", F.coalesce(by_hash, F.lit(0)))
+    spread_right = right.join(pieces, key, "left").withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
     )
-    spread_right = (
-        right.join(hot, key, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)))
-        .drop("_pieces")
+    return (
+        spread_left.drop("_pieces")
+        .join(spread_right.drop("_pieces"), [key, "_piece"], "left")
+        .drop("_piece")
     )
-    return spread_left.join(spread_right, [key, "_piece"], "left").drop("_piece")

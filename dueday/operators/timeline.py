@@ -5,8 +5,8 @@ The events of an ordinary borrower are one window partition. A hot borrower
 instalment number, so no task ever holds all of its events. Each piece is
 computed on its own and then corrected with a *carry*: what the earlier pieces
 hand over (row offset, running counts, the last six events) and the first event
-of the next piece. The carry has one row per piece of a hot borrower and is
-empty when nobody is hot.
+of the next piece. The carry has one row per piece of a hot borrower; when
+nobody is hot there is no carry and the plan is a single shuffle and sort.
 
 The big side is shuffled once, on (borrower, piece); the carry join uses the
 same keys and adds no second shuffle of it.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import ENTITY, EVENT_ORDER, HISTORY_FEATURES, SNAPSHOT_KEYS
-from .skew import HOT_ROWS, hot_keys
+from .skew import HOT_ROWS, HotKeys, hot_keys
 
 PIECE = ["piece_day", "piece_number"]
 PIECE_SOURCE = ["DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER"]
@@ -68,9 +68,11 @@ def behaviour_flags(events: DataFrame) -> DataFrame:
     )
 
 
-def split_hot(events: DataFrame, hot: DataFrame) -> DataFrame:
+def split_hot(events: DataFrame, hot: HotKeys) -> DataFrame:
     """Add the piece columns: (0, 0) for ordinary borrowers, order columns for hot ones."""
-    tagged = events.join(F.broadcast(hot.select(ENTITY, F.lit(True).alias("is_hot"))), ENTITY, "left")
+    if not hot:
+        return events.withColumns({piece: F.lit(0) for piece in PIECE})
+    tagged = events.join(hot.keys().withColumn("is_hot", F.lit(True)), ENTITY, "left")
     return tagged.withColumns(
         {
             piece: F.when(F.col("is_hot"), F.col(source)).otherwise(F.lit(0))
@@ -176,45 +178,53 @@ def piece_carry(hot_rows: DataFrame) -> DataFrame:
     )
 
 
-def borrower_timeline(events: DataFrame, hot: DataFrame | None = None, limit: int = HOT_ROWS) -> DataFrame:
+def borrower_timeline(events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS) -> DataFrame:
     """Snapshots with next-event columns and the 15 history features in one pass.
 
     Callers select what they need; Catalyst drops the unused windows. Every
     feature looks strictly before its row, so a borrower's first row has no
-    history. ``hot`` may come from any table with at least as many rows per
+    history. ``hot`` may be counted on any table with at least as many rows per
     borrower, such as the raw payments.
     """
-    if hot is None:
-        hot = hot_keys(events, ENTITY, limit)
+    hot = hot_keys(events, ENTITY, limit) if hot is None else hot
     flagged = behaviour_flags(split_hot(events.select(*EVENT_COLS), hot))
-    rows = _in_piece(flagged).join(piece_carry(flagged.where("is_hot")), [ENTITY, *PIECE], "left")
+    rows = _in_piece(flagged)
+    if hot:
+        rows = rows.join(piece_carry(flagged.where("is_hot")), [ENTITY, *PIECE], "left")
 
+    def carried(name: str) -> list[Column]:
+        return [F.col(name)] if hot else []
+
+    zero = F.lit(0)
     seen = F.col("rn") - 1
-    ordinal = seen + F.coalesce("offset", F.lit(0))
+    offset = F.coalesce(*carried("offset"), zero)
+    ordinal = seen + offset
 
-    def plus(inside: str, carried: str) -> Column:
-        return F.coalesce(F.col(inside), F.lit(0)) + F.coalesce(F.col(carried), F.lit(0))
+    def plus(inside: str, prior: str) -> Column:
+        return sum((F.coalesce(c, zero) for c in carried(prior)), F.coalesce(F.col(inside), zero))
 
-    def rolling(inside: str, carried: str, n: int) -> Column:
+    def rolling(inside: str, prior: str, n: int) -> Column:
         # the first n rows of a piece reach back into the carried events
-        from_carry = F.when(seen < n, F.get(F.col(carried), F.lit(n - 1) - seen))
-        return F.coalesce(F.col(inside), F.lit(0)) + F.coalesce(from_carry, F.lit(0))
+        reach = [F.coalesce(F.when(seen < n, F.get(c, F.lit(n - 1) - seen)), zero) for c in carried(prior)]
+        return sum(reach, F.coalesce(F.col(inside), zero))
 
     def streak(f: str) -> Column:
-        inside = F.coalesce("offset", F.lit(0)) + F.col(f"{f}_break")
-        return ordinal - F.coalesce(inside, F.col(f"prior_{f}_break"), F.lit(0))
+        return ordinal - F.coalesce(offset + F.col(f"{f}_break"), *carried(f"prior_{f}_break"), zero)
+
+    following = F.coalesce(F.col("next"), *carried("next_head"))
 
-    following = F.coalesce(F.col("next"), F.col("next_head"))
-    recent = F.when(seen == 0, F.struct(*[F.col("prior_event")[c].alias(c) for c in (
-        "aggregated_payment_delay_days", "payment_ratio")])).otherwise(F.col("recent"))
+    def recent(field: str) -> Column:
+        return F.coalesce(*[F.when(seen == 0, c[field]) for c in carried("prior_event")], F.col("recent")[field])
 
     features: dict[str, Column] = {
         "hist_total_installments": ordinal.cast("int"),
         **{name: plus(f"{f}_sum", f"prior_{f}_sum").cast("int") for name, f in COUNTED.items()},
         "hist_delay_mean": S.safe_ratio(plus("delay_sum", "prior_delay_sum"), ordinal),
-        "hist_delay_max": F.greatest("delay_max", "prior_delay_max").cast("double"),
-        "hist_recent_delay": recent["aggregated_payment_delay_days"].cast("double"),
-        "hist_recent_payment_ratio": recent["payment_ratio"],
+        "hist_delay_max": F.greatest(F.col("delay_max"), *(carried("prior_delay_max") or [F.col("delay_max")])).cast(
+            "double"
+        ),
+        "hist_recent_delay": recent("aggregated_payment_delay_days").cast("double"),
+        "hist_recent_payment_ratio": recent("payment_ratio"),
         **{name: streak(f).cast("int") for name, f in STREAKS.items()},
     }
     for n in ROLLING:
@@ -237,11 +247,11 @@ def borrower_timeline(events: DataFrame, hot: DataFrame | None = None, limit: in
     )
 
 
-def build_snapshots(events: DataFrame, hot: DataFrame | None = None, limit: int = HOT_ROWS) -> DataFrame:
+def build_snapshots(events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS) -> DataFrame:
     """One row per (borrower, event) with the following event beside it."""
     return borrower_timeline(events, hot, limit).drop(*HISTORY_FEATURES, *PIECE)
 
 
-def installment_history(events: DataFrame, hot: DataFrame | None = None, limit: int = HOT_ROWS) -> DataFrame:
+def installment_history(events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS) -> DataFrame:
     """Snapshot keys and the 15 leakage-safe history features."""
     return borrower_timeline(events, hot, limit).select(*SNAPSHOT_KEYS, *HISTORY_FEATURES)

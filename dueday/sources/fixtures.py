@@ -7,8 +7,18 @@ difference is spelled differently, at ``{DD}``.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import apply_threshold
+from ..operators.assemble import threshold_lookup
+from ..operators.clean import collapse_events
+from ..operators.labels import filter_has_next, missed_flag
+from ..operators.skew import HotKeys, hot_keys, lookup
+from ..operators.timeline import build_snapshots
+from ..schemas import ENTITY, SLICE_COLS
 
 SPARK_DD = "datediff(CAST(o_orderdate AS DATE), DATE '2002-06-01')"
 DUCK_DD = "date_diff('day', DATE '2002-06-01', CAST(o_orderdate AS DATE))"
@@ -84,7 +94,7 @@ SELECT 'missed_upcoming_emi' AS target, s.model, s.SK_ID_CURR, s.ord, s.snapshot
 FROM fx_scored s LEFT JOIN fx_application a ON s.SK_ID_CURR = a.SK_ID_CURR""",
 }
 
-# The reference's table names over the raw-shaped views.
+# Raw table names over the raw-shaped views.
 RAW_VIEWS = {
     "application_train": "fx_application",
     "installments_payments": "fx_installments",
@@ -114,7 +124,59 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _view(self, name: str) -> DataFrame:
-        text = VIEWS[name].replace("{DD}", SPARK_DD)
+        # Views that Spark builds with the package's own operators: the texts
+        # above would put a hot borrower into one window task, or join by pairs.
+        own = {
+            "fx_pos": self._pos,
+            "fx_events": self._events,
+            "fx_snap": self._snap,
+            "fx_scored": self._scored,
+            "fx_pred": self._pred,
+        }
+        if name in own:
+            return own[name]()
+        return self._sql(VIEWS[name])
+
+    def _pos(self) -> DataFrame:
+        months = "FROM orders CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) x"
+        return self._sql(VIEWS["fx_pos"].replace(months, "FROM orders LATERAL VIEW explode(array(0, 1, 2, 3)) x AS m"))
+
+    def _events(self) -> DataFrame:
+        return collapse_events(self("fx_installments"))
+
+    @cached_property
+    def hot(self) -> HotKeys:
+        """Hot borrowers, counted on the raw payments: a bound on their events."""
+        return hot_keys(self("fx_installments"), ENTITY)
+
+    def _snap(self) -> DataFrame:
+        return filter_has_next(build_snapshots(self("fx_events"), self.hot)).select(
+            ENTITY, F.col("borrower_event_order").alias("ord"), "snapshot_day", missed_flag().alias("label")
+        )
+
+    def _scored(self) -> DataFrame:
+        both = self("fx_snap").withColumn("model", F.explode(F.array(F.lit("rf"), F.lit("gb"))))
+        return both.withColumn(
+            "y_prob",
+            F.expr(
+                "CASE WHEN model = 'rf' THEN ((SK_ID_CURR * 37 + ord * 11) % 61 + 39 * label) / 100E0"
+                " ELSE ((SK_ID_CURR * 17 + ord * 29) % 71 + 25 * label) / 100E0 END"
+            ),
+        )
+
+    def _pred(self) -> DataFrame:
+        slices = self("fx_application").select(ENTITY, *SLICE_COLS)
+        rows = lookup(self("fx_scored"), slices, ENTITY, ["ord", "model"], self.hot)
+        rows = threshold_lookup(rows.withColumn("target", F.lit("missed_upcoming_emi")), self("fx_threshold"))
+        return rows.withColumns(
+            {
+                "y_pred_05": apply_threshold("y_prob", 0.5),
+                "y_pred_optimal": apply_threshold("y_prob", F.col("threshold")),
+            }
+        ).drop("threshold")
+
+    def _sql(self, view: str) -> DataFrame:
+        text = view.replace("{DD}", SPARK_DD)
         used = sorted(set(_NAME.findall(text)))
         return self.spark.sql(_NAME.sub(r"{\1}", text), **{n: self(n) for n in used})
 
