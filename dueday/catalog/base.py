@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stages import Stages
 from ..session import scratch_path
-from ..sources.fixtures import DUCK_DD, VIEWS, Tables
+from ..sources.fixtures import DUCK_DD, VIEWS, RawTables, Tables
 from .oracle_views import ORACLE_VIEWS
 
 _ALL_VIEWS = {**{name: text.replace("{DD}", DUCK_DD) for name, text in VIEWS.items()}, **ORACLE_VIEWS}
@@ -23,7 +23,7 @@ class Data(Stages):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.tables = Tables(spark, sf_dir)
-        super().__init__(self.tables.raw())
+        super().__init__(RawTables(self.tables))
         self.spark, self.sf_dir = spark, sf_dir
 
     @property

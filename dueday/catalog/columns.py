@@ -165,7 +165,9 @@ def filter_has_next(d):
     "SELECT snapshot_id, snapshot_day, borrower_max_installment_day FROM ov_hits WHERE future_window_complete_flag = 1",
 )
 def filter_complete_window(d):
-    return d.dpd30.select("snapshot_id", "snapshot_day", "borrower_max_installment_day")
+    return labels.filter_complete_window(d.snapshots).select(
+        "snapshot_id", "snapshot_day", "borrower_max_installment_day"
+    )
 
 
 @query(
@@ -173,7 +175,7 @@ def filter_complete_window(d):
     "SELECT snapshot_id, future_dpd30 FROM ov_dpd30 WHERE SK_ID_CURR IN (SELECT DISTINCT SK_ID_CURR FROM ov_snap ORDER BY 1 LIMIT 100)",
 )
 def limit_entities(d):
-    return labels.future_dpd30(d.snapshots, d.events, d.pos, limit_borrowers=100).select("snapshot_id", "future_dpd30")
+    return labels.future_dpd30(d.snapshots, d.pos, limit_borrowers=100, hot=d.hot).select("snapshot_id", "future_dpd30")
 
 
 @query(

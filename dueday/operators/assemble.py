@@ -14,9 +14,9 @@ from ..schemas import (
     SLICE_COLS,
     SNAPSHOT_KEYS,
 )
-from .labels import dpd_day_table, missed_flag
+from .labels import hit_ahead, missed_flag, pos_dpd_days
 from .skew import HOT_ROWS, HotKeys, hot_keys, lookup
-from .timeline import PIECE, PIECE_SOURCE, borrower_timeline
+from .timeline import PIECE, PIECE_SOURCE, WINDOW_DAYS, borrower_timeline
 
 FEATURES = [*HISTORY_FEATURES, *APPLICATION_NUMERIC, *SLICE_COLS, *PREVIOUS_FEATURES, *BUREAU_FEATURES]
 
@@ -63,7 +63,7 @@ def model_table(
     pos: DataFrame,
     entity: DataFrame,
     hot: HotKeys | None = None,
-    window_days: int = 90,
+    window_days: int = WINDOW_DAYS,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Snapshot keys, all 56 features and both labels in one table.
@@ -74,24 +74,19 @@ def model_table(
     the windows already have, so the big side is not shuffled for them.
     """
     hot = hot_keys(events, ENTITY, limit) if hot is None else hot
-    timeline = borrower_timeline(events, hot).select(
+    timeline = borrower_timeline(events, hot, window_days=window_days).select(
         *SNAPSHOT_KEYS,
         *PIECE,
         *HISTORY_FEATURES,
         F.when(F.col("next_DAYS_INSTALMENT").isNotNull(), missed_flag()).alias("missed_upcoming_emi"),
+        "borrower_max_installment_day",
+        "future_inst_dpd30_hit",
     )
-    wide = timeline.join(_spread_over_pieces(entity, events, hot), [ENTITY, *PIECE], "left").drop(*PIECE)
-    days = dpd_day_table(events, pos, window_days).select(
-        ENTITY,
-        F.col("day").alias("snapshot_day"),
-        F.when(
-            F.col("borrower_max_installment_day") >= F.col("day") + window_days,
-            F.greatest("future_inst_dpd30_hit", "future_pos_dpd30_hit"),
-        ).alias("future_dpd30"),
-    )
-    return wide.join(days, [ENTITY, "snapshot_day"], "left").select(
-        *SNAPSHOT_KEYS, *FEATURES, "missed_upcoming_emi", "future_dpd30"
-    )
+    borrower = entity.join(pos_dpd_days(pos), ENTITY, "full")
+    wide = timeline.join(_spread_over_pieces(borrower, events, hot), [ENTITY, *PIECE], "left")
+    complete = F.col("borrower_max_installment_day") >= F.col("snapshot_day") + window_days
+    hit = F.greatest("future_inst_dpd30_hit", hit_ahead("pos_days", "snapshot_day", window_days))
+    return wide.select(*SNAPSHOT_KEYS, *FEATURES, "missed_upcoming_emi", F.when(complete, hit).alias("future_dpd30"))
 
 
 def _spread_over_pieces(entity: DataFrame, events: DataFrame, hot: HotKeys) -> DataFrame:

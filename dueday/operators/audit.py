@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ def _key_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
 
 
-def audit_summary(tables: dict[str, DataFrame], keys: dict[str, list[str]] = AUDIT_KEYS) -> DataFrame:
+def audit_summary(tables: Mapping[str, DataFrame], keys: dict[str, list[str]] = AUDIT_KEYS) -> DataFrame:
     """Rows, columns, key, extra rows per key and rows with a missing key part.
 
     One grouping per table on its key; the counts fall out of the groups.
@@ -48,7 +49,7 @@ def audit_summary(tables: dict[str, DataFrame], keys: dict[str, list[str]] = AUD
     return union_all(rows)
 
 
-def duplicate_summary(tables: dict[str, DataFrame], keys: dict[str, list[str]] = AUDIT_KEYS) -> DataFrame:
+def duplicate_summary(tables: Mapping[str, DataFrame], keys: dict[str, list[str]] = AUDIT_KEYS) -> DataFrame:
     """Rows beyond the first of each key."""
     return union_all(
         [
@@ -86,7 +87,7 @@ def sorted_missing(summary: DataFrame) -> DataFrame:
     return summary.orderBy("table_name", F.desc("missing_pct"), "column_name")
 
 
-def feature_quality(tables: dict[str, DataFrame]) -> DataFrame:
+def feature_quality(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_all([missing_summary(df, name, dtypes=True) for name, df in tables.items()])
 
 
@@ -143,7 +144,7 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def anomaly_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def anomaly_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, check, value) rows behind the anomaly notes."""
     overlap = key_overlap(tables["bureau"], tables["bureau_balance"], "SK_ID_BUREAU")
 

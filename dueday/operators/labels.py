@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import ENTITY, SNAPSHOT_KEYS
+from .skew import HotKeys, lookup
+from .timeline import WINDOW_DAYS
 
 MISSED_COLS = [
     "snapshot_id",
@@ -30,8 +32,6 @@ MISSED_COLS = [
     "next_installment_gap_days",
 ]
 
-WINDOW_DAYS = 90
-
 
 def filter_has_next(snapshots: DataFrame) -> DataFrame:
     return snapshots.where(F.col("next_DAYS_INSTALMENT").isNotNull())
@@ -55,74 +55,62 @@ def missed_upcoming_emi(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def dpd_day_table(events: DataFrame, pos: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """Per (borrower, event day): hits in (day, day + window] and the borrower's last day.
+def pos_dpd_days(pos: DataFrame) -> DataFrame:
+    """(borrower, pos_days): the days of balance months 30+ days past due.
 
-    Events and balance months are first reduced to one row per borrower and
-    day, before and after the shuffle, so the range window sees at most one row
-    per calendar day of a borrower however many events that borrower has.
+    Only flagged months are kept, and a borrower has one entry per calendar
+    month at most, so the array stays short however many loans there are.
     """
-    inst = events.select(
-        ENTITY,
-        F.col("DAYS_INSTALMENT").cast("int").alias("day"),
-        F.lit(1).alias("is_event"),
-        S.instalment_dpd30("aggregated_payment_delay_days").alias("inst"),
-        F.lit(0).alias("pos"),
-    )
-    balance = pos.select(
-        ENTITY,
-        S.day_of_month("MONTHS_BALANCE").cast("int").alias("day"),
-        F.lit(0).alias("is_event"),
-        F.lit(0).alias("inst"),
-        S.pos_dpd30("SK_DPD", "SK_DPD_DEF").alias("pos"),
-    ).where("pos = 1")
-    days = inst.unionByName(balance).groupBy(ENTITY, "day").agg(
-        F.max("is_event").alias("is_event"), F.max("inst").alias("inst"), F.max("pos").alias("pos")
-    )
-    ahead = Window.partitionBy(ENTITY).orderBy("day").rangeBetween(1, window_days)
-    borrower = Window.partitionBy(ENTITY)
-    return (
-        days.select(
-            ENTITY,
-            "day",
-            "is_event",
-            F.coalesce(F.max("inst").over(ahead), F.lit(0)).alias("future_inst_dpd30_hit"),
-            F.coalesce(F.max("pos").over(ahead), F.lit(0)).alias("future_pos_dpd30_hit"),
-            F.max(F.when(F.col("is_event") == 1, F.col("day"))).over(borrower).alias("borrower_max_installment_day"),
-        )
-        .where("is_event = 1")
-        .drop("is_event")
+    flagged = pos.where(S.pos_dpd30("SK_DPD", "SK_DPD_DEF") == 1)
+    return flagged.groupBy(ENTITY).agg(
+        F.sort_array(F.collect_set(S.day_of_month("MONTHS_BALANCE").cast("int"))).alias("pos_days")
     )
 
 
+def hit_ahead(days: str, day: str, window_days: int) -> Column:
+    """Does the array hold a day in (day, day + window]?"""
+    start = F.col(day)
+    found = F.exists(days, lambda x: (x > start) & (x <= start + window_days))
+    return F.coalesce(found, F.lit(False)).cast("int")
+
+
 def limit_entities(df: DataFrame, k: int, key: str = ENTITY) -> DataFrame:
     """Rows of the first ``k`` keys in key order; ``k`` also bounds the broadcast."""
     first = df.select(key).distinct().orderBy(key).limit(k)
     return df.join(F.broadcast(first), key, "left_semi")
 
 
+def filter_complete_window(snapshots: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """Snapshots whose borrower has an event at or after the end of the window."""
+    return snapshots.where(F.col("borrower_max_installment_day") >= F.col("snapshot_day") + window_days)
+
+
 def future_dpd30(
     snapshots: DataFrame,
-    events: DataFrame,
     pos: DataFrame,
     window_days: int = WINDOW_DAYS,
     limit_borrowers: int | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Any instalment or balance month 30+ days past due within the window.
 
-    Only snapshots whose borrower has an event at or after the window's end.
+    ``snapshots`` must be built for the same ``window_days``. They already are
+    partitioned by borrower, so the join to the balance days moves only those.
     """
     if limit_borrowers is not None:
         snapshots = limit_entities(snapshots, limit_borrowers)
-    days = dpd_day_table(events, pos, window_days).withColumnRenamed("day", "snapshot_day")
-    complete = days.where(F.col("borrower_max_installment_day") >= F.col("snapshot_day") + window_days)
-    return snapshots.select(*SNAPSHOT_KEYS).join(complete, [ENTITY, "snapshot_day"], "inner").select(
+    rows = filter_complete_window(snapshots, window_days).select(
+        *SNAPSHOT_KEYS, "borrower_max_installment_day", "future_inst_dpd30_hit"
+    )
+    joined = lookup(rows, pos_dpd_days(pos), ENTITY, ["snapshot_id"], hot)
+    pos_hit = hit_ahead("pos_days", "snapshot_day", window_days)
+    return joined.select(
         *SNAPSHOT_KEYS,
         "borrower_max_installment_day",
         F.lit(1).alias("future_window_complete_flag"),
         "future_inst_dpd30_hit",
-        "future_pos_dpd30_hit",
-        F.greatest("future_inst_dpd30_hit", "future_pos_dpd30_hit").alias("future_dpd30"),
+        pos_hit.alias("future_pos_dpd30_hit"),
+        F.greatest("future_inst_dpd30_hit", pos_hit).alias("future_dpd30"),
         F.lit(1).alias("target_available_flag"),
         F.lit("future_dpd30").alias("target_name"),
     )

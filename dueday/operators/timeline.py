@@ -21,6 +21,9 @@ from ..functions import scalars as S
 from ..schemas import ENTITY, EVENT_ORDER, HISTORY_FEATURES, SNAPSHOT_KEYS
 from .skew import HOT_ROWS, HotKeys, hot_keys
 
+# Fixed value: length of the label's look-ahead.
+WINDOW_DAYS = 90
+
 PIECE = ["piece_day", "piece_number"]
 PIECE_SOURCE = ["DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER"]
 
@@ -64,6 +67,7 @@ def behaviour_flags(events: DataFrame) -> DataFrame:
             "is_on_time": S.flag((late == 0) & (missed == 0)),
             "payment_ratio": S.safe_ratio("total_amount_paid", "AMT_INSTALMENT"),
             "delay_nonnull": F.coalesce("aggregated_payment_delay_days", F.lit(0)),
+            "is_dpd30": S.instalment_dpd30("aggregated_payment_delay_days"),
         }
     )
 
@@ -89,9 +93,11 @@ def _before(window: Window) -> Window:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _in_piece(events: DataFrame) -> DataFrame:
+def _in_piece(events: DataFrame, window_days: int) -> DataFrame:
     """All windows that look only inside one piece; they share one sort."""
     w = piece_window()
+    piece = Window.partitionBy(ENTITY, *PIECE)
+    ahead = piece.orderBy("DAYS_INSTALMENT").rangeBetween(1, window_days)
     before = _before(w)
     cols: dict[str, Column] = {
         "rn": F.row_number().over(w),
@@ -99,6 +105,8 @@ def _in_piece(events: DataFrame) -> DataFrame:
         "delay_sum": F.sum("delay_nonnull").over(before),
         "delay_max": F.max("delay_nonnull").over(before),
         "recent": F.lag(F.struct("aggregated_payment_delay_days", "payment_ratio")).over(w),
+        "dpd30_ahead": F.max("is_dpd30").over(ahead),
+        "last_day": F.max("DAYS_INSTALMENT").over(piece),
     }
     for f in COUNTED.values():
         cols[f"{f}_sum"] = F.sum(f).over(before)
@@ -113,8 +121,8 @@ def _in_piece(events: DataFrame) -> DataFrame:
     )
 
 
-def piece_carry(hot_rows: DataFrame) -> DataFrame:
-    """One row per piece of a hot borrower: what the pieces before it hand over."""
+def piece_carry(hot_rows: DataFrame, window_days: int) -> DataFrame:
+    """One row per piece of a hot borrower: what the pieces around it hand over."""
     w = piece_window()
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     numbered = hot_rows.withColumns(
@@ -125,6 +133,7 @@ def piece_carry(hot_rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.sum("delay_nonnull").alias("delay_sum"),
         F.max("delay_nonnull").alias("delay_max"),
+        F.max("is_dpd30").alias("is_dpd30"),
         *[F.sum(f).alias(f"{f}_sum") for f in COUNTED.values()],
         *[F.max(F.when(F.col(f) == 0, F.col("rn"))).alias(f"{f}_break") for f in STREAKS.values()],
         # at most six structs
@@ -139,6 +148,11 @@ def piece_carry(hot_rows: DataFrame) -> DataFrame:
         {
             "offset": F.coalesce(F.sum("rows").over(before), F.lit(0)),
             "next_head": F.lead("head").over(across),
+            # a piece is one due day, so its range window is the borrower's
+            "piece_dpd30_ahead": F.max("is_dpd30").over(
+                Window.partitionBy(ENTITY).orderBy(PIECE[0]).rangeBetween(1, window_days)
+            ),
+            "borrower_last_day": F.max(PIECE[0]).over(Window.partitionBy(ENTITY)),
             "prior_delay_sum": F.sum("delay_sum").over(before),
             "prior_delay_max": F.max("delay_max").over(before),
             **{f"prior_{f}_sum": F.sum(f"{f}_sum").over(before) for f in COUNTED.values()},
@@ -168,6 +182,8 @@ def piece_carry(hot_rows: DataFrame) -> DataFrame:
         *PIECE,
         "offset",
         "next_head",
+        "piece_dpd30_ahead",
+        "borrower_last_day",
         "prior_delay_sum",
         "prior_delay_max",
         *[f"prior_{f}_sum" for f in COUNTED.values()],
@@ -178,9 +194,14 @@ def piece_carry(hot_rows: DataFrame) -> DataFrame:
     )
 
 
-def borrower_timeline(events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS) -> DataFrame:
+def borrower_timeline(
+    events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS, window_days: int = WINDOW_DAYS
+) -> DataFrame:
     """Snapshots with next-event columns and the 15 history features in one pass.
 
+    Also per row: is there an instalment 30+ days late due in (day, day +
+    window], and the borrower's last due day.
+
     Callers select what they need; Catalyst drops the unused windows. Every
     feature looks strictly before its row, so a borrower's first row has no
     history. ``hot`` may be counted on any table with at least as many rows per
@@ -188,9 +209,9 @@ def borrower_timeline(events: DataFrame, hot: HotKeys | None = None, limit: int
     """
     hot = hot_keys(events, ENTITY, limit) if hot is None else hot
     flagged = behaviour_flags(split_hot(events.select(*EVENT_COLS), hot))
-    rows = _in_piece(flagged)
+    rows = _in_piece(flagged, window_days)
     if hot:
-        rows = rows.join(piece_carry(flagged.where("is_hot")), [ENTITY, *PIECE], "left")
+        rows = rows.join(piece_carry(flagged.where("is_hot"), window_days), [ENTITY, *PIECE], "left")
 
     def carried(name: str) -> list[Column]:
         return [F.col(name)] if hot else []
@@ -243,13 +264,17 @@ def borrower_timeline(events: DataFrame, hot: HotKeys | None = None, limit: int
         *[following[c].alias(f"next_{c}") for c in NEXT_COLS],
         S.flag(following["DAYS_INSTALMENT"].isNotNull()).alias("has_next_installment"),
         (following["DAYS_INSTALMENT"] - day).alias("next_installment_gap_days"),
+        F.coalesce(*carried("borrower_last_day"), F.col("last_day")).alias("borrower_max_installment_day"),
+        F.coalesce(*carried("piece_dpd30_ahead"), F.col("dpd30_ahead"), zero).alias("future_inst_dpd30_hit"),
         *[features[name].alias(name) for name in HISTORY_FEATURES],
     )
 
 
-def build_snapshots(events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS) -> DataFrame:
-    """One row per (borrower, event) with the following event beside it."""
-    return borrower_timeline(events, hot, limit).drop(*HISTORY_FEATURES, *PIECE)
+def build_snapshots(
+    events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS, window_days: int = WINDOW_DAYS
+) -> DataFrame:
+    """One row per (borrower, event) with the following event and the look-ahead beside it."""
+    return borrower_timeline(events, hot, limit, window_days).drop(*HISTORY_FEATURES, *PIECE)
 
 
 def installment_history(events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assemble, clean, entity, labels, metrics, models, prepare, splits, timeline
+from ..operators import assemble, clean, curves, entity, labels, metrics, models, prepare, splits, timeline
 from ..operators.skew import HOT_ROWS, HotKeys, hot_keys
 from ..schemas import ENTITY, SLICE_COLS, SNAPSHOT_KEYS
 from ..session import materialize
@@ -25,8 +26,8 @@ class Stages:
     (``sources.sinks``) and pass them on, instead of recomputing the lineage.
     """
 
-    raw: dict[str, DataFrame]
-    window_days: int = labels.WINDOW_DAYS
+    raw: Mapping[str, DataFrame]
+    window_days: int = timeline.WINDOW_DAYS
     hot_rows: int = HOT_ROWS
 
     @cached_property
@@ -56,7 +57,7 @@ class Stages:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return timeline.build_snapshots(self.events, self.hot)
+        return timeline.build_snapshots(self.events, self.hot, window_days=self.window_days)
 
     @cached_property
     def missed(self) -> DataFrame:
@@ -64,7 +65,7 @@ class Stages:
 
     @cached_property
     def dpd30(self) -> DataFrame:
-        return labels.future_dpd30(self.snapshots, self.events, self.pos, self.window_days)
+        return labels.future_dpd30(self.snapshots, self.pos, self.window_days, hot=self.hot)
 
     @cached_property
     def history(self) -> DataFrame:
@@ -139,7 +140,7 @@ def train_target(rows: DataFrame, rf: dict | None = None, gb: dict | None = None
 
 def diagnose(scored: DataFrame, tune_split: str = "validation") -> dict[str, DataFrame]:
     """All evaluation tables from one scored table with splits."""
-    tuned = metrics.best_f1_threshold(scored.where(F.col("split") == tune_split), metrics.MODEL_KEYS)
+    tuned = curves.best_f1_threshold(scored.where(F.col("split") == tune_split), metrics.MODEL_KEYS)
     tuned = materialize(tuned, "thresholds")
     test = metrics.scored_table(scored.where(F.col("split") == "test"), tuned)
     by_split, confusion, thresholds = models.evaluate_splits(scored)

@@ -7,6 +7,7 @@ difference is spelled differently, at ``{DD}``.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -180,5 +181,18 @@ class Tables:
         used = sorted(set(_NAME.findall(text)))
         return self.spark.sql(_NAME.sub(r"{\1}", text), **{n: self(n) for n in used})
 
-    def raw(self) -> dict[str, DataFrame]:
-        return {table: self(view) for table, view in RAW_VIEWS.items()}
+
+class RawTables(Mapping):
+    """The six raw tables by name; a view is built when it is first asked for."""
+
+    def __init__(self, tables: Tables):
+        self.tables = tables
+
+    def __getitem__(self, table: str) -> DataFrame:
+        return self.tables(RAW_VIEWS[table])
+
+    def __iter__(self):
+        return iter(RAW_VIEWS)
+
+    def __len__(self) -> int:
+        return len(RAW_VIEWS)
