@@ -16,7 +16,7 @@ from ..schemas import (
 )
 from .labels import hit_ahead, missed_flag, pos_dpd_days
 from .skew import HOT_ROWS, HotKeys, hot_keys, lookup
-from .timeline import PIECE, PIECE_SOURCE, WINDOW_DAYS, borrower_timeline
+from .timeline import FIRST, PIECE, PIECE_SOURCE, WINDOW_DAYS, borrower_timeline
 
 FEATURES = [*HISTORY_FEATURES, *APPLICATION_NUMERIC, *SLICE_COLS, *PREVIOUS_FEATURES, *BUREAU_FEATURES]
 
@@ -95,7 +95,7 @@ def _spread_over_pieces(entity: DataFrame, events: DataFrame, hot: HotKeys) -> D
         return entity.withColumns({piece: F.lit(0) for piece in PIECE})
     pieces = (
         events.join(hot.keys(), ENTITY, "left_semi")
-        .select(ENTITY, *[F.col(c).alias(p) for c, p in zip(PIECE_SOURCE, PIECE)])
+        .select(ENTITY, *[F.coalesce(c, F.lit(FIRST)).alias(p) for c, p in zip(PIECE_SOURCE, PIECE)])
         .distinct()
     )
     return entity.join(pieces, ENTITY, "left").fillna(0, subset=PIECE)

@@ -39,8 +39,8 @@ def running_totals(
     """Inclusive running sums along ``order`` within each group, plus group totals.
 
     ``totals`` maps a value column to the name of its running sum; the group
-    total is called ``all_<name>``. Part sums are one row per (group, part),
-    at most groups + parts rows, so they are broadcast.
+    total is called ``all_<name>``. Part sums are one row per (group, part), at
+    most groups + parts rows; they join on the keys the windows need anyway.
     """
     parts = ordered_parts(df, [*[F.col(c) for c in by], *order])
     per_part = parts.groupBy(*by, "part").agg(*[F.sum(c).alias(f"sum_{c}") for c in totals])
@@ -58,7 +58,7 @@ def running_totals(
         *[F.sum(f"sum_{c}").over(whole).alias(f"all_{name}") for c, name in totals.items()],
     )
     inside = Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = parts.join(F.broadcast(offsets), [*by, "part"])
+    joined = parts.join(offsets, [*by, "part"])
     return joined.withColumns(
         {name: F.col(f"before_{c}") + F.sum(c).over(inside) for c, name in totals.items()}
     ).drop("part", *[f"before_{c}" for c in totals])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import APPLICATION_NUMERIC, CREDIT, ENTITY, FEATURE_FAMILIES, SLICE_COLS
+from .skew import HOT_ROWS, lookup
 
 
 def dedupe_entity(df: DataFrame, key: str = ENTITY, order_by: list[str] | None = None) -> DataFrame:
@@ -70,17 +71,14 @@ def bureau_balance_agg(balance: DataFrame) -> DataFrame:
     )
 
 
-def join_preagg(bureau: DataFrame, balance_agg: DataFrame) -> DataFrame:
-    """Credits with their balance aggregate.
-
-    The key is the credit, unique on the right and audited as unique on the
-    left, so neither side has a heavy key.
-    """
-    return bureau.join(balance_agg, CREDIT, "left")
+def join_preagg(bureau: DataFrame, balance_agg: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+    """Credits with their balance aggregate; a much-repeated or missing credit id is spread."""
+    others = [c for c in bureau.columns if c != CREDIT]
+    return lookup(bureau, balance_agg, CREDIT, others, limit=limit)
 
 
-def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
-    merged = join_preagg(bureau, bureau_balance_agg(balance))
+def bureau_features(bureau: DataFrame, balance: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+    merged = join_preagg(bureau, bureau_balance_agg(balance), limit)
     return (
         merged.where(F.col(ENTITY).isNotNull())
         .groupBy(ENTITY)

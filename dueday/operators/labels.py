@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import ENTITY, SNAPSHOT_KEYS
-from .skew import HotKeys, lookup
+from .skew import HOT_ROWS, HotKeys, lookup
 from .timeline import WINDOW_DAYS
 
 MISSED_COLS = [
@@ -75,9 +75,10 @@ def hit_ahead(days: str, day: str, window_days: int) -> Column:
 
 
 def limit_entities(df: DataFrame, k: int, key: str = ENTITY) -> DataFrame:
-    """Rows of the first ``k`` keys in key order; ``k`` also bounds the broadcast."""
+    """Rows of the first ``k`` keys in key order."""
     first = df.select(key).distinct().orderBy(key).limit(k)
-    return df.join(F.broadcast(first), key, "left_semi")
+    # k bounds the list; a very long one is left to the planner
+    return df.join(F.broadcast(first) if k <= HOT_ROWS else first, key, "left_semi")
 
 
 def filter_complete_window(snapshots: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:

@@ -20,6 +20,7 @@ class HotKeys:
     key: str
     frame: DataFrame
     count: int
+    null_pieces: int = 0
 
     def __bool__(self) -> bool:
         return self.count > 0
@@ -33,14 +34,17 @@ def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys:
 
     This runs one job now: it scans the key column only and combines counts
     before the shuffle. Knowing the answer keeps the plans simple, because
-    without hot keys no plan needs a second path.
+    without hot keys no plan needs a second path. Rows without a key are
+    counted too, as joins would send them all to one task.
     """
-    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
     hot = counted.where(F.col("key_rows") > limit).select(
         key, F.ceil(F.col("key_rows") / F.lit(limit)).cast("int").alias("pieces")
     )
     rows = hot.collect()  # at most rows / limit of them
-    return HotKeys(key, df.sparkSession.createDataFrame(rows, hot.schema), len(rows))
+    named = [r for r in rows if r[key] is not None]
+    unnamed = sum(r["pieces"] for r in rows if r[key] is None)
+    return HotKeys(key, df.sparkSession.createDataFrame(named, hot.schema), len(named), unnamed)
 
 
 def lookup(
@@ -55,14 +59,17 @@ def lookup(
 
     The left rows of a hot key are cut into ``pieces`` by a hash of
     ``spread_by``; its single right row is repeated once per piece, which adds
-    at most 2 * rows / limit rows to the right side.
+    at most 2 * rows / limit rows to the right side. Left rows without a key
+    match nothing and are only spread.
     """
     hot = hot_keys(left, key, limit) if hot is None else hot
-    if not hot:
+    if not hot and not hot.null_pieces:
         return left.join(right, key, "left")
     pieces = F.broadcast(hot.frame.select(key, F.col("pieces").alias("_pieces")))
-    by_hash = F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int")
-    spread_left = left.join(pieces, key, "left").withColumn("_piece", F.coalesce(by_hash, F.lit(0)))
+    cut = F.when(F.col(key).isNull(), F.lit(max(hot.null_pieces, 1))).otherwise(F.coalesce("_pieces", F.lit(1)))
+    spread_left = left.join(pieces, key, "left").withColumn(
+        "_piece", F.pmod(F.xxhash64(*spread_by), cut).cast("int")
+    )
     spread_right = right.join(pieces, key, "left").withColumn(
         "_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
     )

@@ -26,6 +26,7 @@ WINDOW_DAYS = 90
 
 PIECE = ["piece_day", "piece_number"]
 PIECE_SOURCE = ["DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER"]
+FIRST = -(2**31)  # piece of a missing order value, which sorts first
 
 NEXT_COLS = [
     "SK_ID_PREV",
@@ -73,13 +74,18 @@ def behaviour_flags(events: DataFrame) -> DataFrame:
 
 
 def split_hot(events: DataFrame, hot: HotKeys) -> DataFrame:
-    """Add the piece columns: (0, 0) for ordinary borrowers, order columns for hot ones."""
+    """Add the piece columns: (0, 0) for ordinary borrowers, order columns for hot ones.
+
+    An event must name its borrower; one without fails the job.
+    """
+    named = F.coalesce(ENTITY, F.raise_error(F.lit(f"an event has no {ENTITY}")).cast("bigint"))
+    events = events.withColumn(ENTITY, named)
     if not hot:
         return events.withColumns({piece: F.lit(0) for piece in PIECE})
     tagged = events.join(hot.keys().withColumn("is_hot", F.lit(True)), ENTITY, "left")
     return tagged.withColumns(
         {
-            piece: F.when(F.col("is_hot"), F.col(source)).otherwise(F.lit(0))
+            piece: F.when(F.col("is_hot"), F.coalesce(source, F.lit(FIRST))).otherwise(F.lit(0))
             for piece, source in zip(PIECE, PIECE_SOURCE)
         }
     )

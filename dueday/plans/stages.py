@@ -81,7 +81,7 @@ class Stages:
 
     @cached_property
     def bureau_features(self) -> DataFrame:
-        return entity.bureau_features(self.raw["bureau"], self.balance)
+        return entity.bureau_features(self.raw["bureau"], self.balance, self.hot_rows)
 
     @cached_property
     def entity(self) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import ENTITY, EVENT_ORDER
+from ..session import materialize
+
+REPORT_ROWS = 100_000
 
 
 def sink_parquet(df: DataFrame, path: str, sort_within: Sequence[str] = ()) -> DataFrame:
@@ -25,8 +28,15 @@ def sort_outputs(df: DataFrame, by: Sequence[str] = (ENTITY, "snapshot_day")) ->
 
 
 def sink_csv_report(df: DataFrame, path: str) -> DataFrame:
-    """A report as one CSV file. For metric tables only: they have tens to hundreds of rows."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report as one CSV file.
+
+    One file means one writing task, so tables beyond ``REPORT_ROWS`` rows are
+    refused: they belong in Parquet.
+    """
+    rows = materialize(df, "report")
+    if rows.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"more than {REPORT_ROWS} rows: write the table with sink_parquet")
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
 
 
