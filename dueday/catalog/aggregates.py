@@ -170,7 +170,7 @@ def label_value_counts(d):
     positive_rate=6,
 )
 def split_summary(d):
-    return splits.split_summary(splits.join_split_map(d.missed, d.split_map), "missed_upcoming_emi")
+    return splits.split_summary(splits.join_split_map(d.missed_rows, d.split_map))
 
 
 BALANCE_SQL = """SELECT model, count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives,

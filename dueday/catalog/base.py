@@ -30,6 +30,10 @@ class Data(Stages):
     def hot(self):
         return self.tables.hot  # one count serves the views and the stages
 
+    @property
+    def missed_rows(self):
+        return self.tables("fx_snap").drop("ord")
+
     def __call__(self, name: str) -> DataFrame:
         return self.tables(name)
 

@@ -188,8 +188,7 @@ def local_best_worst(d):
     FROM fx_snap_labelled GROUP BY 1) x""".replace("fx_snap_labelled", "(SELECT missed_upcoming_emi AS label FROM ov_missed) s"),
 )
 def stratified_partition(d):
-    rows = d.missed.select("snapshot_id", F.col("missed_upcoming_emi").alias("label"))
-    parts = models.stratified_partition(rows)
+    parts = models.stratified_partition(d.missed_rows)
     return parts.groupBy("label", "part").agg(F.countDistinct("snapshot_id").alias("part_rows"))
 
 

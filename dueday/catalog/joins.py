@@ -87,7 +87,7 @@ def entity_max_back(d):
 
 @query("join_split_map", "SELECT snapshot_id, snapshot_day, label, split FROM ov_missed_split")
 def join_split_map(d):
-    rows = d.missed.select("snapshot_id", "snapshot_day", F.col("missed_upcoming_emi").alias("label"))
+    rows = d.missed_rows.select("snapshot_id", "snapshot_day", "label")
     return splits.join_split_map(rows, d.split_map).select("snapshot_id", "snapshot_day", "label", "split")
 
 
@@ -167,7 +167,7 @@ def _overlap(a: str, b: str) -> str:
     f"SELECT {_overlap('train', 'validation')}, {_overlap('train', 'test')}, {_overlap('validation', 'test')}",
 )
 def split_entity_overlap(d):
-    return splits.split_entity_overlap(splits.join_split_map(d.missed, d.split_map))
+    return splits.split_entity_overlap(splits.join_split_map(d.missed_rows, d.split_map))
 
 
 @query(
@@ -196,7 +196,7 @@ def dedupe_entity(d):
 
 @query("distinct_days", "SELECT snapshot_day FROM ov_days")
 def distinct_days(d):
-    return splits.distinct_days(d.missed)
+    return splits.distinct_days(d.missed_rows)
 
 
 @query("distinct_groups", "SELECT DISTINCT slice_col, slice_val FROM ov_long WHERE slice_val IS NOT NULL")

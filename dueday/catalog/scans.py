@@ -105,7 +105,7 @@ def sink_metrics_append(d):
 
 @query("sink_by_split", "SELECT snapshot_id, snapshot_day, label, split FROM ov_missed_split WHERE split = 'validation'")
 def sink_by_split(d):
-    rows = d.missed.select("snapshot_id", "snapshot_day", F.col("missed_upcoming_emi").alias("label"))
+    rows = d.missed_rows.select("snapshot_id", "snapshot_day", "label")
     written = sinks.sink_by_split(join_split_map(rows, d.split_map), d.scratch("by-split"))
     return written.where("split = 'validation'").select("snapshot_id", "snapshot_day", "label", "split")
 

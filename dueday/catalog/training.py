@@ -26,7 +26,7 @@ MEDIANS = [c for c in APPLICATION_NUMERIC if c != "DAYS_EMPLOYED_ANOMALY_FLAG"]
 
 def train_rows(d):
     """Application features of the training snapshots' borrowers, one row per snapshot."""
-    rows = splits.join_split_map(d.missed.select("snapshot_id", "SK_ID_CURR", "snapshot_day"), d.split_map)
+    rows = splits.join_split_map(d.missed_rows.drop("label"), d.split_map)
     train = rows.where("split = 'train'").drop("split", "snapshot_day")
     app = d.application.select("SK_ID_CURR", *MEDIANS, *SLICE_COLS)
     return assemble.join_entity_features(train, app, d.hot)

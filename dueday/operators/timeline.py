@@ -53,6 +53,7 @@ COUNTED = {
     "hist_partial_count": "is_partial",
     "hist_on_time_count": "is_on_time",
 }
+ROLLED = ["delay_sum", "is_late_sum"]
 STREAKS = {"hist_on_time_streak": "is_on_time", "hist_late_streak": "is_late"}
 
 
@@ -100,31 +101,35 @@ def _before(window: Window) -> Window:
 
 
 def _in_piece(events: DataFrame, window_days: int) -> DataFrame:
-    """All windows that look only inside one piece; they share one sort."""
+    """All windows that look only inside one piece; they share one sort.
+
+    Every value is a column of its own, so that unused ones are dropped, and
+    running sums replace sliding frames, which Spark adds up again row by row.
+    """
     w = piece_window()
-    piece = Window.partitionBy(ENTITY, *PIECE)
-    ahead = piece.orderBy("DAYS_INSTALMENT").rangeBetween(1, window_days)
     before = _before(w)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = Window.partitionBy(ENTITY, *PIECE).orderBy("DAYS_INSTALMENT").rangeBetween(1, window_days)
     cols: dict[str, Column] = {
         "rn": F.row_number().over(w),
-        "next": F.lead(F.struct(*NEXT_COLS)).over(w),
-        "delay_sum": F.sum("delay_nonnull").over(before),
+        "has_next": F.lead(F.lit(True)).over(w),
+        **{f"lead_{c}": F.lead(c).over(w) for c in NEXT_COLS},
+        "lag_delay": F.lag("aggregated_payment_delay_days").over(w),
+        "lag_ratio": F.lag("payment_ratio").over(w),
+        "delay_sum": F.coalesce(F.sum("delay_nonnull").over(before), F.lit(0)),
         "delay_max": F.max("delay_nonnull").over(before),
-        "recent": F.lag(F.struct("aggregated_payment_delay_days", "payment_ratio")).over(w),
+        "last_day": F.max("DAYS_INSTALMENT").over(whole),
         "dpd30_ahead": F.max("is_dpd30").over(ahead),
-        "last_day": F.max("DAYS_INSTALMENT").over(piece),
+        **{f"{f}_sum": F.coalesce(F.sum(f).over(before), F.lit(0)) for f in COUNTED.values()},
+    }
+    # Over the results: the sum n rows ago, and the last row that broke a streak.
+    second: dict[str, Column] = {
+        f"{f}_break": F.max(F.when(F.col(f) == 0, F.col("rn"))).over(before) for f in STREAKS.values()
     }
-    for f in COUNTED.values():
-        cols[f"{f}_sum"] = F.sum(f).over(before)
     for n in ROLLING:
-        last = w.rowsBetween(-n, -1)
-        cols[f"delay_last_{n}"] = F.sum("delay_nonnull").over(last)
-        cols[f"late_last_{n}"] = F.sum("is_late").over(last)
-    rows = events.withColumns(cols)
-    # A streak is the distance to the last row that broke it.
-    return rows.withColumns(
-        {f"{f}_break": F.max(F.when(F.col(f) == 0, F.col("rn"))).over(before) for f in STREAKS.values()}
-    )
+        for name in ROLLED:
+            second[f"{name}_{n}"] = F.col(name) - F.coalesce(F.lag(name, n).over(w), F.lit(0))
+    return events.withColumns(cols).withColumns(second)
 
 
 def piece_carry(hot_rows: DataFrame, window_days: int) -> DataFrame:
@@ -228,20 +233,23 @@ def borrower_timeline(
     ordinal = seen + offset
 
     def plus(inside: str, prior: str) -> Column:
-        return sum((F.coalesce(c, zero) for c in carried(prior)), F.coalesce(F.col(inside), zero))
+        return sum((F.coalesce(c, zero) for c in carried(prior)), F.col(inside))
 
     def rolling(inside: str, prior: str, n: int) -> Column:
         # the first n rows of a piece reach back into the carried events
         reach = [F.coalesce(F.when(seen < n, F.get(c, F.lit(n - 1) - seen)), zero) for c in carried(prior)]
-        return sum(reach, F.coalesce(F.col(inside), zero))
+        return sum(reach, F.col(inside))
 
     def streak(f: str) -> Column:
         return ordinal - F.coalesce(offset + F.col(f"{f}_break"), *carried(f"prior_{f}_break"), zero)
 
-    following = F.coalesce(F.col("next"), *carried("next_head"))
+    def following(field: str) -> Column:
+        # the last row of a piece looks at the head of the next one
+        inside = F.col(f"lead_{field}")
+        return F.when(F.col("has_next"), inside).otherwise(F.col("next_head")[field]) if hot else inside
 
-    def recent(field: str) -> Column:
-        return F.coalesce(*[F.when(seen == 0, c[field]) for c in carried("prior_event")], F.col("recent")[field])
+    def recent(field: str, inside: str) -> Column:
+        return F.when(seen == 0, F.col("prior_event")[field]).otherwise(F.col(inside)) if hot else F.col(inside)
 
     features: dict[str, Column] = {
         "hist_total_installments": ordinal.cast("int"),
@@ -250,14 +258,14 @@ def borrower_timeline(
         "hist_delay_max": F.greatest(F.col("delay_max"), *(carried("prior_delay_max") or [F.col("delay_max")])).cast(
             "double"
         ),
-        "hist_recent_delay": recent("aggregated_payment_delay_days").cast("double"),
-        "hist_recent_payment_ratio": recent("payment_ratio"),
+        "hist_recent_delay": recent("aggregated_payment_delay_days", "lag_delay").cast("double"),
+        "hist_recent_payment_ratio": recent("payment_ratio", "lag_ratio"),
         **{name: streak(f).cast("int") for name, f in STREAKS.items()},
     }
     for n in ROLLING:
         # the mean divides by the window length even when fewer events exist
-        features[f"hist_delay_mean_last_{n}"] = rolling(f"delay_last_{n}", "prior_delays", n) / F.lit(float(n))
-        features[f"hist_late_count_last_{n}"] = rolling(f"late_last_{n}", "prior_lates", n).cast("double")
+        features[f"hist_delay_mean_last_{n}"] = rolling(f"delay_sum_{n}", "prior_delays", n) / F.lit(float(n))
+        features[f"hist_late_count_last_{n}"] = rolling(f"is_late_sum_{n}", "prior_lates", n).cast("double")
 
     day = F.col("DAYS_INSTALMENT")
     return rows.select(
@@ -267,9 +275,9 @@ def borrower_timeline(
         S.month_of_day(day).alias("snapshot_month_approx"),
         *EVENT_COLS,
         *PIECE,
-        *[following[c].alias(f"next_{c}") for c in NEXT_COLS],
-        S.flag(following["DAYS_INSTALMENT"].isNotNull()).alias("has_next_installment"),
-        (following["DAYS_INSTALMENT"] - day).alias("next_installment_gap_days"),
+        *[following(c).alias(f"next_{c}") for c in NEXT_COLS],
+        S.flag(following("DAYS_INSTALMENT").isNotNull()).alias("has_next_installment"),
+        (following("DAYS_INSTALMENT") - day).alias("next_installment_gap_days"),
         F.coalesce(*carried("borrower_last_day"), F.col("last_day")).alias("borrower_max_installment_day"),
         F.coalesce(*carried("piece_dpd30_ahead"), F.col("dpd30_ahead"), zero).alias("future_inst_dpd30_hit"),
         *[features[name].alias(name) for name in HISTORY_FEATURES],

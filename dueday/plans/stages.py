@@ -63,6 +63,16 @@ class Stages:
     def missed(self) -> DataFrame:
         return labels.missed_upcoming_emi(self.snapshots)
 
+    @cached_property
+    def missed_rows(self) -> DataFrame:
+        """Key, day and value of the first label, written once.
+
+        The split map needs all days before any row gets its split; reading
+        these narrow rows twice is cheaper than ordering all events twice.
+        """
+        rows = self.missed.select("snapshot_id", ENTITY, "snapshot_day", F.col("missed_upcoming_emi").alias("label"))
+        return materialize(rows, "missed")
+
     @cached_property
     def dpd30(self) -> DataFrame:
         return labels.future_dpd30(self.snapshots, self.pos, self.window_days, hot=self.hot)
@@ -94,7 +104,7 @@ class Stages:
     @cached_property
     def split_map(self) -> DataFrame:
         """Days of the first label decide the split of both targets."""
-        return splits.chronological_split(self.missed)
+        return splits.chronological_split(self.missed_rows)
 
     def rows(self, target: str) -> DataFrame:
         """Model rows of one target with their split."""

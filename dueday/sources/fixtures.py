@@ -20,6 +20,7 @@ from ..operators.labels import filter_has_next, missed_flag
 from ..operators.skew import HotKeys, hot_keys, lookup
 from ..operators.timeline import build_snapshots
 from ..schemas import ENTITY, SLICE_COLS
+from ..session import materialize
 
 SPARK_DD = "datediff(CAST(o_orderdate AS DATE), DATE '2002-06-01')"
 DUCK_DD = "date_diff('day', DATE '2002-06-01', CAST(o_orderdate AS DATE))"
@@ -151,12 +152,17 @@ class Tables:
         return hot_keys(self("fx_installments"), ENTITY)
 
     def _snap(self) -> DataFrame:
-        return filter_has_next(build_snapshots(self("fx_events"), self.hot)).select(
-            ENTITY, F.col("borrower_event_order").alias("ord"), "snapshot_day", missed_flag().alias("label")
+        rows = filter_has_next(build_snapshots(self("fx_events"), self.hot)).select(
+            "snapshot_id",
+            ENTITY,
+            F.col("borrower_event_order").alias("ord"),
+            "snapshot_day",
+            missed_flag().alias("label"),
         )
+        return materialize(rows, "labels")
 
     def _scored(self) -> DataFrame:
-        both = self("fx_snap").withColumn("model", F.explode(F.array(F.lit("rf"), F.lit("gb"))))
+        both = self("fx_snap").drop("snapshot_id").withColumn("model", F.explode(F.array(F.lit("rf"), F.lit("gb"))))
         return both.withColumn(
             "y_prob",
             F.expr(
