@@ -66,16 +66,17 @@ def query(name: str, sql: str | None = None, **digits: int):
     return register
 
 
-def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+def result(name: str, data: Data) -> DataFrame:
+    """The query's result with its floating-point columns rounded for comparison."""
     entry = REGISTRY[name]
+    df = entry.run(data)
+    for c, digits in entry.digits.items():
+        df = df.withColumn(c, F.col(c).cast("float").cast("double") if digits == SINGLE else F.round(c, digits))
+    return df
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = entry.run(Data(spark, sf_dir))
-        for c, digits in entry.digits.items():
-            df = df.withColumn(c, F.col(c).cast("float").cast("double") if digits == SINGLE else F.round(c, digits))
-        return df
 
-    return run
+def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: result(name, Data(spark, sf_dir))
 
 
 def oracle_text(name: str) -> str | None:
