@@ -88,6 +88,8 @@ HISTORY_FEATURES = [
     "hist_on_time_streak",
     "hist_late_streak",
 ]
+# Family name and source table of each feature, as listed in the
+# feature dictionary.
 FEATURE_FAMILIES = {
     "application": (APPLICATION_NUMERIC + SLICE_COLS, "cleaned_application_train.parquet"),
     "previous_application": (PREVIOUS_FEATURES, "cleaned_previous_application.parquet"),
