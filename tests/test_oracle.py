@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
-from dueday.catalog.base import result
+from dueday.catalog.base import REGISTRY, oracle_text, result
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = list(REGISTRY)
+ORACLE = {name: text for name in REGISTRY if (text := oracle_text(name)) is not None}
 
 
 @pytest.fixture(scope="module")
@@ -32,4 +33,4 @@ def test_entry(spark):
 
 
 def test_oracle_keys_are_queries():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
