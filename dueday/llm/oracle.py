@@ -45,7 +45,58 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+EMBEDDINGS = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS MATERIALIZED (
+  SELECT vec_id, list_transform(e, lambda x : x / sqrt(list_sum(list_transform(e, lambda y : y * y)))) AS e FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x : x <> 0)) > 0),
+linked AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.95),
+n AS (SELECT x, count(*) AS n FROM linked GROUP BY 1),
+reach AS (SELECT vec_id AS id, vec_id AS other FROM v UNION SELECT r.id, l.y FROM reach r JOIN linked l ON l.x = r.other),
+smallest AS (SELECT id, min(other) AS c FROM reach GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, s.c AS component_id, v.vec_id = s.c AS kept
+FROM v LEFT JOIN n ON n.x = v.vec_id JOIN smallest s ON s.id = v.vec_id
+"""
+
+_CODED = r"replace(replace(replace(replace({}, '\', '\-'), '[', '\('), ']', '\)'), '<', '\{{')"
+
+CHAT = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+told AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(9 + length({_CODED.format('role')}) + length({_CODED.format('text')})) AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM told
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+kept AS (SELECT html, max(page_id) AS keeper, count(*) AS n FROM p GROUP BY 1),
+digits AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(CAST(('0x' || substr(h, g * 5 + 1, 5)) AS INTEGER) >> (15 - 5 * k) AS INTEGER) % 32 + 1, 1), '' ORDER BY g, k) AS d
+  FROM p, range(8) a(g), range(4) b(k) GROUP BY 1)
+SELECT p.page_id, strlen(p.html) AS payload_bytes, d.d AS payload_digest,
+  CASE WHEN p.page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> keeper THEN keeper END AS refers_to
+FROM p JOIN kept USING (html) JOIN digits d USING (page_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": EMBEDDINGS,
     "op4_ngram_jaccard_join": JACCARD,
+    "op7_chat_formatting": CHAT,
+    "op8_warc_salvage": WARC,
     "op10_benchmark_decontamination": DECONTAMINATION,
 }

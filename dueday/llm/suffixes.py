@@ -381,3 +381,27 @@ def remove_repeats(
     columns = ["part", "s0", "s1", "s2", "s3"]
     spans = spans.select(columns).union(judged.where("length(s0) > 0").select(columns))
     return _cut(pack_texts(keyed, id_parts), spans, length, with_text)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is what ``remove_repeats`` keeps.
+
+    Rows that lose all of their text go; rows that had none stay. A column
+    ``n_chars`` follows the new text. Rows that lose nothing keep their very text.
+    """
+    found = remove_repeats(docs, id_col, text_col, length).where("n_removed > 0")
+    found = materialize(
+        found.select(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag"), F.col("kept_text").alias("cut_text")).distinct(),
+        "cut_texts",
+    )
+    plain = found.where("cut_tag <> 0").limit(1).count() == 0  # ids alone tell rows apart
+    same = docs[id_col].cast("long").eqNullSafe(found["cut_id"])
+    if not plain:
+        same = same & (F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")) == found["cut_tag"])
+    joined = docs.join(found, same, "left").where("cut_tag IS NULL OR cut_text <> ''")
+    changed = F.when(F.col("cut_tag").isNotNull(), F.col("cut_text")).otherwise(F.col(text_col))
+    out = joined.withColumn(text_col, changed)
+    if "n_chars" in docs.columns:
+        shorter = F.length(text_col).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("cut_tag").isNotNull(), shorter).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
