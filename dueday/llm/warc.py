@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+REQUIRED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 FILE_RECORDS = 4_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,7 +87,9 @@ def parse_record(data: bytes, at: int = 0) -> Record | None:
         if not colon:
             return None
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    length = headers.get("content-length", "")
+    if not REQUIRED <= headers.keys():
+        return None
+    length = headers["content-length"]
     if not re.fullmatch(r"[0-9]{1,15}", length):
         return None
     begin, end = stop + 4, stop + 4 + int(length)
