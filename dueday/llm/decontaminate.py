@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textblocks import LETTER_WORDS, Block, blocks, text_buffers, words
+from .textblocks import LETTER_WORDS, Block, blocks, small_batches, text_buffers, tidy, words
 
 WINDOW = 13
 COVERAGE = 20  # one word in so many
@@ -219,13 +219,51 @@ def decontaminate(
         ]
     )
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.binary()), ("item_ids", pa.list_(pa.string()))])
+    small_batches(docs.sparkSession)
     docs = docs.drop("benchmark")
     at = docs.columns.index(text_col)
     listed = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     rounds = _item_rounds(listed.where("text is not null"), round_words)
     out = docs.withColumn("benchmark", F.lit(None).cast(state))
+    between = out.schema
 
-    def searched(before: DataFrame, ids: list, texts: list) -> DataFrame:
+    final = T.StructType(
+        [
+            T.StructField("n_words", T.LongType()),
+            T.StructField("n_hit", T.LongType()),
+            T.StructField("item_ids", T.ArrayType(T.StringType())),
+            T.StructField("contaminated", T.BooleanType()),
+            T.StructField("clean_text", T.StringType()),
+        ]
+    )
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("benchmark", final)])
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = batch.column(len(batch.columns) - 1)
+        n_words = found.field("n_words").to_numpy(False)
+        texts = batch.column(at)
+        n_hit = np.zeros(len(batch), np.int64)
+        clean = [None] * len(batch)
+        spans = found.field("spans")
+        lengths = np.diff(np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1]) if len(spans) else []
+        for r in np.flatnonzero(lengths):
+            rows = np.frombuffer(spans[int(r)].as_buffer(), np.int64).reshape(-1, 4)
+            n_hit[r] = int((rows[:, 1] - rows[:, 0]).sum())
+            text, kept, last = texts[int(r)].as_py().encode(), [], 0
+            for begin, end in rows[:, 2:].tolist():
+                kept.append(text[last:begin])
+                last = end
+            clean[r] = b"".join([*kept, text[last:]]).decode()
+        hit = n_hit > 0
+        fields = [
+            pa.array(n_words), pa.array(n_hit), found.field("item_ids"),
+            pa.array(hit & (coverage * n_hit >= n_words)), pa.array(clean, pa.string()),
+        ]
+        result = pa.StructArray.from_arrays(fields, ["n_words", "n_hit", "item_ids", "contaminated", "clean_text"])
+        return pa.RecordBatch.from_arrays(list(batch.columns[:-1]) + [result], names=batch.schema.names)
+
+    def searched(before: DataFrame, ids: list, texts: list, closing: bool) -> DataFrame:
         sent = before.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,51 +295,15 @@ def decontaminate(
                         packed = np.array(_merged(own), np.int64).tobytes()
                         results.append({"n_words": n, "spans": packed, "item_ids": sorted(listed)})
                 columns = list(batch.columns[:-1]) + [pa.array(results, kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                result = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                yield finish(result) if closing else result
 
-        return before.mapInArrow(run, out.schema)
+        return before.mapInArrow(tidy(run), schema if closing else between)
 
-    some = False
-    for ids, texts in rounds:
-        out, some = searched(out, ids, texts), True
-    if not some:
-        out = searched(out, [], [])
-    final = T.StructType(
-        [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("item_ids", T.ArrayType(T.StringType())),
-            T.StructField("contaminated", T.BooleanType()),
-            T.StructField("clean_text", T.StringType()),
-        ]
-    )
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(len(batch.columns) - 1)
-            n_words = found.field("n_words").to_numpy(False)
-            texts = batch.column(at)
-            n_hit = np.zeros(len(batch), np.int64)
-            clean = [None] * len(batch)
-            spans = found.field("spans")
-            lengths = np.diff(np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1]) if len(spans) else []
-            for r in np.flatnonzero(lengths):
-                rows = np.frombuffer(spans[int(r)].as_buffer(), np.int64).reshape(-1, 4)
-                n_hit[r] = int((rows[:, 1] - rows[:, 0]).sum())
-                text, kept, last = texts[int(r)].as_py().encode(), [], 0
-                for begin, end in rows[:, 2:].tolist():
-                    kept.append(text[last:begin])
-                    last = end
-                clean[r] = b"".join([*kept, text[last:]]).decode()
-            hit = n_hit > 0
-            fields = [
-                pa.array(n_words), pa.array(n_hit), found.field("item_ids"),
-                pa.array(hit & (coverage * n_hit >= n_words)), pa.array(clean, pa.string()),
-            ]
-            result = pa.StructArray.from_arrays(fields, ["n_words", "n_hit", "item_ids", "contaminated", "clean_text"])
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:-1]) + [result], names=batch.schema.names)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("benchmark", final)])
-    checked = out.mapInArrow(finish, schema)
+    now = next(rounds, ([], []))
+    while now is not None:
+        after = next(rounds, None)
+        out = searched(out, *now, closing=after is None)
+        now = after
     text = F.when(F.col("benchmark.n_hit") > 0, F.col("benchmark.clean_text")).otherwise(F.col(text_col))
-    return checked.withColumn("benchmark", F.col("benchmark").withField("clean_text", text))
+    return out.withColumn("benchmark", F.col("benchmark").withField("clean_text", text))

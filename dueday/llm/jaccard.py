@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .links import components
 from .packs import arrays, dealt
-from .textblocks import SPACED_WORDS, U64, blocks, mixed, row_sums, shingle_sets
+from .textblocks import SPACED_WORDS, U64, blocks, mixed, row_sums, shingle_sets, small_batches, tidy
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -20,7 +20,7 @@ LEVELS = (2, 8, 64)  # how many sets hold a token, in steps
 TABLE_BITS = 26  # bits a level: 8 MB, whatever the input
 SPLIT = 64  # a token of the last level is dealt over this many parts
 PART_BYTES = 4 << 20  # of text, to a part of the shuffles
-MOST_HELD = 2_000_000  # tokens a task gathers before it passes them on
+MOST_HELD = 600_000  # tokens a task gathers before it passes them on
 BLOCK_NODES = 256
 BLOCK_TOKENS = 1 << 16
 SEEDS = (0x51ED270B, 0xA0761D64)  # the second and third order
@@ -128,7 +128,7 @@ def _counted(docs: DataFrame, size: int, region_bits: int) -> DataFrame:
         none = pa.nulls(1, pa.int64())
         return pa.table({"doc_id": none, "n": none, "node": none, "region": pa.array([part], pa.int32()), "bits": pa.array([bits])})
 
-    spread = docs.mapInArrow(run, "part int, a binary, b binary, c binary")
+    spread = docs.mapInArrow(tidy(run), "part int, a binary, b binary, c binary")
     return spread.groupBy("part").applyInArrow(count, "doc_id long, n long, node long, region int, bits binary")
 
 
@@ -188,7 +188,7 @@ def _postings(docs: DataFrame, rarity, size: int, percent: int, parts: int) -> D
         keep |= rarity.value.classes(token) == len(LEVELS)  # its other nodes may be in other parts
         return pa.table({"token": token[keep].view(np.int64), "node": node[keep].view(np.int64), "n": n[keep].astype(np.int64)})
 
-    spread = docs.mapInArrow(run, "part int, token binary, node binary, n binary")
+    spread = docs.mapInArrow(tidy(run), "part int, token binary, node binary, n binary")
     return spread.groupBy("part").applyInArrow(shared_tokens, "token long, node long, n long")
 
 
@@ -226,7 +226,7 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
         if nodes:
             yield packed()
 
-    return rows.mapInArrow(run, "block long, nodes binary, lengths binary, tokens binary")
+    return rows.mapInArrow(tidy(run), "block long, nodes binary, lengths binary, tokens binary")
 
 
 def _incidence(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -319,7 +319,7 @@ def _compare(pairs: DataFrame, packed: DataFrame, rarity, percent: int) -> DataF
                 if kept:
                     yield pa.record_batch([pa.array([x for x, _ in kept]), pa.array([y for _, y in kept])], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(
@@ -347,6 +347,7 @@ def near_duplicates(
     component. Repeated rows stay rows and share a component. Texts are read whole. Extra columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     region_bits = min(max(6, (n_bytes // PART_BYTES).bit_length()), 18)
     counted = materialize(_counted(docs, size, region_bits), "sets")
@@ -371,7 +372,7 @@ def near_duplicates(
                 ids = np.frombuffer(nodes.as_buffer(), np.int64)
                 yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), block))], ["node", "block"])
 
-    homes = packed.select("block", "nodes").mapInArrow(unpack, "node long, block long")
+    homes = packed.select("block", "nodes").mapInArrow(tidy(unpack), "node long, block long")
     placed = materialize(lists.join(homes, "node").select("token", "node", "block"), "placed")
     first = placed.groupBy("token").agg(F.min("block").alias("i"))
     stars = placed.select("token", F.col("block").alias("j")).distinct().join(first, "token").select("i", "j")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .textblocks import LOWER, blocks
+from .textblocks import LOWER, blocks, small_batches, tidy
 
 BUCKETS = 1 << 15
 FIT_ROWS = 4_000  # labelled rows to learn letters from, in expectation
@@ -61,7 +61,7 @@ def _letter_model(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray
             yield pa.record_batch([pa.array(list(sums)), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["declared", "counts"])
 
     found: dict[str, np.ndarray] = {}
-    sample = sample.select("declared", "text").coalesce(16).mapInArrow(count, "declared string, counts binary")
+    sample = sample.select("declared", "text").coalesce(16).mapInArrow(tidy(count), "declared string, counts binary")
     for r in sample.toLocalIterator():  # one row a task and language of a bounded sample
         found[r["declared"]] = found.get(r["declared"], 0) + np.frombuffer(r["counts"], np.int64)
     languages = sorted(found, key=lambda name: (-found[name].sum(), name))[:MOST_LANGUAGES]
@@ -94,7 +94,7 @@ def _text_logs(rows: DataFrame, languages: list[str], logs: np.ndarray) -> DataF
                 )
 
     schema = rows.select(*kept).schema.add("letters", T.LongType()).add("likelihoods", T.ArrayType(T.DoubleType()))
-    return rows.select(*kept, "text").mapInArrow(run, schema)
+    return rows.select(*kept, "text").mapInArrow(tidy(run), schema)
 
 
 def _with_shares(frame: DataFrame, name: str, scores: Column) -> DataFrame:
@@ -139,6 +139,7 @@ def identify(
     declaration and address) tells rows of one id apart.
     Extra columns are ignored. Ties go to the language that sorts first.
     """
+    small_batches(docs.sparkSession)
     blank = F.lit(None).cast("string")
     address = F.lower(F.col(address_col).cast("string")) if address_col else blank
     host = F.regexp_extract(address, r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)", 1)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .packs import arrays, dealt, pack_texts, unpack_texts
-from .textblocks import LOWER, SPACED_WORDS, U64, Block, mixed, words
-from .vocabulary import CHUNK, MODEL, Vocabulary, by_length, load_vocabulary, substring_ids
+from .textblocks import LOWER, SPACED_WORDS, U64, Block, small_batches, words
+from .vocabulary import MODEL, Vocabulary, by_length, load_vocabulary, substring_ids
 
 STOP = 0.4  # a word ends after a piece with this probability
 RANK_OFFSET = 10.0
@@ -120,6 +120,7 @@ def score(
     empty table gives no rows. Without training rows, counts are 0.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, n_bytes // TEXT_PART)
     none = -(1 << 63)

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textblocks import U64, mixed, text_buffers
+from .textblocks import U64, mixed, text_buffers, tidy
 
 CODEC = "zstd"
-TEXT_PACK_BYTES = 16 << 20
+TEXT_PACK_BYTES = 8 << 20
 
 
 def arrays(table: pa.Table, **kinds) -> list[np.ndarray]:
@@ -73,7 +73,7 @@ def pack_texts(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.mapInArrow(run, "part int, ids binary, tags binary, lengths binary, missing binary, data binary")
+    return docs.mapInArrow(tidy(run), "part int, ids binary, tags binary, lengths binary, missing binary, data binary")
 
 
 def unpack_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textblocks import BYTE_VALUES, U64, blocks, mixed, powers
+from .textblocks import BYTE_VALUES, U64, blocks, mixed, powers, small_batches, tidy
 from .vocabulary import MODEL, Vocabulary, by_length, load_vocabulary, substring_ids
 
 BLOCK = 1 << 21
@@ -182,7 +182,9 @@ def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*[f for f in schema.fields if f.name != name], T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
+def encode(
+    docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, exact_col: str | None = None
+) -> DataFrame:
     """All columns of ``docs`` and the ids of each text, as the model's scores weigh them.
 
     The segmentation with the highest sum of piece scores wins; among equal sums
@@ -190,14 +192,18 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
     front if the model says so. Bytes that no piece covers become byte pieces,
     as does a literal space mark, so decoding gives every text back if the model
     has all byte pieces. Empty texts have no ids, null texts null.
-    A column that has the name ``ids_col`` is replaced. Memory is bounded by a block of texts or the longest text.
+    A column that has the name ``ids_col`` is replaced. With ``exact_col`` the ids are
+    decoded in the same pass, and that column says whether they give the text back. Memory is bounded by a block of texts or the longest text.
     """
-    docs = docs.drop(ids_col)
+    small_batches(docs.sparkSession)
+    docs = docs.drop(ids_col, *([exact_col] if exact_col else []))
     at = docs.columns.index(text_col)
+    schema = _with(docs.schema, ids_col, T.ArrayType(T.IntegerType()))
+    schema = _with(schema, exact_col, T.BooleanType()) if exact_col else schema
     sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder, decoder = Encoder(sent.value), Decoder(sent.value)
         for batch in batches:
             for block in blocks(batch.column(at), BLOCK):
                 ids, starts = encoder.encode(block.data, block.starts)
@@ -205,9 +211,50 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
                 lists = pa.ListArray.from_arrays(
                     pa.array(starts, pa.int32()), pa.array(ids), mask=rows.column(at).is_null()
                 )
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*batch.schema.names, ids_col])
+                columns = [*rows.columns, lists]
+                if exact_col:
+                    data, cuts = decoder.decode(ids, starts)
+                    columns.append(pa.array(same_rows(data, cuts, block)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, _with(docs.schema, ids_col, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(tidy(run), schema)
+
+
+class Decoder:
+    """The bytes that ids stand for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.lengths = np.array([len(p) for p in vocabulary.pieces] + [0], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(vocabulary.pieces), np.uint8)
+        self.prefix = vocabulary.dummy_prefix
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows laid end to end, without the space in front, and where each row's begin."""
+        ids = np.where((ids < 0) | (ids >= len(self.lengths)), len(self.lengths) - 1, ids)
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.letters[np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[starts]
+        if self.prefix and total:
+            spaced = cuts[:-1][np.diff(cuts) > 0]
+            spaced = spaced[data[spaced] == 32]
+            data = np.delete(data, spaced)
+            cuts = cuts - np.searchsorted(spaced, cuts)
+        return data, cuts
+
+
+def same_rows(data: np.ndarray, cuts: np.ndarray, block) -> np.ndarray:
+    """Whether each row's bytes are those of the block's row."""
+    same = np.diff(cuts) == np.diff(block.starts)
+    if same.all():
+        wrong = np.flatnonzero(data != block.data)
+        same[np.searchsorted(cuts, wrong, "right") - 1] = False
+        return same
+    for r in np.flatnonzero(same):
+        same[r] = np.array_equal(data[cuts[r] : cuts[r + 1]], block.data[block.starts[r] : block.starts[r + 1]])
+    return same
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -217,35 +264,26 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
     null ids a null. Null, unknown and control ids stand for no text; bytes that
     are not UTF-8 become the replacement character. A column that has the name ``text_col`` is replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(text_col)
     at = docs.columns.index(ids_col)
-    vocabulary = load_vocabulary(model)
-    prefix = vocabulary.dummy_prefix
-    lengths = np.array([len(p) for p in vocabulary.pieces] + [0], np.int64)
-    letters = np.frombuffer(b"".join(vocabulary.pieces), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast((lengths, np.cumsum(lengths) - lengths, letters))
+    sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, begins, letters = sent.value
+        decoder = Decoder(sent.value)
         for batch in batches:
             step = max(1, len(batch) * BLOCK // max(batch.column(at).nbytes, 1))
             for k in range(0, max(len(batch), 1), step):
                 rows = batch.slice(k, step)
                 lists = rows.column(at)
                 ids = lists.flatten().fill_null(-1).to_numpy(False)
-                ids = np.where((ids < 0) | (ids >= len(lengths)), len(lengths) - 1, ids)
                 counts = lists.value_lengths().fill_null(0).to_numpy(False).astype(np.int64)
-                sizes = lengths[ids]
-                ends = np.cumsum(sizes)
-                total = int(ends[-1]) if len(ends) else 0
-                data = letters[np.repeat(begins[ids] - (ends - sizes), sizes) + np.arange(total)]
-                cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+                data, cuts = decoder.decode(ids, np.concatenate([[0], np.cumsum(counts)]))
                 null = lists.is_null().to_pylist()
                 texts = []
                 for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    skip = prefix and b > a and data[a] == 32
-                    texts.append(None if null[r] else data[a + skip : b].tobytes().decode("utf-8", "replace"))
+                    texts.append(None if null[r] else data[a:b].tobytes().decode("utf-8", "replace"))
                 columns = [*rows.columns, pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, text_col])
 
-    return docs.mapInArrow(run, _with(docs.schema, text_col, T.StringType()))
+    return docs.mapInArrow(tidy(run), _with(docs.schema, text_col, T.StringType()))

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .packs import arrays, dealt, id_part, pack_texts, unpack_texts
-from .textblocks import BYTE_VALUES, ODD, U64, blocks, mixed, powers
+from .textblocks import BYTE_VALUES, ODD, U64, blocks, mixed, powers, small_batches, tidy
 
 LENGTH = 100
 GRAM = 32  # bytes of an anchor
-HELD_ANCHORS = 1_500_000
+HELD_ANCHORS = 500_000
 PART_BYTES = 4 << 20
 LONG = 1 << 19  # texts are cut into stretches of this many windows
 SORTED = 7  # symbols that the first sort compares
@@ -177,7 +177,7 @@ def _anchors(docs: DataFrame, length: int, parts: int, id_parts: int) -> DataFra
         if buffer:
             yield from packed()
 
-    return docs.mapInArrow(run, "part int, " + ", ".join(f"{n} binary" for n in names))
+    return docs.mapInArrow(tidy(run), "part int, " + ", ".join(f"{n} binary" for n in names))
 
 
 def _span_batch(rows: dict[str, np.ndarray], parts: int, id_parts: int, names: list[str]) -> pa.RecordBatch:
@@ -368,6 +368,7 @@ def remove_repeats(
     if not 2 * GRAM <= length <= 255:
         raise ValueError(f"length must be {2 * GRAM} to 255")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     unclear = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
     tag = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if unclear else F.lit(0).cast("long")

@@ -7,11 +7,15 @@ does not depend on the size of its partition, only on its longest text.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 19
 U64 = np.uint64
@@ -69,13 +73,15 @@ class Block:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null counts as empty."""
+    """Bytes and offsets of a string column, without a copy; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("") if len(column) else pa.array([], pa.large_string())
+    if column.null_count or column.type not in (pa.string(), pa.large_string()):
+        column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if column.type == pa.large_string() else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -92,6 +98,36 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         first = last
 
 
+def tidy(run):
+    """A function of batches that gives freed memory back to the system when it ends.
+
+    Python workers are kept for later stages, so what they hold on to adds up.
+    """
+
+    @functools.wraps(run)
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return each
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let tasks get texts in batches of bounded bytes: rows can be very long, and the
+    session's own limit is a number of rows only. A lower limit that is set stays."""
+    for name, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        size = int(re.sub(r"\D", "", now or "") or 0)
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 @dataclass
 class Words:
     """Words of a block in order: byte range, row, and 64-bit hash."""

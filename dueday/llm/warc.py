@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .textblocks import small_batches, tidy
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 REQUIRED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
@@ -158,6 +159,7 @@ def write_archives(
     payloads that occur more than once are written, so Spark broadcasts them if they
     are small by its own measure, and else splits the join.
     """
+    small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"),
@@ -179,7 +181,7 @@ def write_archives(
                     members.append(gzip_member(record(row["page_id"], row["url"], row["payload"], keeper)))
                 yield pa.record_batch([pa.array(members, pa.binary())], ["member"])
 
-    members = kept.mapInArrow(write, "member binary").select(F.col("member").cast("string").alias("value"))
+    members = kept.mapInArrow(tidy(write), "member binary").select(F.col("member").cast("string").alias("value"))
     writer = members.write.option("maxRecordsPerFile", FILE_RECORDS).option("encoding", "ISO-8859-1")
     writer.option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
@@ -228,4 +230,4 @@ def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> Da
         "url string, payload_bytes long, payload_digest string, block binary"
     )
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "content")
-    return files.mapInArrow(read, schema)
+    return files.mapInArrow(tidy(read), schema)
