@@ -60,14 +60,24 @@ def _missing_sql(table, view):
     )
 
 
+CLEAN_VIEWS = {
+    "application_train": "ov_application",
+    "installments_payments": "ov_payments",
+    "POS_CASH_balance": "fx_pos",
+    "previous_application": "ov_previous",
+    "bureau": "fx_bureau",
+    "bureau_balance": "ov_balance",
+}
+
+
 @query(
     "missing_summary",
-    " UNION ALL ".join(_missing_sql(t, v) for t, v in (("application_train", "ov_application"), ("installments_payments", "ov_payments"), ("bureau", "fx_bureau"))),
+    " UNION ALL ".join(_missing_sql(t, v) for t, v in CLEAN_VIEWS.items()),
     missing_pct=6,
 )
 def missing_summary(d):
-    tables = _cleaned(d)
-    rows = [audit.missing_summary(tables[t], t) for t in ("application_train", "installments_payments", "bureau")]
+    tables = _cleaned(d) | {"POS_CASH_balance": d.raw["POS_CASH_balance"]}
+    rows = [audit.missing_summary(tables[t], t) for t in CLEAN_VIEWS]
     return audit.sorted_missing(audit.union_all(rows)).drop("present_count")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import reports
 from ..schemas import HISTORY_FEATURES
 from ..sources.sinks import sort_outputs
+from ..sources.sinks import sort_events as ordered_events
 from .base import query
 
 KEY = "snapshot_id, SK_ID_CURR"
@@ -72,9 +73,8 @@ def chronological_split(d):
 @query("sort_events", "SELECT SK_ID_CURR, DAYS_INSTALMENT, NUM_INSTALMENT_NUMBER, SK_ID_PREV FROM ov_events")
 def sort_events(d):
     rows = d.events.select("SK_ID_CURR", "DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER", "SK_ID_PREV", "NUM_INSTALMENT_VERSION")
-    return sort_outputs(
-        rows, ["SK_ID_CURR", "DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER", "NUM_INSTALMENT_VERSION", "SK_ID_PREV"]
-    ).drop("NUM_INSTALMENT_VERSION")
+    order = ["SK_ID_CURR", "DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER", "NUM_INSTALMENT_VERSION", "SK_ID_PREV"]
+    return ordered_events(rows, order).drop("NUM_INSTALMENT_VERSION")
 
 
 @query("sort_outputs", "SELECT SK_ID_CURR, snapshot_day, snapshot_id FROM ov_missed")

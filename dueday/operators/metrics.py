@@ -171,7 +171,7 @@ def fixed_threshold_metrics(
     """
     curve = pr_curve(df, by, score, label)
     best = best_f1_of(curve, by).select(*by, F.col("optimal_threshold"))
-    tagged = curve.join(best, list(by))
+    tagged = curve.join(F.broadcast(best), list(by))  # one row per group
     limits = [(F.lit(float(t)), "fixed") for t in thresholds] + [(F.col("optimal_threshold"), "optimal_f1")]
 
     def cells(limit: Column) -> list[Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import ENTITY, EVENT_ORDER
 from ..session import materialize
 
-REPORT_ROWS = 100_000
+REPORT_ROWS = 100_000  # to a file
 
 
 def sink_parquet(df: DataFrame, path: str, sort_within: Sequence[str] = ()) -> DataFrame:
@@ -22,21 +22,26 @@ def sink_parquet(df: DataFrame, path: str, sort_within: Sequence[str] = ()) -> D
     return df.sparkSession.read.parquet(path)
 
 
+def sort_events(events: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Events in order: ranges of the order key follow one another, and rows inside them too.
+
+    The key is the whole order, so a borrower with very many events fills several ranges.
+    """
+    return events.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
 def sort_outputs(df: DataFrame, by: Sequence[str] = (ENTITY, "snapshot_day")) -> DataFrame:
     """Order rows inside each partition, which is what readers of the files use."""
     return df.sortWithinPartitions(*by)
 
 
 def sink_csv_report(df: DataFrame, path: str) -> DataFrame:
-    """A report as one CSV file.
-
-    One file means one writing task, so tables beyond ``REPORT_ROWS`` rows are
-    refused: they belong in Parquet.
-    """
+    """A report as CSV with a header: one file up to ``REPORT_ROWS`` rows, and more
+    files, written by as many tasks as the table has parts, beyond that."""
     rows = materialize(df, "report")
-    if rows.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
-        raise ValueError(f"more than {REPORT_ROWS} rows: write the table with sink_parquet")
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    small = rows.limit(REPORT_ROWS + 1).count() <= REPORT_ROWS
+    writer = (rows.coalesce(1) if small else rows).write.mode("overwrite")
+    writer.option("header", True).option("maxRecordsPerFile", REPORT_ROWS).csv(path)
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
 
 

@@ -91,3 +91,15 @@ def test_column_roles(spark):
 def test_manifest(spark):
     got = sinks.run_manifest(spark, "s", {"x": spark.range(4)}, {"k": 1}).first()
     assert tuple(got) == ("s", "x", 4, 1, '{"k": 1}')
+
+
+def test_large_report_is_written_whole(spark, tmp_path):
+    path = str(tmp_path / "large")
+    back = sinks.sink_csv_report(spark.range(200_000).repartition(3), path)
+    assert back.count() == 200_000 and back.agg({"id": "sum"}).first()[0] == 199_999 * 100_000
+
+
+def test_events_come_in_order(spark, many_parts):
+    rows = [(k % 7, k * 37 % 101, k) for k in range(500)]
+    got = sinks.sort_events(spark.createDataFrame(rows, "a long, b long, c long"), ["a", "b", "c"]).collect()
+    assert [tuple(r) for r in got] == sorted(rows)
