@@ -49,9 +49,10 @@ class Rarity:
 
     @staticmethod
     def positions(tokens: np.ndarray, region_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two places of each token inside its region."""
-        mask = U64((1 << (TABLE_BITS - region_bits)) - 1)
-        return tuple((x & mask).astype(np.int64) for x in (tokens >> U64(64 - TABLE_BITS), tokens >> U64(7)))
+        """Two places of each token inside its region, from the token's low 32 bits."""
+        low = tokens.astype(np.uint32)
+        mask = np.uint32((1 << (TABLE_BITS - region_bits)) - 1)
+        return tuple((x & mask).astype(np.int64) for x in (low, low * np.uint32(0x9E3779B1) >> np.uint32(12)))
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
         region = (tokens >> U64(64 - self.region_bits)).astype(np.int64) << (TABLE_BITS - self.region_bits)
@@ -75,6 +76,7 @@ def _counted(docs: DataFrame, size: int, region_bits: int) -> DataFrame:
     """One pass over the texts: (doc_id, n, node) of each row, and the regions' bit tables.
 
     Tokens are shuffled packed, once per task and distinct set, and counted by region.
+    Inside a region 32 bits tell them apart: two tokens taken for one only look more common.
     """
     parts = 1 << region_bits
 
@@ -83,7 +85,7 @@ def _counted(docs: DataFrame, size: int, region_bits: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             token = np.concatenate(buffer)
-            some, (tokens,) = dealt((token >> U64(64 - region_bits)).astype(np.int32), parts, [token])
+            some, (tokens,) = dealt((token >> U64(64 - region_bits)).astype(np.int32), parts, [token.astype(np.uint32)])
             none = pa.nulls(len(some), pa.binary())
             return pa.record_batch([some, tokens, none, none], ["part", "a", "b", "c"])
 
@@ -116,7 +118,7 @@ def _counted(docs: DataFrame, size: int, region_bits: int) -> DataFrame:
                 {"doc_id": pa.array(ids, mask=n < 0), "n": np.where(n < 0, -1 - n, n), "node": nodes,
                  "region": pa.nulls(len(n), pa.int32()), "bits": pa.nulls(len(n), pa.binary())}
             )
-        (token,) = arrays(table, a=U64)
+        (token,) = arrays(table, a=np.uint32)
         token = np.sort(token)
         begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         df, token = np.diff(np.append(begins, len(token))), token[begins]
@@ -142,17 +144,17 @@ def _rarity(counted: DataFrame, region_bits: int) -> Rarity:
 
 
 def _postings(docs: DataFrame, rarity, size: int, percent: int, parts: int) -> DataFrame:
-    """(token, node, n) of prefixes under the first order, where another node has the token too."""
+    """(token, node) of prefixes under the first order, where another node has the token too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, buffer, held = set(), [], 0
 
         def packed() -> pa.RecordBatch:
-            token, node, n = (np.concatenate(x) for x in zip(*buffer))
+            token, node = (np.concatenate(x) for x in zip(*buffer))
             common = rarity.value.classes(token) == len(LEVELS)  # only these can be in very many prefixes
             part = (mixed(token + np.where(common, node % U64(SPLIT), U64(0))) % U64(parts)).astype(np.int32)
-            some, columns = dealt(part, parts, [token, node, n])
-            return pa.record_batch([some, *columns], ["part", "token", "node", "n"])
+            some, columns = dealt(part, parts, [token, node])
+            return pa.record_batch([some, *columns], ["part", "token", "node"])
 
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -165,7 +167,7 @@ def _postings(docs: DataFrame, rarity, size: int, percent: int, parts: int) -> D
                     seen.add(node)
                     prefix = _ranked(tokens[a:b], 0, rarity.value)[: _prefix_length(b - a, percent)]
                     k = len(prefix)
-                    buffer.append((prefix, np.full(k, node, U64), np.full(k, b - a, np.uint32)))
+                    buffer.append((prefix, np.full(k, node, U64)))
                     held += k
                     if held > MOST_HELD // 3:
                         yield packed()
@@ -175,21 +177,21 @@ def _postings(docs: DataFrame, rarity, size: int, percent: int, parts: int) -> D
             yield packed()
 
     def shared_tokens(table: pa.Table) -> pa.Table:
-        token, node, n = arrays(table, token=U64, node=U64, n=np.uint32)
+        token, node = arrays(table, token=U64, node=U64)
         order = np.lexsort((node, token))
-        token, node, n = token[order], node[order], n[order]
+        token, node = token[order], node[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n = token[fresh], node[fresh], n[fresh]
+        token, node = token[fresh], node[fresh]
         begins = np.ones(len(token), bool)
         begins[1:] = token[1:] != token[:-1]
         sizes = np.diff(np.append(np.flatnonzero(begins), len(token)))
         keep = np.repeat(sizes, sizes) > 1
         keep |= rarity.value.classes(token) == len(LEVELS)  # its other nodes may be in other parts
-        return pa.table({"token": token[keep].view(np.int64), "node": node[keep].view(np.int64), "n": n[keep].astype(np.int64)})
+        return pa.table({"token": token[keep].view(np.int64), "node": node[keep].view(np.int64)})
 
-    spread = docs.mapInArrow(tidy(run), "part int, token binary, node binary, n binary")
-    return spread.groupBy("part").applyInArrow(shared_tokens, "token long, node long, n long")
+    spread = docs.mapInArrow(tidy(run), "part int, token binary, node binary")
+    return spread.groupBy("part").applyInArrow(shared_tokens, "token long, node long")
 
 
 def _pack(rows: DataFrame, size: int) -> DataFrame:
