@@ -2,7 +2,7 @@
 
 from ..operators import audit, entity, labels, metrics, splits
 from ..operators.clean import payment_flags
-from ..schemas import AUDIT_KEYS
+from ..schemas import APPLICATION_NUMERIC, AUDIT_KEYS
 from ..sources.fixtures import RAW_VIEWS
 from .base import SINGLE, query
 
@@ -81,7 +81,7 @@ def missing_summary(d):
     return audit.sorted_missing(audit.union_all(rows)).drop("present_count")
 
 
-PROFILE = ["AMT_CREDIT", "AMT_ANNUITY", "DAYS_EMPLOYED"]
+PROFILE = [*APPLICATION_NUMERIC, "DAYS_EMPLOYED"]
 
 
 @query(

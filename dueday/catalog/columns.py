@@ -60,18 +60,52 @@ def bureau_status_group(d):
     return d.balance
 
 
-@query(
-    "indicator_columns",
-    """SELECT SK_ID_PREV, CAST(status_group = 'approved' AS INT) AS is_approved, CAST(status_group = 'rejected' AS INT) AS is_rejected,
-    CAST(status_group = 'active' AS INT) AS is_active_prev, CAST(status_group IN ('canceled', 'unused_offer') AS INT) AS is_dropped FROM ov_previous""",
-)
+PREVIOUS_INDICATORS = {"is_approved": "approved", "is_rejected": "rejected", "is_active_prev": "active"}
+BALANCE_INDICATORS = {"is_dpd": S.DPD_GROUPS, "is_dpd30": S.DPD30_GROUPS}
+
+
+def _indicator_sql(source, view, key, month, name, condition):
+    return (
+        f"SELECT '{source}' AS source, {key} AS id, {month} AS month, '{name}' AS indicator, "
+        f"CAST(coalesce({condition}, false) AS INT) AS value FROM {view}"
+    )
+
+
+def _one_of(values):
+    return "status_group IN (" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+INDICATOR_SQL = [
+    *[
+        _indicator_sql("previous_application", "ov_previous", "SK_ID_PREV", "CAST(NULL AS INT)", c, f"status_group = '{v}'")
+        for c, v in PREVIOUS_INDICATORS.items()
+    ],
+    _indicator_sql("bureau", "fx_bureau", "SK_ID_BUREAU", "CAST(NULL AS INT)", "is_active", "CREDIT_ACTIVE = 'Active'"),
+    _indicator_sql("bureau", "fx_bureau", "SK_ID_BUREAU", "CAST(NULL AS INT)", "is_overdue", "CREDIT_DAY_OVERDUE > 0"),
+    *[
+        _indicator_sql("bureau_balance", "ov_balance", "SK_ID_BUREAU", "MONTHS_BALANCE", c, _one_of(v))
+        for c, v in BALANCE_INDICATORS.items()
+    ],
+]
+
+
+@query("indicator_columns", " UNION ALL ".join(INDICATOR_SQL))
 def indicator_columns(d):
-    return d.previous.select(
-        "SK_ID_PREV",
-        S.is_value("status_group", "approved").alias("is_approved"),
-        S.is_value("status_group", "rejected").alias("is_rejected"),
-        S.is_value("status_group", "active").alias("is_active_prev"),
-        S.is_one_of("status_group", ["canceled", "unused_offer"]).alias("is_dropped"),
+    """The 0/1 columns of all three tables, one row per row and indicator."""
+
+    def long(df, source, key, month, flags):
+        rows = df.select(F.lit(source).alias("source"), F.col(key).alias("id"), month.cast("int").alias("month"),
+                         *[col.alias(name) for name, col in flags.items()])
+        return rows.unpivot(["source", "id", "month"], list(flags), "indicator", "value")
+
+    none = F.lit(None)
+    previous = {c: S.is_value("status_group", v) for c, v in PREVIOUS_INDICATORS.items()}
+    credit = {"is_active": S.is_value("CREDIT_ACTIVE", "Active"), "is_overdue": S.positive("CREDIT_DAY_OVERDUE")}
+    months = {c: S.is_one_of("status_group", v) for c, v in BALANCE_INDICATORS.items()}
+    return (
+        long(d.previous, "previous_application", "SK_ID_PREV", none, previous)
+        .unionByName(long(d.raw["bureau"], "bureau", "SK_ID_BUREAU", none, credit))
+        .unionByName(long(d.balance, "bureau_balance", "SK_ID_BUREAU", F.col("MONTHS_BALANCE"), months))
     )
 
 
@@ -115,9 +149,12 @@ def dpd30_flags(d):
     return inst.unionByName(pos)
 
 
-@query("fill_category", "SELECT SK_ID_CURR, coalesce(OCCUPATION_TYPE, 'missing') AS OCCUPATION_TYPE, CODE_GENDER FROM fx_application")
+@query(
+    "fill_category",
+    f"SELECT SK_ID_CURR, {', '.join(f"coalesce({c}, 'missing') AS {c}" for c in SLICE_COLS)} FROM fx_application",
+)
 def fill_category_(d):
-    return fill_category(d("fx_application").select("SK_ID_CURR", "OCCUPATION_TYPE", "CODE_GENDER"), ["OCCUPATION_TYPE", "CODE_GENDER"])
+    return fill_category(d("fx_application").select("SK_ID_CURR", *SLICE_COLS))
 
 
 @query("apply_threshold", "SELECT model, SK_ID_CURR, ord, y_prob, y_pred_05, y_pred_optimal FROM fx_pred")
