@@ -1,8 +1,13 @@
 """Audit tables and per-key aggregates."""
 
+from pyspark.sql import functions as F
+
 from ..operators import audit, entity, labels, metrics, splits
+from ..operators.assemble import target_rows
 from ..operators.clean import payment_flags
+from ..plans.stages import TARGETS
 from ..schemas import APPLICATION_NUMERIC, AUDIT_KEYS
+from ..session import materialize
 from ..sources.fixtures import RAW_VIEWS
 from .base import SINGLE, query
 
@@ -107,15 +112,25 @@ def anomaly_counts(d):
     return audit.anomaly_counts(d.raw)
 
 
+SEQUENCES = {"POS_CASH_balance": ("fx_pos", "SK_ID_PREV"), "bureau_balance": ("fx_bureau_balance", "SK_ID_BUREAU")}
+
+
 @query(
     "sequence_integrity",
-    """SELECT SK_ID_BUREAU, count(MONTHS_BALANCE) AS position_count, count(DISTINCT MONTHS_BALANCE) AS distinct_count
-    FROM fx_bureau_balance GROUP BY 1 HAVING count(MONTHS_BALANCE) <> count(DISTINCT MONTHS_BALANCE)""",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, {key} AS id, count(MONTHS_BALANCE) AS position_count, count(DISTINCT MONTHS_BALANCE) AS distinct_count "
+        f"FROM {view} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(MONTHS_BALANCE) <> count(DISTINCT MONTHS_BALANCE)"
+        for t, (view, key) in SEQUENCES.items()
+    ),
 )
 def sequence_integrity(d):
-    return audit.sequence_integrity(d("fx_bureau_balance"), "SK_ID_BUREAU").select(
-        "SK_ID_BUREAU", "position_count", "distinct_count"
-    )
+    found = [
+        audit.sequence_integrity(d.raw[t], key).select(
+            F.lit(t).alias("table_name"), F.col(key).alias("id"), "position_count", "distinct_count"
+        )
+        for t, (_, key) in SEQUENCES.items()
+    ]
+    return audit.union_all(found)
 
 
 @query("collapse_events", "SELECT * FROM ov_events", AMT_INSTALMENT=4, total_amount_paid=4)
@@ -146,16 +161,23 @@ def bureau_features(d):
     return d.bureau_features
 
 
+def _model_sql(target):
+    kept = f"SELECT * EXCLUDE (missed_upcoming_emi, future_dpd30), {target} AS label FROM ov_model WHERE {target} IS NOT NULL"
+    return _missing_sql(f"model_table_{target}", f"({kept})")
+
+
 @query(
     "feature_quality",
-    """SELECT 'snapshot_feature_base' AS table_name, column_name, missing_count, missing_count / n AS missing_pct
-    FROM (SELECT count(*) AS n FROM ov_base) t, (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM ov_base) ON COLUMNS(*) INTO NAME column_name VALUE missing_count) u""",
+    " UNION ALL ".join([_missing_sql("snapshot_feature_base", "ov_base"), *map(_model_sql, TARGETS)]),
     missing_pct=6,
 )
 def feature_quality(d):
-    base = d.model.drop("missed_upcoming_emi", "future_dpd30")
+    """The feature base and the model table of each target; the joined rows are written once for all three."""
+    model = materialize(d.model, "model")
+    tables = {"snapshot_feature_base": model.drop(*TARGETS)}
+    tables |= {f"model_table_{t}": target_rows(model, t) for t in TARGETS}
     # the type names of the two engines differ, so they are left out here
-    return audit.feature_quality({"snapshot_feature_base": base}).drop("dtype", "present_count")
+    return audit.feature_quality(tables).drop("dtype", "present_count")
 
 
 @query(
