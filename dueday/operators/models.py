@@ -42,6 +42,7 @@ GB_PARAMS: dict[str, Any] = {
 GB_PATIENCE = 50
 GB_PART_ROUNDS = 200
 PARTS = 5
+BUCKET_ROWS, MIN_BUCKETS = 1 << 20, 64  # of the hash buckets rows are numbered in
 
 # Training detail: room for node statistics, and node ids kept between levels.
 _FIT = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
@@ -192,24 +193,25 @@ def evaluate_splits(scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def stratified_partition(
     df: DataFrame, parts: int = PARTS, id_col: str = "snapshot_id", label: str = "label",
-    seed: int = 42, buckets: int = 4096,
+    seed: int = 42, buckets: int | None = None,
 ) -> DataFrame:
     """Add ``part``: a random split whose sizes differ by at most one per class.
 
     Rows are numbered within each class in hash order. The numbering is done
     per (class, hash bucket) and shifted by the sizes of the earlier buckets,
-    so the large class is not numbered in one task.
+    so the large class is not numbered in one task. There is a bucket for every
+    ``BUCKET_ROWS`` rows, counted first, unless ``buckets`` says how many.
     """
+    if buckets is None:
+        buckets = max(MIN_BUCKETS, -(-df.count() // BUCKET_ROWS))
     mix = F.xxhash64(F.col(id_col), F.lit(seed))
     rows = df.withColumn("_mix", mix).withColumn("_bucket", F.pmod("_mix", F.lit(buckets)).cast("int"))
     sizes = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most two classes times the number of buckets
     shift = sizes.select(label, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(label, "_bucket").orderBy("_mix", id_col)
-    numbered = rows.withColumn("_rn", F.row_number().over(inside) - 1).join(
-        F.broadcast(shift), [label, "_bucket"]
-    )
+    # the window has laid the rows out by the keys of this join already
+    numbered = rows.withColumn("_rn", F.row_number().over(inside) - 1).join(shift, [label, "_bucket"])
     return numbered.withColumn("part", F.pmod(F.col("_shift") + F.col("_rn"), F.lit(parts)).cast("int")).drop(
         "_mix", "_bucket", "_rn", "_shift"
     )
