@@ -194,6 +194,20 @@ def _postings(docs: DataFrame, rarity, size: int, percent: int, parts: int) -> D
     return spread.groupBy("part").applyInArrow(shared_tokens, "token long, node long")
 
 
+def _possibly(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``wanted``; all that are in it, so a join decides.
+
+    Hashed ids are marked in a table of 2**TABLE_BITS bits, 8 MB for any input, which is
+    broadcast. The more ids it holds the more rows pass that the join then drops.
+    """
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    marked = wanted.select(place.alias("place")).groupBy(F.expr("place >> 15").alias("bits_of"))
+    marked = marked.agg(F.bitmap_construct_agg(F.expr("place & 32767")).alias("bits"))
+    found = docs.withColumn("place", place).withColumn("bits_of", F.expr("place >> 15")).join(F.broadcast(marked), "bits_of")
+    byte = "cast(conv(hex(substring(bits, cast((place & 32767) >> 3 as int) + 1, 1)), 16, 10) as int)"
+    return found.where(f"(shiftright({byte}, cast(place & 7 as int)) & 1) = 1").select(*docs.columns)
+
+
 def _pack(rows: DataFrame, size: int) -> DataFrame:
     """Sets of neighbouring rows, packed to one row per block."""
 
@@ -336,7 +350,8 @@ def near_duplicates(
     * Equal sets are one node, so copies cost one posting list each, however many.
     * Shingles of all texts are counted. Prefixes under a rare-first global order,
       from bit tables of a fixed size, are shuffled, packed by token; tokens of one node only go.
-    * Nodes that still share tokens are laid side by side in blocks. Blocks that
+    * Nodes that still share tokens are laid side by side in blocks; texts of other rows
+      are left out by a bit table of ids before the join that fetches them. Blocks that
       share a token are compared; inside, pairs must also share prefix tokens
       under two further orders before their whole sets are intersected.
     * First every block meets itself and the first block of each of its tokens,
@@ -364,7 +379,7 @@ def near_duplicates(
         family = lists.join(nearest, "token").groupBy("node").agg(F.min("family").alias("family"))
     owners = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     wanted = materialize(family.join(owners, "node"), "candidates")
-    texts = named.join(wanted, "doc_id").select("node", "text", "family", "n")
+    texts = _possibly(named, wanted).join(wanted, "doc_id").select("node", "text", "family", "n")
     texts = texts.repartitionByRange("family", "n", "node").sortWithinPartitions("family", "n", "node")
     packed = materialize(_pack(texts.select("node", "text"), size), "blocks")
 
