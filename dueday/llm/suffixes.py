@@ -136,6 +136,16 @@ def _stretch(values: np.ndarray, up, down, length: int) -> tuple[np.ndarray, ...
     return first, count, at - first, h[at], context
 
 
+def _ordered(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Anchors by hash, context and place, each place once: rows that repeat id and text are no copies of themselves."""
+    order = np.lexsort((rows["at"], rows["tag"], rows["id"], rows["c"], rows["h"]))
+    rows = {k: x[order] for k, x in rows.items()}
+    fresh = np.ones(len(order), bool)
+    if len(order):
+        fresh[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in ("h", "c", "id", "tag", "at")], axis=0)
+    return {k: x[fresh] for k, x in rows.items()}
+
+
 def _anchors(docs: DataFrame, length: int, parts: int, id_parts: int) -> DataFrame:
     """All anchors by hash, packed; where a task holds equal contexts, only the earliest travels
     and the others are already spans to remove."""
@@ -145,10 +155,8 @@ def _anchors(docs: DataFrame, length: int, parts: int, id_parts: int) -> DataFra
         buffer, held = [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            rows = {k: np.concatenate(x) for k, x in zip(ANCHOR, zip(*buffer))}
-            order = np.lexsort((rows["at"], rows["tag"], rows["id"], rows["c"], rows["h"]))
-            rows = {k: x[order] for k, x in rows.items()}
-            later = np.zeros(len(order), bool)
+            rows = _ordered({k: np.concatenate(x) for k, x in zip(ANCHOR, zip(*buffer))})
+            later = np.zeros(len(rows["h"]), bool)
             later[1:] = (rows["h"][1:] == rows["h"][:-1]) & (rows["c"][1:] == rows["c"][:-1])
             own = {k: x[~later] for k, x in rows.items()}
             some, columns = dealt((own["h"] >> U64(40)).astype(np.int64) % parts, parts, list(own.values()))
@@ -198,10 +206,8 @@ def _judged(anchors: DataFrame, parts: int, id_parts: int) -> DataFrame:
             columns = arrays(table, **dict(zip(names, SPAN.values())))
             spans = [[x.tobytes()] for x in columns]
             return _out([part - parts], spans, [b""] * 7)
-        rows = dict(zip(ANCHOR, arrays(table, **dict(zip(names, ANCHOR.values())))))
-        order = np.lexsort((rows["at"], rows["tag"], rows["id"], rows["c"], rows["h"]))
-        rows = {k: x[order] for k, x in rows.items()}
-        n = len(order)
+        rows = _ordered(dict(zip(ANCHOR, arrays(table, **dict(zip(names, ANCHOR.values()))))))
+        n = len(rows["h"])
         same_h = np.zeros(n, bool)
         same_h[1:] = rows["h"][1:] == rows["h"][:-1]
         later = same_h.copy()

@@ -103,6 +103,14 @@ def test_repeats_odd_rows(spark):
     assert remove_repeats(documents(spark, [])).collect() == []
 
 
+def test_rows_given_twice_are_no_copies_of_themselves(spark):
+    text, other = sentence(40, 1), sentence(40, 2)
+    rows = [(7, text), (None, other), (3, "short"), (7, text), (None, other), (7, text)]
+    for docs in (documents(spark, rows).coalesce(1), documents(spark, rows).repartition(6)):
+        assert [r.n_removed for r in remove_repeats(docs).collect()] == [0] * 6
+        assert sorted(((r.doc_id, r.text) for r in cut_repeats(docs).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_cut_repeats_leaves_other_rows_alone(spark):
     rows = repeats()
     docs = documents(spark, rows)
