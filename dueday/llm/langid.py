@@ -18,7 +18,10 @@ FIT_ROWS = 4_000  # labelled rows to learn letters from, in expectation
 MOST_LANGUAGES = 256
 STRENGTH = 20.0  # pseudo-counts a level of the host prior lends to the next
 TEMPER = 1 / 3  # neighbouring trigrams overlap
-UNSURE = 0.5
+UNSURE = 0.5  # least posterior of a known language, and least share of the letters that must allow it
+LETTER_BYTES = 5  # a known text has a letter trigram for so many bytes at least
+STRETCH = 64  # letter trigrams judged together
+RULED_OUT = float(np.log(100.0))  # a stretch rules out what is so much less likely than another language or chance
 SALTS = 16
 
 
@@ -73,7 +76,8 @@ def _letter_model(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray
 
 
 def _text_logs(rows: DataFrame, languages: list[str], logs: np.ndarray) -> DataFrame:
-    """(key columns, letters, likelihoods) with the tempered log likelihood of each language."""
+    """(key columns, letters, n_bytes, likelihoods, allowed) with the tempered log likelihood of each
+    language, and the share of the letters that stand in stretches which do not rule it out."""
     sent = rows.sparkSession.sparkContext.broadcast(logs)
     kept = ["id", "mark", "declared", "host", "domain", "suffix"]
 
@@ -82,18 +86,32 @@ def _text_logs(rows: DataFrame, languages: list[str], logs: np.ndarray) -> DataF
         for batch in batches:
             for block in blocks(batch.column(len(kept))):
                 bucket, row = _trigrams(block.data, block.starts)
-                total = np.stack(
-                    [np.bincount(row, weights=logs[bucket, k], minlength=block.rows) for k in range(logs.shape[1])], axis=1
-                ) if logs.shape[1] else np.zeros((block.rows, 0))
                 letters = np.bincount(row, minlength=block.rows)
+                per_row = -(-letters // STRETCH)
+                inside = np.arange(len(row)) - (np.cumsum(letters) - letters)[row]
+                piece = (np.cumsum(per_row) - per_row)[row] + inside // STRETCH
+                owner, pieces = np.repeat(np.arange(block.rows), per_row), int(per_row.sum())
+                size = np.bincount(piece, minlength=pieces)
+                likely = np.zeros((pieces, logs.shape[1]))
+                for k in range(logs.shape[1]):
+                    likely[:, k] = np.bincount(piece, weights=logs[bucket, k], minlength=pieces) * TEMPER
+                chance = size * (-np.log(BUCKETS) * TEMPER)  # any trigram as likely as any other
+                least = np.maximum(likely.max(axis=1, initial=-np.inf), chance) - RULED_OUT
+                sums = np.zeros((2, block.rows, logs.shape[1]))
+                for k in range(logs.shape[1]):
+                    sums[0, :, k] = np.bincount(owner, weights=likely[:, k], minlength=block.rows)
+                    sums[1, :, k] = np.bincount(owner, weights=size * (likely[:, k] >= least), minlength=block.rows)
+                sums[1] /= np.maximum(letters, 1)[:, None]
                 part = batch.slice(block.first, block.rows)
                 offsets = pa.array(np.arange(block.rows + 1) * logs.shape[1], pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array((total * TEMPER).ravel(), pa.float64()))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.float64())) for x in sums]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(letters, pa.int64()), lists], names=[*kept, "letters", "likelihoods"]
+                    [*part.columns[:-1], pa.array(letters, pa.int64()), pa.array(np.diff(block.starts), pa.int64()), *lists],
+                    names=[*kept, "letters", "n_bytes", "likelihoods", "allowed"],
                 )
 
-    schema = rows.select(*kept).schema.add("letters", T.LongType()).add("likelihoods", T.ArrayType(T.DoubleType()))
+    schema = rows.select(*kept).schema.add("letters", T.LongType()).add("n_bytes", T.LongType())
+    schema = schema.add("likelihoods", T.ArrayType(T.DoubleType())).add("allowed", T.ArrayType(T.DoubleType()))
     return rows.select(*kept, "text").mapInArrow(tidy(run), schema)
 
 
@@ -132,8 +150,11 @@ def identify(
       domain, those by the suffix's, those by all rows'. Shares are grouped sums of
       the text-only posteriors, so hot hosts meet only in sums that combine early.
 
-    ``known`` is false where nothing can be said: a text without letter trigrams
-    whose best language has no more than half the posterior. A null declaration or
+    ``known`` is false where the language is unsure: the best one has no more than
+    half the posterior; or a text with letters has fewer than one letter trigram in
+    LETTER_BYTES bytes; or half of its letters or more stand in stretches of STRETCH
+    trigrams that rule the best language out, because another language or a uniform
+    choice of trigrams is more than 100 times as likely (mixed texts, no language). A null declaration or
     address is no evidence. Null and empty texts have no trigrams; without any labelled
     row, language is null and nothing is known. Repeated rows are judged alike; ``mark`` (a hash of text,
     declaration and address) tells rows of one id apart.
@@ -204,10 +225,12 @@ def identify(
     names = F.array(*[F.lit(x) for x in known])
     best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
     fused = _with_shares(salted, "posterior", score).withColumn("probability", F.array_max("posterior"))
+    place = F.array_position("posterior", F.col("probability")).cast("int") - 1
+    clear = (F.col("letters") * LETTER_BYTES >= F.col("n_bytes")) & (F.get("allowed", place) > UNSURE)
     return fused.select(
         F.col("id").alias("doc_id"), "mark", best(F.col("posterior")).alias("language"), "probability",
         F.when(F.col("letters") > 0, best(F.col("shares"))).alias("text_language"), "letters",
-        ((F.col("letters") > 0) | (F.col("probability") > UNSURE)).alias("known"),
+        ((F.col("probability") > UNSURE) & ((F.col("letters") == 0) | clear)).alias("known"),
     )
 
 

@@ -1,6 +1,7 @@
 import gzip
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import documents, groups
@@ -38,6 +39,18 @@ def test_language_evidence(spark):
     assert gone == {501, 502, 503}
 
 
+def test_unsure_texts_with_letters_go(spark):
+    rng = random.Random(7)
+    rows = [(k, spoken(lang, 30 + k, k), lang, f"https://{lang}{k % 3}.example.{lang}/p/{k}") for k, lang in enumerate(list(SPOKEN) * 40)]
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(80))
+    odd = [(500, spoken("en", 100, 1) + " " + spoken("de", 100, 2) + " " + spoken("fr", 100, 3), None, None), (501, noise, None, None),
+           (502, "$$ 12 %% " * 30 + "there", "en", None), (503, "qqq", None, None), (504, noise, None, "https://en1.example.en/")]
+    docs = documents(spark, rows + odd)
+    assert {r.doc_id for r in keep_known(docs).collect()} == {r[0] for r in rows}
+    only = corpus_pipeline.language_id(spark, docs, "", accepted=("de",)).collect()
+    assert {r.doc_id for r in only} == {k for k, _, lang, _ in rows if lang == "de"}
+
+
 def test_languages_without_labels_or_rows(spark):
     rows = identify(documents(spark, [(1, "some text", None, None)])).collect()
     assert [(r.language, r.known) for r in rows] == [(None, False)]
