@@ -14,8 +14,11 @@ from ..session import materialize
 from .textblocks import LOWER, blocks, small_batches, tidy
 
 BUCKETS = 1 << 15
-FIT_ROWS = 4_000  # labelled rows to learn letters from, in expectation
-MOST_LANGUAGES = 256
+FIT_ROWS = 4_000  # labelled rows of each language to learn letters from, in expectation
+MOST_LANGUAGES = 256  # the most declared ones are told apart
+REST = "other"  # all languages beyond those
+VALUES = 256  # values that a declaration or suffix is smoothed over
+LETTER = r"(?s)[A-Za-z].|[^\x00-\x7f]"
 STRENGTH = 20.0  # pseudo-counts a level of the host prior lends to the next
 TEMPER = 1 / 3  # neighbouring trigrams overlap
 UNSURE = 0.5  # least posterior of a known language, and least share of the letters that must allow it
@@ -42,13 +45,30 @@ def _trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bucket[where], np.searchsorted(starts, where, "right") - 1
 
 
-def _letter_model(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by bucket) from a bounded sample of labelled rows."""
-    labelled = rows.where("declared is not null and text is not null")
-    total = labelled.count()
-    share = min(1.0, fit_rows / max(total, 1))
-    sample = labelled.where(F.xxhash64("id", "text") % F.lit(1 << 30) <= F.lit(int(share * (1 << 30))))
-    sample = sample.where((F.xxhash64("id", "text") % F.lit(1 << 30) >= F.lit(-int(share * (1 << 30)))))
+def _declared(rows: DataFrame, fit_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the languages beyond MOST_LANGUAGES declared as REST, and a sample of each language's rows.
+
+    Languages are counted over all rows. Of each, ``fit_rows`` rows are taken in expectation,
+    by hash, and always those with the smallest hash, so none stays without a row.
+    """
+    spread = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    lettered = lambda frame: frame.where(F.col("declared").isNotNull() & F.col("text").rlike(LETTER))
+    size = (F.count("*").alias("n"), F.min(spread).alias("least"))
+    top = lettered(rows).groupBy("declared").agg(*size).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES + 1).collect()
+    if len(top) > MOST_LANGUAGES:
+        names = [r["declared"] for r in top[:MOST_LANGUAGES]]
+        rest = F.when(F.col("declared").isin(*names), F.col("declared")).otherwise(REST)
+        rows = rows.withColumn("declared", F.when(F.col("declared").isNotNull(), rest))
+        top = lettered(rows).groupBy("declared").agg(*size).collect()  # at most one row more
+    if not top:
+        return rows, lettered(rows).limit(0)
+    bounds = [(r["declared"], max(r["least"] + 1, int(min(1.0, fit_rows / r["n"]) * (1 << 30)))) for r in top]
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in bounds for x in pair]), F.col("declared"))
+    return rows, lettered(rows).where(spread < bound)
+
+
+def _letter_model(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities by bucket) from a sample of labelled rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -67,8 +87,7 @@ def _letter_model(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray
     sample = sample.select("declared", "text").coalesce(16).mapInArrow(tidy(count), "declared string, counts binary")
     for r in sample.toLocalIterator():  # one row a task and language of a bounded sample
         found[r["declared"]] = found.get(r["declared"], 0) + np.frombuffer(r["counts"], np.int64)
-    languages = sorted(found, key=lambda name: (-found[name].sum(), name))[:MOST_LANGUAGES]
-    languages = sorted(name for name in languages if found[name].sum())
+    languages = sorted(name for name in found if found[name].sum())
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
     counts = np.stack([found[name] for name in languages], axis=1) + 0.5
@@ -142,14 +161,16 @@ def identify(
 
     The posterior of a language is the product of four kinds of evidence:
 
-    * the text's letter trigrams, under a model learned from a bounded sample of
-      rows that declare a language (``fit_rows`` in expectation, by hash);
+    * the text's letter trigrams, under a model learned from a bounded sample of the
+      rows that declare each language (``fit_rows`` of each in expectation, by hash);
     * the declared language (markup), by how often each is declared where the text alone says each language;
     * the suffix of the address, likewise;
     * the host's prior: shares of languages at the host, smoothed by those of its
       domain, those by the suffix's, those by all rows'. Shares are grouped sums of
       the text-only posteriors, so hot hosts meet only in sums that combine early.
 
+    Languages are counted over all rows that declare one; beyond the MOST_LANGUAGES
+    most declared, all others together are the language REST.
     ``known`` is false where the language is unsure: the best one has no more than
     half the posterior; or a text with letters has fewer than one letter trigram in
     LETTER_BYTES bytes; or half of its letters or more stand in stretches of STRETCH
@@ -178,7 +199,8 @@ def identify(
     rows = rows.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("domain", "suffix")})
     if languages:
         rows = rows.withColumn("declared", F.when(F.col("declared").isin(*languages), F.col("declared")))
-    known, logs = _letter_model(rows, fit_rows)
+    rows, sample = _declared(rows, fit_rows)
+    known, logs = _letter_model(sample)
     evidence = materialize(_text_logs(rows, known, logs), "evidence")
     n = len(known)
     if not n:
@@ -211,7 +233,7 @@ def identify(
         counts = told.where(F.col(column).isNotNull()).groupBy(column).agg(sums.alias("counts"))
         row = told.where(F.col(column).isNotNull()).agg(sums.alias("totals")).first()["totals"]  # one number a language
         totals = F.array(*[F.lit(float(x or 0.0)) for x in row])
-        values = F.zip_with("counts", totals, lambda c, t: F.log((c + 0.5) / (t + 0.5 * MOST_LANGUAGES)))
+        values = F.zip_with("counts", totals, lambda c, t: F.log((c + 0.5) / (t + 0.5 * VALUES)))
         return counts.select(column, values.alias(f"{column}_log"))
 
     salted = told.withColumn("salt", F.pmod("mark", F.lit(SALTS)))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import documents, groups
 
-from dueday.llm import embedding_dedup
+from dueday.llm import embedding_dedup, langid
 from dueday.llm.chat import escaped, messages, read_back, render, turns_as_events, unescaped
 from dueday.llm.langid import identify, keep_known
 from dueday.llm.licenses import TEMPLATES, scan_documents
@@ -51,6 +51,16 @@ def test_unsure_texts_with_letters_go(spark):
     assert {r.doc_id for r in only} == {k for k, _, lang, _ in rows if lang == "de"}
 
 
+def test_rare_languages_are_languages(spark, monkeypatch):
+    rows = [(k, spoken("en", 12, k), "en", None) for k in range(3000)]
+    rows += [(5000 + k, spoken("de", 30, k), "de", None) for k in range(3)] + [(6000 + k, spoken("fr", 30, k), "fr", None) for k in range(2)]
+    right = lambda found: all(r.language == want for r in found for k, want in ((5, "de"), (6, "fr")) if r.doc_id // 1000 == k)
+    assert right(identify(documents(spark, rows), fit_rows=20).where("doc_id >= 5000").collect())
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    found = identify(documents(spark, rows), fit_rows=20).collect()
+    assert all(r.language == ("en" if r.doc_id < 5000 else langid.REST) for r in found)
+
+
 def test_languages_without_labels_or_rows(spark):
     rows = identify(documents(spark, [(1, "some text", None, None)])).collect()
     assert [(r.language, r.known) for r in rows] == [(None, False)]
