@@ -1,5 +1,6 @@
 import gzip
 import random
+import textwrap
 
 import corpus_pipeline
 import numpy as np
@@ -182,3 +183,15 @@ def test_licences(spark):
     assert right == len(want)
     assert by_id[None].families == [want[0]] and by_id[200].n_lines == 0 and by_id[202].families == []
     assert scan_documents(documents(spark, [])).collect() == []
+
+
+def test_wrapped_and_buried_licences(spark):
+    plain = [(k, f"{spoken('en', 20, k)}.\n{spoken('fr', 12, k)}") for k in range(60)]
+    long = [(name, v[1]) for name, v in TEMPLATES.items() if len(v[1].split()) > 12]
+    wrapped = [(100 + k, spoken("en", 9, k) + "\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, 70)) + "\n\n" + spoken("de", 9, k)) for k, (_, t) in enumerate(long)]
+    buried = [(200 + k, f"{spoken('en', 1500, k)} {t} {spoken('en', 1500, 50 + k)}") for k, (_, t) in enumerate(long)]
+    by_id = {r.doc_id: r for r in scan_documents(documents(spark, plain + wrapped + buried)).collect()}
+    assert all(by_id[k].families == [] for k, _ in plain)
+    for k, (name, _) in enumerate(long):
+        assert by_id[100 + k].families == [name] and by_id[200 + k].families == [name]
+        assert by_id[200 + k].n_confirmed == 1
