@@ -93,10 +93,138 @@ SELECT p.page_id, strlen(p.html) AS payload_bytes, d.d AS payload_digest,
 FROM p JOIN kept USING (html) JOIN digits d USING (page_id)
 """
 
+_ASSIGN = (
+    "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_LIVE = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]*-----END [A-Z ]*PRIVATE KEY-----"
+    "|eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"
+    "|(?:gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}|[A-Za-z0-9+/_-]{24,}"
+)
+
+
+def _matches(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+  SELECT r, owner, source, '{kind}' AS kind, {rank} AS rank, f[i] AS whole, v[i] AS value,
+    list_sum(list_transform(g[1:i], lambda x : length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x : length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (
+    SELECT r, owner, source, regexp_extract_all(t, '{pattern}', 0) AS f, regexp_extract_all(t, '{pattern}', {group}) AS v,
+      string_split_regex(t, '{pattern}') AS g FROM d)) WHERE length(v[i]) >= {least}"""
+
+
+SECRETS = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, split_part(source, '/', 1) AS owner, coalesce(text, '') AS t FROM documents),
+m AS MATERIALIZED (
+  {_matches("assign", 0, _ASSIGN, 2, 8)} UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]+", 0, 16)}
+  UNION ALL {_matches("hex", 2, "[0-9a-f]+", 0, 32)} UNION ALL {_matches("live", 3, _LIVE, 0, 20)}),
+s AS (SELECT *, CAST(a + length(whole) AS BIGINT) AS b, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(whole) AS BIGINT) AS span FROM m),
+o AS (SELECT value, count(*) AS n_owners FROM (SELECT DISTINCT value, owner FROM m) GROUP BY 1),
+j AS MATERIALIZED (
+  SELECT s.*, CASE WHEN n_owners >= 3 THEN 'example'
+    WHEN n_owners = 1 AND length(s.value) >= 16 AND regexp_matches(s.value, '[A-Za-z]') AND regexp_matches(s.value, '[0-9]')
+      AND len(list_distinct(string_split(s.value, ''))) >= 8
+      AND NOT regexp_matches(lower(s.value), 'example|sample|placeholder|changeme|dummy|xxxx|test') THEN 'live' ELSE 'other' END AS verdict
+  FROM s JOIN o USING (value)),
+k AS (
+  SELECT * FROM j WHERE kind <> 'live' OR (verdict = 'live' AND NOT EXISTS (
+    SELECT 1 FROM j b WHERE b.r = j.r AND b.kind <> 'live' AND b.a < j.b AND b.b > j.a)))
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (kind <> 'live'), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans,
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example, count(*) FILTER (kind = 'live') AS n_added
+FROM d LEFT JOIN k USING (r) GROUP BY d.r, d.doc_id
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    steps = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k : xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i : CAST(ascii({text}[i]) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b : {steps}), 4294967295)"
+
+
+RUNS = rf"""
+WITH split AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+params AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, h // 10 % 8 AS e FROM split),
+planted AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i : CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1] ELSE w[i + 1] END) ELSE w END AS w
+  FROM params),
+word AS MATERIALIZED (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM planted WHERE n >= 24),
+same AS MATERIALIZED (
+  SELECT x.r, y.i - x.i AS q, x.i FROM word x JOIN word y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 3),
+stretch AS MATERIALIZED (
+  SELECT r, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same)
+  GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+run AS MATERIALIZED (
+  SELECT * FROM stretch t WHERE NOT EXISTS (
+    SELECT 1 FROM stretch u WHERE u.r = t.r AND u.q < t.q AND t.q % u.q = 0 AND u.s <= t.s AND u.s + u.m >= t.s + t.m)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(m AS DOUBLE) / q DESC, s, q) AS k FROM run) WHERE k = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS said FROM run GROUP BY 1),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + m)) AS i FROM run),
+kept AS (SELECT word.r, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY 1)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.m AS length, b.q AS period, CAST(1000 * b.m // b.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(CASE WHEN p.n < 24 THEN array_to_string(w, ' ') ELSE kept.t END) AS collapsed_sha256
+FROM planted p LEFT JOIN best b USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || {name}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join([_field(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]) + ")"
+
+
+_LOWERED = _field("text").replace("|| text", "|| translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+MERKLE = rf"""
+WITH RECURSIVE leaf AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, {_leaf(_field("text"))} AS h,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf(_LOWERED)} ELSE {_leaf(_field("text"))} END AS changed FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM leaf),
+low AS (
+  SELECT 0 AS level, grp, i, n, h FROM placed UNION ALL
+  SELECT level + 1, grp, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY level, grp, i // 16, n),
+sub AS MATERIALIZED (
+  SELECT grp, h, row_number() OVER (ORDER BY CAST(grp AS BLOB)) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, i, n, h FROM sub UNION ALL
+  SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 16, n),
+runs AS MATERIALIZED (
+  SELECT 0 AS tree, level, grp, i // 16 AS run, list(h ORDER BY i) AS hs FROM low WHERE n > 1 GROUP BY ALL UNION ALL
+  SELECT 1, level, '', i // 16, list(h ORDER BY i) FROM high WHERE n > 1 GROUP BY ALL),
+step AS (
+  SELECT p.i AS leaf_i, p.grp, tree, level, array_to_string(hs[1:p.i // CAST(power(16, level) AS BIGINT) % 16], '') AS x,
+    array_to_string(hs[p.i // CAST(power(16, level) AS BIGINT) % 16 + 2:], '') AS y
+  FROM placed p JOIN runs r ON tree = 0 AND r.grp = p.grp AND r.run = p.i // CAST(power(16, level + 1) AS BIGINT) UNION ALL
+  SELECT p.i, p.grp, tree, level, array_to_string(hs[1:s.i // CAST(power(16, level) AS BIGINT) % 16], ''),
+    array_to_string(hs[s.i // CAST(power(16, level) AS BIGINT) % 16 + 2:], '')
+  FROM placed p JOIN sub s USING (grp) JOIN runs r ON tree = 1 AND r.run = s.i // CAST(power(16, level + 1) AS BIGINT)),
+path AS MATERIALIZED (
+  SELECT leaf_i, grp, list(struct_pack(x := x, y := y) ORDER BY tree, level) AS path, string_agg(x || y, '' ORDER BY tree, level) AS said FROM step GROUP BY 1, 2),
+fold AS (
+  SELECT i, grp, 0 AS k, changed AS h FROM placed UNION ALL
+  SELECT f.i, f.grp, k + 1, sha256(path[k + 1].x || h || path[k + 1].y) FROM fold f JOIN path p ON p.leaf_i = f.i AND p.grp = f.grp WHERE k < len(path)),
+folded AS (SELECT i, grp, arg_max(h, k) AS h FROM fold GROUP BY 1, 2),
+root AS (SELECT h FROM high WHERE n = 1)
+SELECT p.doc_id, p.h AS leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(path.said, '')) AS proof_sha256, folded.h AS folded_root,
+  folded.h = root.h AS verified
+FROM placed p JOIN sub USING (grp) CROSS JOIN root JOIN folded ON folded.i = p.i AND folded.grp = p.grp
+LEFT JOIN path ON path.leaf_i = p.i AND path.grp = p.grp
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_near_dedup": EMBEDDINGS,
     "op4_ngram_jaccard_join": JACCARD,
     "op7_chat_formatting": CHAT,
     "op8_warc_salvage": WARC,
     "op10_benchmark_decontamination": DECONTAMINATION,
+    "op11_secret_scan": SECRETS,
+    "op12_periodic_runs": RUNS,
+    "op13_merkle_manifest": MERKLE,
 }

@@ -15,6 +15,9 @@ from .jaccard import near_duplicates
 from .langid import identify
 from .lattice_lm import score
 from .licenses import scan_documents
+from .merkle import manifest, tampered_text
+from .periodic import find_runs
+from .secret_scan import scan
 from .sentencepieces import decode, encode
 from .suffixes import remove_repeats
 from .warc import read_archives, write_archives
@@ -104,6 +107,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest(docs, changed={"text": tampered_text(docs["doc_id"], docs["text"])}).drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -117,5 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_salvage,
         op9_license_scan,
         op10_benchmark_decontamination,
+        op11_secret_scan,
+        op12_periodic_runs,
+        op13_merkle_manifest,
     )
 }

@@ -144,8 +144,8 @@ class Words:
         return np.repeat(np.arange(len(self.row_starts) - 1), self.counts())
 
 
-def words(block: Block, members: np.ndarray) -> Words:
-    """Lower-cased (A-Z) maximal runs of bytes in ``members``; none crosses rows."""
+def words(block: Block, members: np.ndarray, fold: np.ndarray | None = LOWER) -> Words:
+    """Maximal runs of bytes in ``members``, lower-cased (A-Z) unless ``fold`` is None; none crosses rows."""
     n = len(block.data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -159,7 +159,7 @@ def words(block: Block, members: np.ndarray) -> Words:
     is_word = inside[cuts[:-1]]
     begin, end = cuts[:-1][is_word], cuts[1:][is_word]
     up, down = powers(n + 1)
-    values = BYTE_VALUES[LOWER[block.data]]
+    values = BYTE_VALUES[block.data if fold is None else fold[block.data]]
     values *= up[:n]
     sums = np.empty(n + 1, U64)
     sums[0] = 0
