@@ -224,7 +224,11 @@ def min_group_filter(d):
     return metrics.min_group_filter(groups, 3000, 400).select("target", "model", "slice_col", "slice_val", "n", "pos")
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    """SELECT snapshot_id, snapshot_day, missed_upcoming_emi AS label FROM (
+        SELECT *, row_number() OVER (ORDER BY md5(snapshot_id || ':42'), snapshot_id) AS r FROM ov_missed WHERE missed_upcoming_emi IS NOT NULL) x WHERE r <= 100""",
+)
 def sample_rows(d):
     rows = d.missed.select("snapshot_id", "snapshot_day", F.col("missed_upcoming_emi").alias("label"))
     return prepare.sample_rows(rows, 100)

@@ -1,47 +1,58 @@
 """Preparation, training and scoring queries on the model table.
 
-Training settings are small here so that every query finishes quickly; the
-operators default to the full settings. Rows are never cut: models are trained
-on the whole train split and scored on the whole held-out splits.
+Models are trained for both targets, on the whole train split, and scored on the whole held-out
+splits. The number of trees and their depth are small here, because MLlib runs several jobs per tree
+and level however small the data; the operators default to the full settings.
 """
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assemble, explain, metrics, models, prepare, reports, splits
-from ..plans.stages import Trained, diagnose, train_target
-from ..schemas import APPLICATION_NUMERIC, SLICE_COLS
+from ..operators import explain, metrics, models, prepare, reports
+from ..operators.assemble import FEATURES
+from ..plans.stages import TARGETS, Trained, diagnose, train_target
+from ..schemas import SLICE_COLS
 from ..session import materialize
-from .base import Data, query
+from .base import SINGLE, Data, query
 
-TARGET = "missed_upcoming_emi"
+TARGET = TARGETS[0]
 SMALL_RF = {"numTrees": 10, "maxDepth": 5}
-SMALL_GB = {"maxIter": 10, "maxDepth": 3, "every": 2}
+SMALL_GB = {"maxIter": 10, "maxDepth": 3}
+SMALL_PART_GB = {"maxIter": 4, "maxDepth": 3}
 PARTS = 3
 
-MEDIANS = [c for c in APPLICATION_NUMERIC if c != "DAYS_EMPLOYED_ANOMALY_FLAG"]
+NUMERIC = [c for c in FEATURES if c not in SLICE_COLS]
 
 
-def train_rows(d):
-    """Application features of the training snapshots' borrowers, one row per snapshot."""
-    rows = splits.join_split_map(d.missed_rows.drop("label"), d.split_map)
-    train = rows.where("split = 'train'").drop("split", "snapshot_day")
-    app = d.application.select("SK_ID_CURR", *MEDIANS, *SLICE_COLS)
-    return assemble.join_entity_features(train, app, d.hot)
+@lru_cache(maxsize=4)
+def _rows(app_id: str, sf_dir: str, spark, target: str) -> DataFrame:
+    return materialize(Data(spark, sf_dir).rows(target), "rows")
+
+
+def model_rows(d, target: str = TARGET) -> DataFrame:
+    """The model rows of a target, written once for all queries of a session that read them."""
+    return _rows(d.spark.sparkContext.applicationId, d.sf_dir, d.spark, target)
 
 
-TRAIN_SQL = "(SELECT a.* FROM ov_missed_split m JOIN ov_application a ON m.SK_ID_CURR = a.SK_ID_CURR WHERE m.split = 'train') t"
+# Model rows of the first target with their split.
+ROWS_SQL = "(SELECT f.*, m.split FROM ov_base f JOIN ov_missed_split m ON f.snapshot_id = m.snapshot_id)"
+TRAIN_SQL = f"(SELECT * FROM {ROWS_SQL} r WHERE split = 'train')"
 
 
 @query(
     "impute_median",
-    " UNION ALL ".join(f"SELECT '{c}' AS column_name, median({c}) AS median FROM {TRAIN_SQL}" for c in MEDIANS),
-    median=5,
+    f"""SELECT names.column_name, median FROM (SELECT unnest({NUMERIC}) AS column_name) names LEFT JOIN (
+        SELECT column_name, median(v) AS median FROM (
+          UNPIVOT (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC)} FROM {TRAIN_SQL} t) ON {", ".join(NUMERIC)} INTO NAME column_name VALUE v) u
+        GROUP BY 1) m ON m.column_name = names.column_name""",
+    median=SINGLE,
 )
 def impute_median(d):
-    return prepare.impute_median(train_rows(d), MEDIANS)
+    """Medians of all numeric features over the train rows."""
+    return prepare.impute_median(model_rows(d).where("split = 'train'"), NUMERIC)
 
 
 @query(
@@ -52,80 +63,97 @@ def impute_median(d):
     ),
 )
 def impute_mode(d):
-    return prepare.impute_mode(train_rows(d), SLICE_COLS)
+    return prepare.impute_mode(model_rows(d).where("split = 'train'"), SLICE_COLS)
 
 
-ENCODED = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE"]
+def codes_sql(c: str) -> str:
+    return f"(SELECT {c} AS category, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INT) AS code FROM (SELECT DISTINCT {c} FROM t WHERE {c} IS NOT NULL) x)"
 
 
 @query(
     "ordinal_encode",
-    "SELECT p.model, p.SK_ID_CURR, p.ord, "
-    + ", ".join(f"coalesce(e{i}.code, -1) AS {c}_code" for i, c in enumerate(ENCODED))
+    f"SELECT * FROM (WITH t AS MATERIALIZED (SELECT {', '.join(SLICE_COLS)} FROM {TRAIN_SQL} r) SELECT p.model, p.SK_ID_CURR, p.ord, "
+    + ", ".join(f"coalesce(e{i}.code, -1) AS {c}_code" for i, c in enumerate(SLICE_COLS))
     + " FROM fx_pred p "
-    + " ".join(
-        f"LEFT JOIN (SELECT {c}, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INT) AS code FROM fx_application WHERE {c} IS NOT NULL AND SK_ID_CURR % 7 <> 1 AND {c} <> 'XNA' GROUP BY 1) e{i} ON p.{c} = e{i}.{c}"
-        for i, c in enumerate(ENCODED)
-    ),
+    + " ".join(f"LEFT JOIN {codes_sql(c)} e{i} ON p.{c} = e{i}.category" for i, c in enumerate(SLICE_COLS))
+    + ") q",
 )
 def ordinal_encode(d):
-    """Codes learned where one gender code never occurs, applied to all rows: it is unseen."""
-    learned = d("fx_application").where("SK_ID_CURR % 7 <> 1 AND CODE_GENDER <> 'XNA'")
-    codes = prepare.ordinal_codes(learned, ENCODED)
-    known = {c: [] for c in ENCODED}
-    for row in codes.orderBy("column_name", "code").collect():  # one row per category
-        known[row.column_name].append(row.category)
-    return d("fx_pred").select(
-        "model", "SK_ID_CURR", "ord",
-        *[F.coalesce(prepare.encode(c, known[c]), F.lit(-1)).alias(f"{c}_code") for c in ENCODED],
-    )
+    """Codes of all category columns learned on the train split, joined to every scored row."""
+    codes = materialize(prepare.ordinal_codes(model_rows(d).where("split = 'train'"), SLICE_COLS), "codes")
+    sizes = {r.column_name: r["count"] for r in codes.groupBy("column_name").count().collect()}
+    names = {c: f"{c}_code" for c in SLICE_COLS}
+    out = prepare.encode(d("fx_pred"), codes, names, sizes, ["model", "SK_ID_CURR", "ord"])
+    return out.select("model", "SK_ID_CURR", "ord", *names.values())
 
 
-# --- rows-only: MLlib results have no SQL twin ------------------------------
+@lru_cache(maxsize=4)
+def _trained(app_id: str, sf_dir: str, spark, target: str) -> Trained:
+    return train_target(_rows(app_id, sf_dir, spark, target), SMALL_RF, SMALL_GB)
 
 
-@lru_cache(maxsize=4)
-def _trained(app_id: str, sf_dir: str, spark) -> Trained:
-    return train_target(Data(spark, sf_dir).rows(TARGET), SMALL_RF, SMALL_GB)
+def trained(d, target: str = TARGET) -> Trained:
+    """Models of this session, folder and target, trained once and shared by the queries below."""
+    return _trained(d.spark.sparkContext.applicationId, d.sf_dir, d.spark, target)
+
 
+def for_targets(d, run) -> DataFrame:
+    """Results of both targets, one under the other."""
+    tables = [run(trained(d, t)).withColumn("target", F.lit(t)) for t in TARGETS]
+    return reduce(DataFrame.unionByName, tables)
 
-def trained(d) -> Trained:
-    """Models of this session and folder, trained once and shared by the queries below."""
-    return _trained(d.spark.sparkContext.applicationId, d.sf_dir, d.spark)
 
+def scored(d) -> DataFrame:
+    """Scores of both models for both targets on the held-out rows."""
+    return reduce(DataFrame.unionByName, [trained(d, t).scored(t) for t in TARGETS])
 
-@query("fit_preprocessor")
+
+_FILLED = ", ".join(f"CAST(CAST(coalesce(CAST(r.{c} AS DOUBLE), med.{c}, 0) AS FLOAT) AS DOUBLE) AS x_{c}" for c in NUMERIC)
+_CODED = ", ".join(f"CAST(coalesce(e{i}.code, -1) AS DOUBLE) AS x_{c}" for i, c in enumerate(SLICE_COLS))
+_MODE = "(SELECT {c} AS m FROM t WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_JOINED = " ".join(
+    f"LEFT JOIN {codes_sql(c)} e{i} ON coalesce(r.{c}, {_MODE.format(c=c)}) = e{i}.category" for i, c in enumerate(SLICE_COLS)
+)
+
+
+@query(
+    "fit_preprocessor",
+    f"""SELECT * FROM (WITH r AS MATERIALIZED (SELECT * FROM {ROWS_SQL} a), t AS MATERIALIZED (SELECT * FROM r WHERE split = 'train'),
+        med AS MATERIALIZED (SELECT {", ".join(f"median(CAST({c} AS DOUBLE)) AS {c}" for c in NUMERIC)} FROM t)
+        SELECT r.snapshot_id, {_FILLED}, {_CODED} FROM r CROSS JOIN med {_JOINED}) q""",
+    **{f"x_{c}": SINGLE for c in NUMERIC},
+)
 def fit_preprocessor(d):
-    rows = d.rows(TARGET)
-    pre = trained(d).preprocessor
-    return rows.select("snapshot_id", *[c.alias(name) for name, c in pre.columns().items()])
+    """Every model row with its features filled and coded by what the train rows taught."""
+    return trained(d).preprocessor.filled(model_rows(d), ["snapshot_id"])
+
+
+# --- rows-only: MLlib results have no SQL twin ------------------------------
 
 
 @query("train_rf")
 def train_rf(d):
-    t = trained(d)
-    return models.tree_nodes(t.rf, d.spark)
+    return for_targets(d, lambda t: models.tree_nodes(t.rf, d.spark))
 
 
 @query("train_gb")
 def train_gb(d):
-    return trained(d).rounds
+    return for_targets(d, lambda t: t.rounds)
 
 
 @query("score")
 def score(d):
-    t = trained(d)
-    return models.score(t.rf, t.split("test")).select("snapshot_id", "label", "y_prob")
+    return for_targets(d, lambda t: models.score(t.rf, t.split("test")).select("snapshot_id", "label", "y_prob"))
 
 
 @query("scored_table")
 def scored_table(d):
-    return metrics.scored_table(trained(d).scored(TARGET))
+    return metrics.scored_table(scored(d))
 
 
 @query("evaluate_splits")
 def evaluate_splits(d):
-    by_split, confusion, thresholds = models.evaluate_splits(trained(d).scored(TARGET))
+    by_split, confusion, thresholds = models.evaluate_splits(materialize(scored(d), "scored"))
     at_half = by_split.join(confusion, ["target", "model", "split"])
     return thresholds.join(at_half.drop("f1", "precision", "recall", "threshold"), ["target", "model", "split"])
 
@@ -133,48 +161,56 @@ def evaluate_splits(d):
 @query("model_diagnosis")
 def model_diagnosis(d):
     """Errors per slice of the trained models, at thresholds tuned on the validation split."""
-    return diagnose(trained(d).scored(TARGET))["fp_fn"]
+    return diagnose(scored(d))["fp_fn"]
 
 
-@query("model_store")
+@query(
+    "model_store",
+    "SELECT snapshot_id, CAST(0 AS DOUBLE) AS difference FROM ov_missed_split WHERE split = 'validation'",
+    difference=12,
+)
 def model_store(d):
-    t, path = trained(d), d.scratch("rf")
-    models.model_store(path, RandomForestClassificationModel, lambda: t.rf)
+    """Scores of the loaded model minus those of the saved one, per validation row."""
+    t, path = trained(d), d.scratch("store")
 
     def must_not_run():
         raise AssertionError("the model was saved already")
 
-    again = models.model_store(path, RandomForestClassificationModel, must_not_run)
-    return models.score(again, t.split("validation")).select("snapshot_id", "y_prob")
+    models.model_store(path, RandomForestClassificationModel, lambda: t.rf, settings=SMALL_RF, version=d.sf_dir)
+    again = models.model_store(path, RandomForestClassificationModel, must_not_run, settings=SMALL_RF, version=d.sf_dir)
+    both = models.score(again, models.score(t.rf, t.split("validation"), "saved"), "loaded")
+    return both.select("snapshot_id", (F.col("loaded") - F.col("saved")).alias("difference"))
 
 
 @query("fit_per_partition")
 def fit_per_partition(d):
-    """Pooled, averaged and per-part forests on the same test rows."""
-    t = trained(d)
-    parted = materialize(models.stratified_partition(t.split("train"), PARTS), "parts")
-    local = models.train_parts_rf(parted, PARTS, numTrees=9, maxDepth=5)
-    scores = models.federated_scores(t.rf, local, t.split("test"), ["snapshot_id", "label"])
-    return models.federated_comparison(
-        scores.withColumns({"target": F.lit(TARGET), "model": F.lit("rf"), "threshold": F.lit(0.5)})
-    )
+    """Pooled, averaged and per-part forests and boosted trees on the same test rows, for both targets."""
+    found = []
+    for target in TARGETS:
+        t = trained(d, target)
+        parted = materialize(models.stratified_partition(t.split("train"), PARTS), "parts")
+        forests = models.train_parts_rf(parted, PARTS, numTrees=9, maxDepth=5)
+        boosted = models.train_parts_gb(parted, PARTS, **SMALL_PART_GB)
+        for name, pooled, local in (("rf", t.rf, forests), ("gb", t.gb, boosted)):
+            scores = models.federated_scores(pooled, local, t.split("test"), ["snapshot_id", "label"])
+            found.append(scores.withColumns({"target": F.lit(target), "model": F.lit(name), "threshold": F.lit(0.5)}))
+    return models.federated_comparison(reduce(DataFrame.unionByName, found))
 
 
 @query("tree_attribution")
 def tree_attribution(d):
-    t = trained(d)
-    return explain.tree_attribution(t.rf, t.split("test"))
+    return for_targets(d, lambda t: explain.tree_attribution(t.rf, t.split("test")))
 
 
 def importance(d):
-    t = trained(d)
     rows = []
-    for name, model in (("rf", t.rf), ("gb", t.gb)):
-        shares = explain.tree_attribution(model, t.split("test"))
-        shares = materialize(shares, "attribution")
-        mean = explain.mean_abs_attribution(shares, t.preprocessor.feature_names)
-        rows.append(explain.attribution_ranking(mean, TARGET, name))
-    return rows[0].unionByName(rows[1])
+    for target in TARGETS:
+        t = trained(d, target)
+        for name, model in (("rf", t.rf), ("gb", t.gb)):
+            shares = materialize(explain.tree_attribution(model, t.split("test")), "attribution")
+            mean = explain.mean_abs_attribution(shares, t.preprocessor.feature_names)
+            rows.append(explain.attribution_ranking(mean, target, name))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("mean_abs_attribution")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
-import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -17,7 +19,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.trees import tree_output
 from ..session import materialize, scratch_path, shared_dir
 from .curves import average_precision
 from .metrics import classification_metrics, confusion_matrix, fixed_threshold_metrics
@@ -94,29 +95,62 @@ def tree_nodes(model: Any, spark: SparkSession) -> DataFrame:
     )
 
 
-def prefix_margins(model: GBTClassificationModel, rows: DataFrame, rounds: Sequence[int]) -> DataFrame:
-    """(rounds, label, margin): each row's margin after the first so many trees.
+def leaf_values(model: Any, spark: SparkSession) -> DataFrame:
+    """(tree, leaf, value): what each leaf adds to the model's output.
 
-    The trees travel with the tasks; their size is set by the number and depth
-    of the trees, not by the data.
+    ``leaf`` is the index MLlib gives in its leaf column: the place among the tree's leaves by node number.
     """
-    nodes = tree_nodes(model, rows.sparkSession).orderBy("tree", "node").toPandas()
-    trees = [(t["tree_weight"].iloc[0], t) for _, t in nodes.groupby("tree", sort=True)]
-    shared = rows.sparkSession.sparkContext.broadcast((trees, sorted(set(rounds))))
+    leaves = tree_nodes(model, spark).where("left < 0")
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("node")) - 1
+    return leaves.select("tree", place.alias("leaf"), (F.col("value") * F.col("tree_weight")).alias("value"))
 
-    def score(batches):
-        trees, wanted = shared.value
-        for batch in batches:
-            x = np.vstack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, 1))
-            margin, done = np.zeros(len(batch)), 0
-            for stop in wanted:
-                for weight, tree in trees[done:stop]:
-                    margin = margin + weight * tree_output(tree, x)
-                done = stop
-                yield pd.DataFrame({"rounds": stop, "label": batch["label"], "margin": margin})
 
-    plain = rows.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
-    return plain.mapInPandas(score, "rounds int, label int, margin double")
+def staged_leaves(model: Any, rows: DataFrame, keep: Sequence[str] = ("label",)) -> DataFrame:
+    """``keep`` and ``leaves``: the leaf each row reaches in every tree, written once for all stages."""
+    kept = [c for c in keep if c in rows.columns]
+    found = model.copy({model.leafCol: "leaf_of"}).transform(rows.select(*kept, "features"))
+    return materialize(found.select(*kept, vector_to_array("leaf_of").cast("array<smallint>").alias("leaves")), "leaves")
+
+
+def staged_margins(leaves: DataFrame, values: DataFrame, first: int, last: int) -> DataFrame:
+    """The columns of ``leaves``, ``rounds`` and ``margin``: each row's margin after ``first``, ..., ``last`` trees.
+
+    The leaf values become one array of arrays, fetched by a scalar subquery; its size is set by the number and depth of the trees.
+    """
+    by_tree = values.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("leaf", "value")))["value"].alias("values"))
+    table = by_tree.agg(F.sort_array(F.collect_list(F.struct("tree", "values")))["values"].alias("values"))
+    keep = [c for c in leaves.columns if c != "leaves"]
+    with_values = leaves.withColumn("values", table.scalar())
+
+    def added(first: int, last: int) -> Column:
+        trees = F.sequence(F.lit(first), F.lit(last))
+        return F.transform(trees, lambda t: F.get(F.get("values", t - 1), F.get("leaves", t - 1).cast("int")))
+
+    before = F.aggregate(added(1, first - 1), F.lit(0.0), lambda a, x: a + x) if first > 1 else F.lit(0.0)
+    start = F.struct(before.alias("sum"), F.array().cast("array<double>").alias("all"))
+    running = F.aggregate(
+        added(first, last), start,
+        lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"] + x).alias("all")),
+        lambda a: a["all"],
+    )
+    out = with_values.select(*keep, F.posexplode(running).alias("at", "margin"))
+    return out.select(*keep, (F.col("at") + first).alias("rounds"), "margin")
+
+
+def prefix_model(model: GBTClassificationModel, rounds: int, spark: SparkSession) -> GBTClassificationModel:
+    """The model's first ``rounds`` trees, as a model: saved, cut and loaded, not fitted again."""
+    if rounds == model.getNumTrees:
+        return model
+    whole, cut = scratch_path(spark, "model"), scratch_path(spark, "model")
+    model.write().save(whole)
+    about = json.loads(spark.read.text(f"{whole}/metadata").first()[0])
+    about["numTrees"] = rounds
+    about["paramMap"]["maxIter"] = rounds
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{cut}/metadata")
+    for part in ("data", "treesMetadata"):
+        table = spark.read.parquet(f"{whole}/{part}")  # a tree's number is in the first column
+        table.where(F.col(table.columns[0]) < rounds).write.parquet(f"{cut}/{part}")
+    return GBTClassificationModel.load(cut)
 
 
 def choose_rounds(history: Sequence[tuple[int, float]], patience: int = GB_PATIENCE) -> int:
@@ -131,22 +165,27 @@ def choose_rounds(history: Sequence[tuple[int, float]], patience: int = GB_PATIE
 
 
 def train_gb(
-    train: DataFrame, validation: DataFrame, patience: int = GB_PATIENCE, every: int = 10, **params: Any
+    train: DataFrame, validation: DataFrame, patience: int = GB_PATIENCE, **params: Any
 ) -> tuple[GBTClassificationModel, DataFrame]:
     """Boosting whose number of rounds maximises average precision on validation rows.
 
-    All rounds are fitted once; average precision is then taken for every
-    ``every``-th prefix in one distributed job and the winner is refitted with
-    the same seed. Returns the model and the (rounds, pr_auc) table.
+    All rounds are fitted once. Validation rows are sent down the trees once; then every round is judged, ``patience`` rounds
+    in one distributed job, until that many brought no gain. The winner is the fitted model's prefix. Returns the
+    model and the (rounds, pr_auc) table of the rounds judged.
     """
+    spark = train.sparkSession
     full = fit_gb(train, **params)
     total = full.getNumTrees
-    grid = sorted({*range(every, total + 1, every), total})
-    history = average_precision(prefix_margins(full, validation, grid), ["rounds"], score="margin")
-    history = materialize(history, "rounds")
-    best = choose_rounds([(r.rounds, r.pr_auc) for r in history.collect()], patience) or total
-    model = full if best == total else fit_gb(train, **{**params, "maxIter": best})
-    return model, history
+    leaves, values = staged_leaves(full, validation), materialize(leaf_values(full, spark), "leaf-values")
+    judged, history = [], []
+    for first in range(1, total + 1, patience):
+        margins = staged_margins(leaves, values, first, min(first + patience - 1, total))
+        judged.append(materialize(average_precision(margins, ["rounds"], score="margin"), "rounds"))
+        history += [(r.rounds, r.pr_auc) for r in judged[-1].collect()]  # a row per round
+        best = choose_rounds(history, patience)
+        if best and max(r for r, _ in history) - best >= patience:
+            break
+    return prefix_model(full, best or total, spark), reduce(DataFrame.union, judged)
 
 
 def score(model: Any, prepared: DataFrame, name: str = "y_prob") -> DataFrame:
@@ -164,16 +203,27 @@ def score_all(models: dict[str, Any], prepared: DataFrame, keep: Sequence[str],
     return wide.select(*keep, F.inline(F.array(*pairs)))
 
 
-def model_store(path: str, loader: Any, fit: Callable[[], Any], retrain: bool = False) -> Any:
-    """The model saved at ``path``, or a new one fitted and saved there."""
+def store_path(path: str, settings: dict[str, Any], version: str) -> str:
+    """Where a model with these settings, fitted on this version of the input, is kept under ``path``."""
+    text = json.dumps({"settings": settings, "version": version}, sort_keys=True, default=str)
+    return f"{path}/{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+
+
+def model_store(
+    path: str, loader: Any, fit: Callable[[], Any], retrain: bool = False, settings: dict[str, Any] | None = None, version: str = ""
+) -> Any:
+    """The model kept under ``path`` for these settings and input version, or a new one fitted and saved there."""
+    spark = SparkSession.active()
+    place = store_path(path, settings or {}, version)
     if not retrain:
         try:
-            return loader.load(path)
-        except Exception as err:  # MLlib reports a missing path through the JVM
-            if "does not exist" not in str(err).lower():
+            spark.read.text(f"{place}/metadata")
+            return loader.load(place)
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
                 raise
     model = fit()
-    model.write().overwrite().save(path)
+    model.write().overwrite().save(place)
     return model
 
 

@@ -4,34 +4,88 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .curves import exact_median
+from ..session import materialize
+from .curves import running_totals
 from .metrics import class_balance
+from .skew import lookup
 
-# More distinct values than this is an identifier, not a category.
-MAX_CATEGORIES = 10_000
+SKETCH = 10_000  # accuracy of the quantile sketch: its rank error is rows / SKETCH
+MOST_BRACKET = 1_000_000  # distinct values of a column that one task ranks
+SMALL_CODES = 100_000  # categories of a column whose code table is broadcast
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """(column_name, median) per numeric column.
+    """(column_name, median) per numeric column; NULL for a column without values.
 
-    Exact by default: values are counted, then ranked in even parts. With
-    ``accuracy`` one scan keeps a bounded sketch per column instead, with rank
-    error at most rows / accuracy.
+    Exact by default, see :func:`exact_medians`. With ``accuracy`` one scan keeps a bounded sketch per column
+    instead, with rank error at most rows / accuracy.
     """
     if accuracy is not None:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in columns])
         return row.unpivot([], list(columns), "column_name", "median")
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column_name", "value"
-    )
-    return exact_median(long, ["column_name"], "value")
+    return exact_medians(df, columns)
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], sketch: int = SKETCH) -> DataFrame:
+    """Exact medians in two scans, by bracket.
+
+    The first scan keeps a sketch of each column and reads two bounds off it, a few rank errors to either side of the middle.
+    The second counts what lies below the lower bound and keeps the values between the bounds, counted
+    before the shuffle: a few in ``sketch`` of the rows move. The counts prove that the middle lies inside;
+    a column whose sketch missed it is tried again with bounds further apart. NaN is a value above all others.
+    Write ``df`` before, if it is dear to compute.
+    """
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    todo, step, found = list(columns), 4.0 / sketch, []
+    while todo:
+        ends = [max(0.5 - step, 0.0), min(0.5 + step, 1.0)]
+        scan = [F.percentile_approx(c, ends, sketch).alias(f"b{i}") for i, c in enumerate(todo)]
+        row = doubles.agg(*scan, *[F.count(c).alias(f"n{i}") for i, c in enumerate(todo)]).first()
+        at = [i for i, _ in enumerate(todo) if row[f"n{i}"]]
+        if not at:
+            break
+        bounds = {i: (row[f"b{i}"][0] if ends[0] else None, row[f"b{i}"][1] if ends[1] < 1 else None) for i in at}
+
+        def kept(i: int) -> Column:
+            low, high = bounds[i]
+            c = F.col(todo[i])
+            below = F.lit(False) if low is None else c < F.lit(low)
+            above = F.lit(False) if high is None else c > F.lit(high)
+            value = F.struct(F.lit(i).alias("k"), below.alias("below"), F.when(~below, c).alias("value"))
+            return F.when(c.isNotNull() & ~above, value)
+
+        values = doubles.select(F.explode(F.array_compact(F.array(*[kept(i) for i in at]))).alias("v")).select("v.*")
+        counts = materialize(values.groupBy("k", "below", "value").agg(F.count(F.lit(1)).alias("copies")), "bracket")
+        sums = counts.groupBy("k").agg(
+            F.coalesce(F.sum(F.when(F.col("below"), F.col("copies"))), F.lit(0)).alias("under"), F.sum("copies").alias("upto"), F.count(F.lit(1)).alias("rows")
+        )
+        sums = {r.k: r for r in sums.collect()}  # one row per column
+        good = [i for i in at if i in sums and sums[i].under < (row[f"n{i}"] + 1) // 2 and row[f"n{i}"] // 2 + 1 <= sums[i].upto]
+        if good:
+            place = {i: ((row[f"n{i}"] + 1) // 2 - sums[i].under, row[f"n{i}"] // 2 + 1 - sums[i].under) for i in good}
+            inside = counts.where(~F.col("below") & F.col("k").isin(good))
+            if max(sums[i].rows for i in good) > MOST_BRACKET:
+                ranked = running_totals(inside, ["k"], [F.col("value")], {"copies": "upto"})
+            else:
+                ranked = inside.withColumn("upto", F.sum("copies").over(Window.partitionBy("k").orderBy("value")))
+            of = lambda side: F.expr("CASE k " + " ".join(f"WHEN {i} THEN {place[i][side]}L" for i in good) + " END")
+            holds = lambda pos: (F.col("upto") - F.col("copies") < pos) & (pos <= F.col("upto"))
+            middle = (F.max(F.when(holds(of(0)), F.col("value"))) + F.max(F.when(holds(of(1)), F.col("value")))) / F.lit(2.0)
+            name = F.expr("CASE k " + " ".join(f"WHEN {i} THEN '{todo[i]}'" for i in good) + " END")
+            found.append(ranked.groupBy("k").agg(middle.alias("median")).select(name.alias("column_name"), "median"))
+        todo, step = [todo[i] for i in at if i not in good], step * 8
+    spark = df.sparkSession
+    names = spark.createDataFrame([(c,) for c in columns], "column_name string")
+    medians = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "column_name string, median double")
+    return names.join(F.broadcast(medians), "column_name", "left")
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,62 +111,74 @@ def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def ordinal_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, category, code): categories in string order from 0.
 
-    The window runs over distinct categories, not over rows.
+    Distinct categories are numbered over even ranges, so a column may have any number of them.
     """
-    order = Window.partitionBy("column_name").orderBy("category")
-    return category_counts(df, columns).select(
-        "column_name", "category", (F.row_number().over(order) - 1).alias("code")
-    )
+    counts = category_counts(df, columns).withColumn("one", F.lit(1))
+    ranked = running_totals(counts, ["column_name"], [F.col("category")], {"one": "upto"})
+    return ranked.select("column_name", "category", (F.col("upto") - 1).cast("int").alias("code"))
+
 
+def encode(df: DataFrame, codes: DataFrame, columns: dict[str, str], sizes: dict[str, int], spread_by: Sequence[str]) -> DataFrame:
+    """Add a code column for each category column (``columns``: name of either); -1 for a value not seen in training.
 
-def encode(col: Column | str, categories: Sequence[str]) -> Column:
-    """Position in the sorted categories; -1 for a value not seen in training."""
-    col = F.col(col) if isinstance(col, str) else col
-    if not categories:
-        return F.lit(-1)
-    return (F.array_position(F.array(*[F.lit(c) for c in categories]), col) - 1).cast("int")
+    A code table of at most SMALL_CODES rows (``sizes`` has its measured size) is broadcast. A larger one is joined by
+    shuffle, with the rows of hot or missing categories spread over tasks.
+    """
+    for c, name in columns.items():
+        own = codes.where(F.col("column_name") == c).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
+        keyed = df.withColumn("_category", F.col(c))
+        if sizes.get(c, 0) <= SMALL_CODES:
+            joined = keyed.join(F.broadcast(own), "_category", "left")
+        else:
+            joined = lookup(keyed, own, "_category", spread_by)
+        df = joined.withColumn(name, F.coalesce("_code", F.lit(-1))).drop("_category", "_code")
+    return df
 
 
 @dataclass
 class Preprocessor:
-    """What training data taught: a median per number, a mode and codes per category."""
+    """What training data taught: a median per number, a mode per category column, and the table of codes."""
 
     numeric: list[str]
     categorical: list[str]
-    medians: dict[str, float] = field(default_factory=dict)
-    modes: dict[str, str] = field(default_factory=dict)
-    categories: dict[str, list[str]] = field(default_factory=dict)
+    medians: dict[str, float | None]
+    modes: dict[str, str | None]
+    sizes: dict[str, int]  # categories of each column
+    codes: DataFrame  # column_name, category, code; written
 
     @property
     def feature_names(self) -> list[str]:
         return [*self.numeric, *self.categorical]
 
-    def columns(self) -> dict[str, Column]:
-        filled = {
+    def filled(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` columns and ``x_<feature>`` as numbers: missing values filled, categories as codes."""
+        filled = [
             # a column without any training value has no median; 0 keeps its place
-            c: F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians.get(c) or 0.0)))
+            F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians.get(c) or 0.0))).alias(f"x_{c}")
             for c in self.numeric
-        }
-        coded = {
-            c: encode(F.coalesce(F.col(c), F.lit(self.modes.get(c))), self.categories.get(c, [])).cast("double")
-            for c in self.categorical
-        }
-        return {**filled, **coded}
+        ]
+        with_mode = [F.coalesce(F.col(c), F.lit(self.modes.get(c))).alias(f"c_{c}") for c in self.categorical]
+        out = df.select(*keep, *filled, *with_mode)
+        codes = self.codes.withColumn("column_name", F.concat(F.lit("c_"), "column_name"))
+        sizes = {f"c_{c}": n for c, n in self.sizes.items()}
+        out = encode(out, codes, {f"c_{c}": f"x_{c}" for c in self.categorical}, sizes, list(keep))
+        return out.select(*keep, *[F.col(f"x_{c}").cast("double").alias(f"x_{c}") for c in self.feature_names])
 
     def transform(self, df: DataFrame, keep: Sequence[str], output: str = "features") -> DataFrame:
         """``keep`` columns and the feature vector; codes are plain numbers to the trees."""
-        inner = {f"x_{c}": col for c, col in self.columns().items()}
-        prepared = df.select(*keep, *[col.alias(name) for name, col in inner.items()])
-        assembler = VectorAssembler(inputCols=list(inner), outputCol=output)
-        return assembler.transform(prepared).select(*keep, output)
+        assembler = VectorAssembler(inputCols=[f"x_{c}" for c in self.feature_names], outputCol=output)
+        return assembler.transform(self.filled(df, keep)).select(*keep, output)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        text = json.dumps(asdict(self), sort_keys=True)
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    def save(self, path: str) -> None:
+        settings = {k: getattr(self, k) for k in ("numeric", "categorical", "medians", "modes", "sizes")}
+        text = self.codes.sparkSession.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string")
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        text.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Preprocessor:
-        return cls(**json.loads(spark.read.text(path, wholetext=True).first()[0]))
+        settings = json.loads(spark.read.text(f"{path}/settings", wholetext=True).first()[0])
+        return cls(**settings, codes=spark.read.parquet(f"{path}/codes"))
 
 
 def fit_preprocessor(
@@ -120,19 +186,14 @@ def fit_preprocessor(
 ) -> Preprocessor:
     """Medians, modes and codes from the training rows only.
 
-    What comes back to the driver is one row per column or category.
+    One row per column comes back to the driver; the codes stay a table. The rows are read
+    several times: write them before, if they are dear to compute.
     """
     medians = {r.column_name: r.median for r in impute_median(train, numeric, accuracy).collect()}
-    codes = ordinal_codes(train, categorical)
-    wide = codes.groupBy("column_name").agg(F.max("code").alias("top")).where(F.col("top") >= MAX_CATEGORIES)
-    too_many = [r.column_name for r in wide.collect()]
-    if too_many:
-        raise ValueError(f"columns {too_many} have more than {MAX_CATEGORIES} distinct values")
-    categories: dict[str, list[str]] = {c: [] for c in categorical}
-    for row in codes.orderBy("column_name", "code").collect():
-        categories[row.column_name].append(row.category)
+    codes = materialize(ordinal_codes(train, categorical), "codes")
+    sizes = {r.column_name: r.n for r in codes.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     modes = {r.column_name: r.mode for r in impute_mode(train, categorical).collect()}
-    return Preprocessor(list(numeric), list(categorical), medians, modes, categories)
+    return Preprocessor(list(numeric), list(categorical), medians, modes, sizes, codes)
 
 
 def weight_column(train: DataFrame, balanced: bool = True, label: str = "label") -> Column:
@@ -149,11 +210,23 @@ def weight_column(train: DataFrame, balanced: bool = True, label: str = "label")
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str = "snapshot_id", seed: int = 42, label: str = "label") -> DataFrame:
-    """A fixed-size random sample, the same on any cluster layout.
+    """The ``n`` rows with the smallest MD5 of id and seed, the same on any cluster layout and in any engine.
 
-    The hash order gives a top-n, which each task cuts to n rows first.
+    Rows are counted by the first four digits of the digest (65,536 counts), which gives the digits up to which all rows
+    belong to the sample. Only the rows of the one prefix in which the sample ends are ordered.
     """
-    return df.where(F.col(label).isNotNull()).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    mixed = df.where(F.col(label).isNotNull()).withColumn("_mix", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))))
+    prefix = F.substring("_mix", 1, 4)
+    counts = sorted(mixed.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("rows")).collect())
+    left = n
+    for edge, rows in counts:
+        if left <= rows:
+            break
+        left -= rows
+    else:
+        return mixed.drop("_mix")  # fewer rows than asked for
+    last = mixed.where(prefix == edge).orderBy("_mix", id_col).limit(left)
+    return mixed.where(prefix < edge).union(last).drop("_mix")
 
 
 def strip_feature_prefix(df: DataFrame, col: str = "feature") -> DataFrame:

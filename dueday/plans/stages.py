@@ -136,7 +136,8 @@ class Trained:
 def train_target(rows: DataFrame, rf: dict | None = None, gb: dict | None = None, accuracy: int | None = None) -> Trained:
     """Fit the preprocessor on train rows, then both models.
 
-    The prepared rows are written once: every tree level reads them again.
+    ``rows`` are read a few times: write them before, if they are dear to compute. The
+    prepared rows are written once: every tree level reads them again.
     """
     roles = column_roles(rows)
     train = rows.where(F.col("split") == "train")
@@ -150,6 +151,7 @@ def train_target(rows: DataFrame, rf: dict | None = None, gb: dict | None = None
 
 def diagnose(scored: DataFrame, tune_split: str = "validation") -> dict[str, DataFrame]:
     """All evaluation tables from one scored table with splits."""
+    scored = materialize(scored, "scored")
     tuned = curves.best_f1_threshold(scored.where(F.col("split") == tune_split), metrics.MODEL_KEYS)
     tuned = materialize(tuned, "thresholds")
     test = metrics.scored_table(scored.where(F.col("split") == "test"), tuned)
