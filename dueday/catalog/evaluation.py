@@ -141,8 +141,8 @@ def group_metrics(d):
     return metrics.group_metrics(d("fx_pred"))
 
 
-def fairness(d):
-    return metrics.fairness_metrics(d("fx_pred"))
+def fairness(d, areas=True):
+    return metrics.fairness_metrics(d("fx_pred"), areas=areas)
 
 
 @query("fairness_metrics", "SELECT * FROM ov_fairness", disparate_impact_ratio=6, tpr_gap_vs_overall=6, fpr_gap_vs_overall=6, **GROUP_DIGITS)
@@ -210,7 +210,7 @@ def worst_slices(d):
     tpr_gap_vs_overall=6, fpr_gap_vs_overall=6,
 )
 def largest_gaps(d):
-    return reports.largest_gaps(fairness(d))
+    return reports.largest_gaps(fairness(d, areas=False))
 
 
 @query(
@@ -263,7 +263,7 @@ GENDER = ["positive_pred_rate", "disparate_impact_ratio", "tpr", "fpr", "f1"]
     **{c: 4 for c in GENDER},
 )
 def gender_fairness(d):
-    return reports.gender_fairness(fairness(d))
+    return reports.gender_fairness(fairness(d, areas=False))
 
 
 @query(

@@ -1,17 +1,18 @@
 """Exact ranking curves: ROC-AUC, average precision, PR points, best F1.
 
 Rows are first reduced to one per (group, distinct score), which removes any
-pile-up on one score. The distinct scores are then laid out by Spark's range
-partitioning on (group, score). That key is unique, so the parts are even
-however the scores cluster, and no group has to fit in one task. The layout is
-written to the shared folder once: running totals need each score to stay in
-the part it was counted in.
+pile-up on one score. A quantile sketch of the scores plans their parts: the part is an expression
+of the score, so a distinct score always falls into the same part and nothing has to be written. Running totals
+are windows inside a part plus what the higher parts hold, a small table; no group has to fit in
+one task. Only the sketch runs before the result is read. Values that are no numbers are laid out by
+Spark's range partitioning instead, which is written once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,25 @@ from ..functions import scalars as S
 from ..session import materialize
 
 
+def split_points(df: DataFrame, score: str = "y_prob", parts: int | None = None) -> list[float]:
+    """Scores that cut ``df`` into even parts, as many as shuffles have; one scan of one column."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts < 2:
+        return []
+    ends = [k / parts for k in range(1, parts)]
+    row = df.agg(F.percentile_approx(F.col(score).cast("double"), ends, max(10_000, 10 * parts)).alias("points")).first()
+    return sorted({x for x in row.points or [] if x == x})
+
+
+def with_part(df: DataFrame, points: Sequence[float], score: str = "y_prob") -> DataFrame:
+    """Add ``part``: how many of the points are not above the score; a missing score has a part of its own."""
+    if not points:
+        return df.withColumn("part", F.lit(0.0))
+    splits = [float("-inf"), *points, float("inf")]
+    as_double = df.withColumn("_score", F.col(score).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_score", outputCol="part", handleInvalid="keep").transform(as_double).drop("_score")
+
+
 def score_counts(df: DataFrame, by: Sequence[str], score: str = "y_prob", label: str = "label") -> DataFrame:
     """Rows and positives at each distinct score of each group."""
     return df.groupBy(*by, F.col(score).alias("score")).agg(
@@ -65,14 +85,26 @@ def running_totals(
 
 
 def curve_from_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Curve from one row per (group, score); group columns must not be NULL."""
-    curve = running_totals(counts, by, [F.desc("score")], {"tp": "cum_tp", "fp": "cum_fp"})
-    return curve.withColumnsRenamed({"all_cum_tp": "positives", "all_cum_fp": "negatives"}).withColumns(
+    """Curve from one row per (group, part, score); group columns must not be NULL."""
+    per_part = counts.groupBy(*by, "part").agg(F.sum("tp").alias("part_tp"), F.sum("fp").alias("part_fp"))
+    higher = Window.partitionBy(*by).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    offsets = per_part.select(
+        *by, "part",
+        F.coalesce(F.sum("part_tp").over(higher), F.lit(0)).alias("before_tp"),
+        F.coalesce(F.sum("part_fp").over(higher), F.lit(0)).alias("before_fp"),
+        F.sum("part_tp").over(whole).alias("positives"),
+        F.sum("part_fp").over(whole).alias("negatives"),
+    )
+    inside = Window.partitionBy(*by, "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = counts.withColumns({"cum_tp": F.sum("tp").over(inside), "cum_fp": F.sum("fp").over(inside)}).join(offsets, [*by, "part"])
+    totals = {"cum_tp": F.col("before_tp") + F.col("cum_tp"), "cum_fp": F.col("before_fp") + F.col("cum_fp")}
+    return curve.withColumns(totals).withColumns(
         {
             "precision": F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")),
             "recall": S.safe_ratio("cum_tp", "positives"),
         }
-    )
+    ).drop("part", "before_tp", "before_fp")
 
 
 def pr_curve(df: DataFrame, by: Sequence[str], score: str = "y_prob", label: str = "label") -> DataFrame:
@@ -80,7 +112,8 @@ def pr_curve(df: DataFrame, by: Sequence[str], score: str = "y_prob", label: str
 
     ``tp``/``fp`` are the counts at the score, ``cum_tp``/``cum_fp`` at or above it.
     """
-    return curve_from_counts(score_counts(df, by, score, label), by)
+    parted = with_part(df, split_points(df, score), score)
+    return curve_from_counts(score_counts(parted, [*by, "part"], score, label), by)
 
 
 def roc_auc_of() -> Column:

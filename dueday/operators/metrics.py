@@ -19,11 +19,11 @@ from .assemble import threshold_lookup
 from .curves import (
     average_precision_of,
     best_f1_of,
-    curve_areas,
-    curve_from_counts,
     pr_curve,
     roc_auc_of,
     score_counts,
+    split_points,
+    with_part,
 )
 
 MODEL_KEYS = ["target", "model"]
@@ -232,16 +232,66 @@ def slice_counts(
     )
 
 
-def slice_curves(scored: DataFrame, slices: Sequence[str]) -> DataFrame:
-    """ROC-AUC and average precision per slice value.
+def slice_table(scored: DataFrame, slices: Sequence[str], pred: str = "y_pred_optimal") -> DataFrame:
+    """Counts, sums, ROC-AUC and average precision per (target, model, slice value), and overall without the areas.
 
-    Rows are combined by (slice columns, score) before they are fanned out to
-    the slices, then once more per slice and score.
+    One scan: rows are combined by (slice columns, score) and laid out once, by (target, model) and part of the score. The
+    windows of all slice columns run inside that layout. What the higher parts hold of a slice value enters
+    as a row above all scores of the part, with the other slice columns missing, so nothing is joined; rows are
+    fanned out to their slices only to be added up.
     """
-    by = [*MODEL_KEYS, "slice_col", "slice_val"]
-    counts = _fan_out(score_counts(scored, [*MODEL_KEYS, *slices]), slices)
-    merged = counts.groupBy(*by, "score").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    return curve_areas(curve_from_counts(merged, by), by)
+    parted = with_part(scored, split_points(scored))
+    counts = score_counts(parted, [*MODEL_KEYS, *slices, "part", F.col(pred).alias("pred")])
+    keys = [*MODEL_KEYS, "slice_col", "slice_val"]
+    small = counts.groupBy(*MODEL_KEYS, *slices, "part").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    by_part = _fan_out(small, slices).groupBy(*keys, "part").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    higher = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    above = by_part.withColumns({c: F.sum(c).over(higher) for c in ("tp", "fp")}).where("tp IS NOT NULL")
+    above = above.select(
+        *MODEL_KEYS, *[F.when(F.col("slice_col") == c, F.col("slice_val")).alias(c) for c in slices],
+        "part", F.lit(None).cast("int").alias("pred"), F.lit(None).cast("double").alias("score"), "tp", "fp", F.lit(True).alias("carried"),
+    )
+    rows = counts.select(*MODEL_KEYS, *slices, "part", F.col("pred").cast("int").alias("pred"), F.col("score").cast("double").alias("score"), "tp", "fp", F.lit(False).alias("carried"))
+    down = F.when(F.col("carried"), F.lit(float("-inf"))).otherwise(F.coalesce(-F.col("score"), F.lit(float("inf"))))
+    laid = rows.union(above).repartition(*MODEL_KEYS, "part").withColumn("down", down)
+
+    def running(c: str) -> dict[str, Column]:
+        upto, ties = Window.partitionBy(*MODEL_KEYS, "part", c).orderBy("down"), Window.partitionBy(*MODEL_KEYS, "part", c, "down")
+        return {f"{c}_tp": F.sum("tp").over(upto), f"{c}_fp": F.sum("fp").over(upto), f"{c}_tied": F.sum("tp").over(ties)}
+
+    for c in slices:
+        laid = laid.withColumns(running(c))
+
+    def one(name: str, value: Column, tp: Column, fp: Column, tied: Column) -> Column:
+        area = F.col("fp") * (tp - tied / F.lit(2.0))
+        steps = F.col("tp") * (tp / (tp + fp))
+        return F.struct(F.lit(name).alias("slice_col"), value.alias("slice_val"), area.alias("area"), steps.alias("steps"))
+
+    nothing = F.lit(None).cast("double")
+    each = [one(c, F.col(c), F.col(f"{c}_tp"), F.col(f"{c}_fp"), F.col(f"{c}_tied")) for c in slices]
+    each.append(one("overall", F.lit("all"), nothing, nothing, nothing))
+    fanned = laid.where("NOT carried").select(*MODEL_KEYS, "pred", "score", "tp", "fp", F.inline(F.array(*each))).where("slice_val IS NOT NULL")
+
+    def total(column: str | Column, pred: int | None = None) -> Column:
+        column = F.col(column) if isinstance(column, str) else column
+        return F.coalesce(F.sum(column if pred is None else F.when(F.col("pred") == pred, column)), F.lit(0))
+
+    p, rows_at = F.col("score"), F.col("tp") + F.col("fp")
+    summed = fanned.groupBy(*keys).agg(
+        total("tp", 1).alias("TP"), total("fp", 1).alias("FP"), total("tp", 0).alias("FN"), total("fp", 0).alias("TN"),
+        F.sum(rows_at).alias("n"), F.sum(p * rows_at).alias("sum_prob"),
+        F.sum(F.col("tp") * F.pow(p - 1, F.lit(2.0)) + F.col("fp") * F.pow(p, F.lit(2.0))).alias("sum_sq"),
+        F.sum("tp").alias("pos"), F.sum("area").alias("area"), F.sum("steps").alias("steps"),
+    )
+    # as doubles: the product of two row counts can exceed a bigint
+    pairs = F.col("pos").cast("double") * (F.col("n") - F.col("pos")).cast("double")
+    return summed.withColumns(
+        {
+            "pred_pos": F.col("TP") + F.col("FP"),
+            "roc_auc": F.col("area") / F.nullif(pairs, F.lit(0.0)),
+            "pr_auc": F.col("steps") / F.nullif(F.col("pos"), F.lit(0)),
+        }
+    ).drop("area", "steps")
 
 
 def min_group_filter(
@@ -281,10 +331,11 @@ def fp_fn_by_slice(scored: DataFrame, slices: Sequence[str] = SLICE_COLS, min_ro
 def slice_performance(
     scored: DataFrame, slices: Sequence[str] = SLICE_COLS, min_rows: int = 100, min_positives: int = 10
 ) -> DataFrame:
-    groups = min_group_filter(slice_counts(scored, slices), min_rows, min_positives)
-    by = [*MODEL_KEYS, "slice_col", "slice_val"]
-    return groups.join(slice_curves(scored, slices), by).select(
-        *by,
+    groups = slice_table(scored, slices).where("slice_col <> 'overall'")
+    return min_group_filter(groups, min_rows, min_positives).select(
+        *MODEL_KEYS,
+        "slice_col",
+        "slice_val",
         "n",
         S.safe_ratio("pos", "n").alias("positive_rate"),
         "roc_auc",
@@ -322,7 +373,7 @@ def calibration_curve(
     )
 
 
-def _group_columns() -> dict[str, Column]:
+def _group_columns(areas: bool) -> dict[str, Column]:
     """Group metrics that are NULL, not 0, when undefined; F1 alone is 0."""
     pos, neg, pred = F.col("pos"), F.col("n") - F.col("pos"), F.col("pred_pos")
     tpr = S.safe_ratio(F.col("TP"), pos)
@@ -331,8 +382,7 @@ def _group_columns() -> dict[str, Column]:
         "n_actual_pos": pos,
         "n_predicted_pos": pred,
         "positive_pred_rate": S.safe_ratio(pred, F.col("n")),
-        "roc_auc": F.col("roc_auc"),
-        "pr_auc": F.col("pr_auc"),
+        **({"roc_auc": F.col("roc_auc"), "pr_auc": F.col("pr_auc")} if areas else {}),
         "f1": f1_of(),
         "precision": S.safe_ratio(F.col("TP"), pred),
         "recall": tpr,
@@ -343,45 +393,38 @@ def _group_columns() -> dict[str, Column]:
     }
 
 
-def group_metrics(scored: DataFrame, slices: Sequence[str] = FAIRNESS_COLS, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
-    by = [*MODEL_KEYS, "slice_col", "slice_val"]
-    groups = slice_counts(scored, slices).where(F.col("n") >= min_rows)
-    joined = groups.join(slice_curves(scored, slices), by, "left")
-    return joined.select(
-        *MODEL_KEYS,
-        "slice_col",
-        F.col("slice_val").alias("group"),
-        *[c.alias(n) for n, c in _group_columns().items()],
-    )
+def _grouped(scored: DataFrame, slices: Sequence[str], areas: bool) -> DataFrame:
+    """Group metrics of every slice value and of all rows (slice_col ``overall``)."""
+    groups = slice_table(scored, slices) if areas else slice_counts(scored, slices, with_overall=True)
+    named = [c.alias(n) for n, c in _group_columns(areas).items()]
+    return groups.select(*MODEL_KEYS, "slice_col", F.col("slice_val").alias("group"), *named)
+
+
+def group_metrics(
+    scored: DataFrame, slices: Sequence[str] = FAIRNESS_COLS, min_rows: int = MIN_GROUP_ROWS, areas: bool = True
+) -> DataFrame:
+    """Metrics per slice value; without ``areas`` no curve is built."""
+    return _grouped(scored, slices, areas).where((F.col("slice_col") != "overall") & (F.col("n") >= min_rows))
 
 
 def fairness_metrics(
-    scored: DataFrame, slices: Sequence[str] = FAIRNESS_COLS, min_rows: int = MIN_GROUP_ROWS
+    scored: DataFrame, slices: Sequence[str] = FAIRNESS_COLS, min_rows: int = MIN_GROUP_ROWS, areas: bool = True
 ) -> DataFrame:
-    """Group metrics with disparate impact and gaps against the whole population."""
-    cells = counts_at("label", F.col("y_pred_optimal"))
-    # one row per (target, model)
-    overall = (
-        scored.groupBy(*MODEL_KEYS)
-        .agg(*[c.alias(n) for n, c in cells.items()])
-        .select(
-            *MODEL_KEYS,
-            S.safe_ratio(F.col("TP") + F.col("FP"), F.col("TP") + F.col("FP") + F.col("FN") + F.col("TN")).alias("base_ppr"),
-            S.safe_ratio(F.col("TP"), F.col("TP") + F.col("FN")).alias("base_tpr"),
-            S.safe_ratio(F.col("FP"), F.col("FP") + F.col("TN")).alias("base_fpr"),
-        )
-    )
+    """Group metrics with disparate impact and gaps against the whole population; without ``areas`` no curve is built."""
+    # a few rows per (target, model) from here on
+    model = Window.partitionBy(*MODEL_KEYS)
+    base = {c: F.max(F.when(F.col("slice_col") == "overall", F.col(c))).over(model) for c in ("positive_pred_rate", "tpr", "fpr")}
+    rows = _grouped(scored, slices, areas).withColumns({f"base_{c}": column for c, column in base.items()})
     return (
-        group_metrics(scored, slices, min_rows)
-        .join(F.broadcast(overall), MODEL_KEYS)
+        rows.where((F.col("slice_col") != "overall") & (F.col("n") >= min_rows))
         .withColumns(
             {
-                "disparate_impact_ratio": S.safe_ratio("positive_pred_rate", "base_ppr"),
+                "disparate_impact_ratio": S.safe_ratio("positive_pred_rate", "base_positive_pred_rate"),
                 "tpr_gap_vs_overall": F.col("tpr") - F.col("base_tpr"),
                 "fpr_gap_vs_overall": F.col("fpr") - F.col("base_fpr"),
             }
         )
-        .drop("base_ppr", "base_tpr", "base_fpr")
+        .drop(*[f"base_{c}" for c in base])
     )
 
 
