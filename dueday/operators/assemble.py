@@ -16,7 +16,7 @@ from ..schemas import (
 )
 from .labels import hit_ahead, missed_flag, pos_dpd_days
 from .skew import HOT_ROWS, HotKeys, hot_keys, lookup
-from .timeline import FIRST, PIECE, PIECE_SOURCE, WINDOW_DAYS, borrower_timeline
+from .timeline import EVENT_COLS, PIECE, WINDOW_DAYS, borrower_timeline, split_hot
 
 FEATURES = [*HISTORY_FEATURES, *APPLICATION_NUMERIC, *SLICE_COLS, *PREVIOUS_FEATURES, *BUREAU_FEATURES]
 
@@ -74,7 +74,8 @@ def model_table(
     the windows already have, so the big side is not shuffled for them.
     """
     hot = hot_keys(events, ENTITY, limit) if hot is None else hot
-    timeline = borrower_timeline(events, hot, window_days=window_days).select(
+    cut = split_hot(events.select(*EVENT_COLS), hot)
+    timeline = borrower_timeline(events, hot, window_days=window_days, cut=cut).select(
         *SNAPSHOT_KEYS,
         *PIECE,
         *HISTORY_FEATURES,
@@ -83,21 +84,17 @@ def model_table(
         "future_inst_dpd30_hit",
     )
     borrower = entity.join(pos_dpd_days(pos), ENTITY, "full")
-    wide = timeline.join(_spread_over_pieces(borrower, events, hot), [ENTITY, *PIECE], "left")
+    wide = timeline.join(_spread_over_pieces(borrower, cut, hot), [ENTITY, *PIECE], "left")
     complete = F.col("borrower_max_installment_day") >= F.col("snapshot_day") + window_days
     hit = F.greatest("future_inst_dpd30_hit", hit_ahead("pos_days", "snapshot_day", window_days))
     return wide.select(*SNAPSHOT_KEYS, *FEATURES, "missed_upcoming_emi", F.when(complete, hit).alias("future_dpd30"))
 
 
-def _spread_over_pieces(entity: DataFrame, events: DataFrame, hot: HotKeys) -> DataFrame:
+def _spread_over_pieces(entity: DataFrame, cut: DataFrame, hot: HotKeys) -> DataFrame:
     """Borrower rows, once per piece for hot borrowers."""
     if not hot:
         return entity.withColumns({piece: F.lit(0) for piece in PIECE})
-    pieces = (
-        events.join(hot.keys(), ENTITY, "left_semi")
-        .select(ENTITY, *[F.coalesce(c, F.lit(FIRST)).alias(p) for c, p in zip(PIECE_SOURCE, PIECE)])
-        .distinct()
-    )
+    pieces = cut.where("is_hot").select(ENTITY, *PIECE).distinct()
     return entity.join(pieces, ENTITY, "left").fillna(0, subset=PIECE)
 
 

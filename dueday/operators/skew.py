@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is hot. At most rows / HOT_ROWS keys can be:
-# 100 billion rows have at most 100,000 hot keys, a few megabytes.
+from ..session import materialize
+
+# A key with more rows than this is hot.
 HOT_ROWS = 1_000_000
+# Keys a sketch keeps track of. It overlooks no key with more than 7 / TRACKED of the rows, so the limit
+# grows with the table beyond HOT_ROWS * TRACKED / 7 rows, and no list of hot keys is longer than TRACKED / 7.
+TRACKED = 100_000
+MOST_HOT = TRACKED // 7
 
 
 @dataclass(frozen=True)
@@ -21,6 +26,7 @@ class HotKeys:
     frame: DataFrame
     count: int
     null_pieces: int = 0
+    limit: int = HOT_ROWS
 
     def __bool__(self) -> bool:
         return self.count > 0
@@ -30,21 +36,44 @@ class HotKeys:
 
 
 def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys:
-    """Count rows per key and keep the hot ones.
+    """The keys with more than ``limit`` rows, or more than 7 / TRACKED of all rows if that is higher.
 
-    This runs one job now: it scans the key column only and combines counts
-    before the shuffle. Knowing the answer keeps the plans simple, because
-    without hot keys no plan needs a second path. Rows without a key are
+    This runs one job now: a scan of the key column with a sketch of frequent items, which moves a few sketches and no keys.
+    Only if the sketch names candidates, they are counted exactly by a second scan. Knowing the answer
+    keeps the plans simple, because without hot keys no plan needs a second path. Rows without a key are
     counted too, as joins would send them all to one task.
     """
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
-    hot = counted.where(F.col("key_rows") > limit).select(
-        key, F.ceil(F.col("key_rows") / F.lit(limit)).cast("int").alias("pieces")
-    )
-    rows = hot.collect()  # at most rows / limit of them
-    named = [r for r in rows if r[key] is not None]
-    unnamed = sum(r["pieces"] for r in rows if r[key] is None)
-    return HotKeys(key, df.sparkSession.createDataFrame(named, hot.schema), len(named), unnamed)
+    top = F.expr(f"approx_top_k(`{key}`, {MOST_HOT}, {TRACKED})")
+    seen = df.agg(top.alias("top"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("missing")).first()
+    limit = max(limit, -(-7 * seen.n // TRACKED))
+    named = [x["item"] for x in seen.top or [] if x["item"] is not None and x["count"] > limit]
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}"
+    rows = []
+    if seen.n // limit > MOST_HOT:  # a limit far below what the sketch tells apart
+        counted = df.where(F.col(key).isNotNull())
+    else:
+        counted = df.join(F.broadcast(df.sparkSession.createDataFrame([(k,) for k in named], schema)), key) if named else None
+    if counted is not None:
+        sizes = counted.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).where(F.col("key_rows") > limit)
+        rows = [(r[key], -(-r["key_rows"] // limit)) for r in sizes.collect()]  # at most rows / limit of them
+    unnamed = -(-seen.missing // limit) if seen.missing > limit else 0
+    return HotKeys(key, df.sparkSession.createDataFrame(rows, f"{schema}, pieces int"), len(rows), unnamed, limit)
+
+
+def bounded_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, name: str) -> DataFrame:
+    """Add ``name``: which run of at most ``limit`` rows, in ``order``, of its key a row belongs to, from 0.
+
+    The rows are laid out by ranges of (keys, order) and written once; a row's place in its key is its place in (key, range)
+    plus the rows of the key's earlier ranges, so a key of any size fills many tasks.
+    """
+    laid = materialize(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "runs")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    shift = sizes.select(*keys, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    joined = laid.withColumn("_place", place).join(shift, [*keys, "_range"])
+    run = F.floor((F.col("_place") + F.col("_shift")) / F.lit(limit)).cast("int")
+    return joined.withColumn(name, run).drop("_range", "_place", "_shift")
 
 
 def lookup(

@@ -2,7 +2,8 @@
 
 The events of an ordinary borrower are one window partition. A hot borrower
 (see :mod:`skew`) is cut into pieces by the leading order columns, due day and
-instalment number, so no task ever holds all of its events. Each piece is
+instalment number, and a day and number with very many events into runs of bounded length by version and
+contract, so no task ever holds all of its events. Each piece is
 computed on its own and then corrected with a *carry*: what the earlier pieces
 hand over (row offset, running counts, the last six events) and the first event
 of the next piece. The carry has one row per piece of a hot borrower; when
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import ENTITY, EVENT_ORDER, HISTORY_FEATURES, SNAPSHOT_KEYS
-from .skew import HOT_ROWS, HotKeys, hot_keys
+from ..session import materialize
+from .skew import HOT_ROWS, HotKeys, bounded_runs, hot_keys
 
 # Fixed value: length of the label's look-ahead.
 WINDOW_DAYS = 90
 
-PIECE = ["piece_day", "piece_number"]
+PIECE = ["piece_day", "piece_number", "piece_run"]
 PIECE_SOURCE = ["DAYS_INSTALMENT", "NUM_INSTALMENT_NUMBER"]
 FIRST = -(2**31)  # piece of a missing order value, which sorts first
 
@@ -75,21 +77,33 @@ def behaviour_flags(events: DataFrame) -> DataFrame:
 
 
 def split_hot(events: DataFrame, hot: HotKeys) -> DataFrame:
-    """Add the piece columns: (0, 0) for ordinary borrowers, order columns for hot ones.
+    """Add the piece columns: (0, 0, 0) for ordinary borrowers; due day, number and a run of at most
+    ``hot.limit`` events for hot ones.
 
-    An event must name its borrower; one without fails the job.
+    An event must name its borrower; one without fails the job. Days and numbers with more events than the limit are
+    counted first, for hot borrowers only; there can be at most rows / limit of them.
     """
     named = F.coalesce(ENTITY, F.raise_error(F.lit(f"an event has no {ENTITY}")).cast("bigint"))
     events = events.withColumn(ENTITY, named)
     if not hot:
         return events.withColumns({piece: F.lit(0) for piece in PIECE})
     tagged = events.join(hot.keys().withColumn("is_hot", F.lit(True)), ENTITY, "left")
-    return tagged.withColumns(
+    day, number, run = PIECE
+    cut = tagged.withColumns(
         {
             piece: F.when(F.col("is_hot"), F.coalesce(source, F.lit(FIRST))).otherwise(F.lit(0))
             for piece, source in zip(PIECE, PIECE_SOURCE)
         }
     )
+    key = [ENTITY, day, number]
+    sizes = cut.where("is_hot").groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot.limit)
+    long = materialize(sizes.select(*key, F.lit(True).alias("is_long")), "long-pieces")
+    if not long.take(1):
+        return cut.withColumn(run, F.lit(0))
+    marked = cut.join(F.broadcast(long), key, "left")
+    short = marked.where("is_long IS NULL").withColumn(run, F.lit(0)).drop("is_long")
+    runs = bounded_runs(marked.where("is_long").drop("is_long"), key, EVENT_ORDER, hot.limit, run)
+    return short.unionByName(runs)
 
 
 def piece_window() -> Window:
@@ -151,15 +165,15 @@ def piece_carry(hot_rows: DataFrame, window_days: int) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("left_in_piece") < TAIL, tail_row))).alias("tail"),
         F.min(F.when(F.col("rn") == 1, F.struct(*NEXT_COLS))).alias("head"),
     )
-    # One row per (due day, instalment number) of a borrower: bounded by the
-    # calendar, not by the number of events.
+    # One row per (due day, instalment number, run) of a borrower: bounded by the
+    # calendar and by events / limit.
     across = Window.partitionBy(ENTITY).orderBy(*PIECE)
     before = _before(across)
     carried = pieces.withColumns(
         {
             "offset": F.coalesce(F.sum("rows").over(before), F.lit(0)),
             "next_head": F.lead("head").over(across),
-            # a piece is one due day, so its range window is the borrower's
+            # a piece has one due day, so its range window is the borrower's
             "piece_dpd30_ahead": F.max("is_dpd30").over(
                 Window.partitionBy(ENTITY).orderBy(PIECE[0]).rangeBetween(1, window_days)
             ),
@@ -206,7 +220,8 @@ def piece_carry(hot_rows: DataFrame, window_days: int) -> DataFrame:
 
 
 def borrower_timeline(
-    events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS, window_days: int = WINDOW_DAYS
+    events: DataFrame, hot: HotKeys | None = None, limit: int = HOT_ROWS, window_days: int = WINDOW_DAYS,
+    cut: DataFrame | None = None,
 ) -> DataFrame:
     """Snapshots with next-event columns and the 15 history features in one pass.
 
@@ -216,10 +231,10 @@ def borrower_timeline(
     Callers select what they need; Catalyst drops the unused windows. Every
     feature looks strictly before its row, so a borrower's first row has no
     history. ``hot`` may be counted on any table with at least as many rows per
-    borrower, such as the raw payments.
+    borrower, such as the raw payments. ``cut``: the events with their pieces, if the caller has them.
     """
     hot = hot_keys(events, ENTITY, limit) if hot is None else hot
-    flagged = behaviour_flags(split_hot(events.select(*EVENT_COLS), hot))
+    flagged = behaviour_flags(split_hot(events.select(*EVENT_COLS), hot) if cut is None else cut)
     rows = _in_piece(flagged, window_days)
     if hot:
         rows = rows.join(piece_carry(flagged.where("is_hot"), window_days), [ENTITY, *PIECE], "left")

@@ -1,8 +1,10 @@
 """Preparation, training, parts and attributions on a learnable toy table."""
 
+import hashlib
 from itertools import combinations
 from math import factorial
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,7 +12,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from dueday.functions.trees import tree_output, tree_shapley
+from dueday.functions.trees import tree_shapley
 from dueday.operators import curves, explain, models, prepare
 from dueday.session import materialize, scratch_path
 
@@ -50,19 +52,41 @@ def boosted(prepared):
 def test_preprocessor(spark, rows, pre):
     a = [r.a for r in rows.where("a IS NOT NULL").select("a").collect()]
     assert pre.medians["a"] == pytest.approx(float(np.median(a)))
-    assert pre.categories == {"c": ["c0", "c1", "c2"]}
+    assert [tuple(r) for r in pre.codes.orderBy("code").collect()] == [("c", "c0", 0), ("c", "c1", 1), ("c", "c2", 2)]
     counts = {r.c: r["count"] for r in rows.where("c IS NOT NULL").groupBy("c").count().collect()}
     assert pre.modes["c"] == min(counts, key=lambda k: (-counts[k], k))
     new = spark.createDataFrame([("x", None, 1.0, "new", 0), ("y", 0.5, None, None, 0)], "snapshot_id string, a double, b double, c string, label int")
-    got = [list(r.features) for r in pre.transform(new, ["snapshot_id"]).collect()]
+    got = [list(r.features) for r in pre.transform(new, ["snapshot_id"]).orderBy("snapshot_id").collect()]
     assert got[0] == [pre.medians["a"], 1.0, -1.0]
-    assert got[1] == [0.5, 3.0, float(pre.categories["c"].index(pre.modes["c"]))]
+    assert got[1] == [0.5, 3.0, float(["c0", "c1", "c2"].index(pre.modes["c"]))]
 
 
-def test_preprocessor_is_saved(spark, pre):
+def test_preprocessor_is_saved(spark, pre, rows):
     path = scratch_path(spark, "pre")
-    pre.save(spark, path)
-    assert prepare.Preprocessor.load(spark, path) == pre
+    pre.save(path)
+    again = prepare.Preprocessor.load(spark, path)
+
+    def features(p):
+        return sorted((r.snapshot_id, tuple(r.features)) for r in p.transform(rows, ["snapshot_id"]).collect())
+
+    assert features(again) == features(pre)
+
+
+@pytest.mark.parametrize("sketch", [5, 50, 10_000])
+def test_medians_by_bracket(spark, many_parts, sketch):
+    """Ties, infinities, even and odd counts, missing values, a column without any; a coarse sketch is widened."""
+    df = spark.range(999).select(
+        ((F.col("id") * 7919) % 1000).cast("double").alias("spread"), (F.col("id") % 2).alias("two"), F.lit(4).alias("one"),
+        F.when(F.col("id") < 500, F.col("id")).alias("half"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") == 5, float("inf")).when(F.col("id") == 6, float("-inf")).when(F.col("id") < 9, -F.col("id")).alias("few"),
+    ).repartition(7)
+    got = {r.column_name: r.median for r in prepare.exact_medians(df, df.columns, sketch).collect()}
+    values = {c: [float(r[0]) for r in df.select(c).where(F.col(c).isNotNull()).collect()] for c in df.columns}
+    assert got == {c: float(np.median(v)) if v else None for c, v in values.items()}
+
+
+def test_medians_of_an_empty_table(spark):
+    assert [r.median for r in prepare.exact_medians(spark.createDataFrame([], "a double, b int"), ["a", "b"]).collect()] == [None, None]
 
 
 def test_bounded_median(rows):
@@ -70,10 +94,19 @@ def test_bounded_median(rows):
     assert abs(got.median - 3.0) <= 1
 
 
-def test_too_many_categories(rows, monkeypatch):
-    monkeypatch.setattr(prepare, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError, match="distinct values"):
-        prepare.fit_preprocessor(rows, ["a"], ["c"])
+@pytest.mark.parametrize("small", [100_000, 10])
+def test_many_categories(spark, many_parts, monkeypatch, small):
+    """200,000 categories, one of them with a third of the rows, and rows without any; joined either way."""
+    monkeypatch.setattr(prepare, "SMALL_CODES", small)
+    rows = spark.range(300_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 != 1, F.concat(F.lit("c"), F.col("id").cast("string"))).alias("c"))
+    pre = prepare.fit_preprocessor(rows, [], ["c"])
+    assert pre.sizes["c"] > 190_000 and pre.modes == {"c": "hot"}
+    new = rows.union(spark.createDataFrame([(-1, "unseen")], "id long, c string"))
+    got = pre.filled(new, ["id"])
+    want = pre.codes.select(F.col("category").alias("c"), "code")
+    both = got.join(new.withColumn("c", F.coalesce("c", F.lit("hot"))), "id").join(want, "c", "left")
+    assert both.count() == 300_001 and both.where("x_c <> coalesce(code, -1)").count() == 0
+    assert got.where("id = -1").first().x_c == -1.0
 
 
 @pytest.mark.parametrize("name", ["forest", "boosted"])
@@ -87,12 +120,16 @@ def test_training_needs_both_classes(prepared):
         models.train_rf(prepared.where("label = 0"))
 
 
-def test_prefix_margin_is_the_models_margin(boosted, prepared):
-    margins = models.prefix_margins(boosted, prepared, [2, boosted.getNumTrees])
-    mine = sorted(r.margin for r in margins.where(F.col("rounds") == boosted.getNumTrees).collect())
-    theirs = sorted(r[0] for r in boosted.transform(prepared).select(vector_to_array("rawPrediction")[1]).collect())
-    assert mine == pytest.approx(theirs)
-    assert margins.where("rounds = 2").count() == len(mine)
+def test_staged_margins_are_the_models_margins(spark, boosted, prepared):
+    total = boosted.getNumTrees
+    leaves = models.staged_leaves(boosted, prepared, ["snapshot_id", "label"])
+    margins = models.staged_margins(leaves, models.leaf_values(boosted, spark), 2, total)
+    assert margins.count() == (total - 1) * prepared.count()
+    for rounds in (2, total):
+        mine = {r.snapshot_id: r.margin for r in margins.where(F.col("rounds") == rounds).collect()}
+        cut = models.prefix_model(boosted, rounds, spark)
+        theirs = {r[0]: r[1] for r in cut.transform(prepared).select("snapshot_id", vector_to_array("rawPrediction")[1]).collect()}
+        assert cut.getNumTrees == rounds and mine == pytest.approx(theirs)
 
 
 def test_choose_rounds():
@@ -101,10 +138,28 @@ def test_choose_rounds():
     assert models.choose_rounds(history, patience=100) == 80
 
 
-def test_early_stopping(prepared):
-    model, history = models.train_gb(prepared, prepared, maxIter=6, maxDepth=2, every=3)
-    best = max(history.collect(), key=lambda r: r.pr_auc).rounds
-    assert model.getNumTrees == best
+def test_early_stopping(spark, prepared):
+    """The chosen round, from written margins, by SQL; rounds after the patience are not judged."""
+    model, history = models.train_gb(prepared, prepared, maxIter=6, maxDepth=2, patience=2)
+    judged = {r.rounds: r.pr_auc for r in history.collect()}
+    best = model.getNumTrees
+    assert best == models.choose_rounds(list(judged.items()), 2) and max(judged) < best + 4
+    full = models.fit_gb(prepared, maxIter=6, maxDepth=2)
+    path = scratch_path(spark, "margins")
+    models.staged_margins(models.staged_leaves(full, prepared), models.leaf_values(full, spark), 1, 6).write.parquet(path)
+    sql = f"""WITH m AS (SELECT rounds, margin, sum(label) AS tp, count(*) AS n FROM '{path.removeprefix("file:")}/*.parquet' GROUP BY 1, 2),
+        c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY rounds) AS p FROM m WINDOW w AS (PARTITION BY rounds ORDER BY margin DESC))
+        SELECT rounds, sum(tp / p * ctp / cn) FROM c GROUP BY 1"""
+    twin = dict(duckdb.sql(sql).fetchall())
+    assert all(judged[r] == pytest.approx(twin[r]) for r in judged)
+
+
+def test_boosting_on_parts_shares_the_pooled_weight(prepared):
+    parted = materialize(models.stratified_partition(prepared, 2), "toy-parts")
+    local = models.train_parts_gb(parted, 2, maxIter=3, maxDepth=2)
+    weight = models.weight_column(prepared, balanced=False)
+    alone = models.fit_gb(parted.where("part = 1"), weight, maxIter=3, maxDepth=2)
+    assert [m.getNumTrees for m in local] == [3, 3] and alone.toDebugString.split("\n")[1:] == local[1].toDebugString.split("\n")[1:]
 
 
 def test_model_store(spark, forest, prepared):
@@ -116,8 +171,11 @@ def test_model_store(spark, forest, prepared):
         return forest
 
     for retrain in (False, False, True):
-        got = models.model_store(path, RandomForestClassificationModel, fit, retrain)
+        got = models.model_store(path, RandomForestClassificationModel, fit, retrain, {"numTrees": 6}, "v1")
     assert len(calls) == 2 and got.getNumTrees == forest.getNumTrees
+    models.model_store(path, RandomForestClassificationModel, fit, False, {"numTrees": 7}, "v1")
+    models.model_store(path, RandomForestClassificationModel, fit, False, {"numTrees": 6}, "v2")
+    assert len(calls) == 4  # other settings or another input train anew
 
 
 def test_parts_are_balanced(prepared):
@@ -193,7 +251,7 @@ def test_shapley_values_equal_the_definition():
 
     phi, base = tree_shapley(tree, x)
     for i, row in enumerate(x):
-        assert base + phi[i].sum() == pytest.approx(tree_output(tree, x)[i])
+        assert base + phi[i].sum() == pytest.approx(expected(row, {0, 1}))
         for f in (0, 1):
             others = [g for g in (0, 1) if g != f]
             want = sum(
@@ -203,8 +261,12 @@ def test_shapley_values_equal_the_definition():
             assert phi[i, f] == pytest.approx(want)
 
 
-def test_sample_is_repeatable(prepared):
+def test_sample_is_repeatable(spark, prepared):
     def ids(df):
         return sorted(r.snapshot_id for r in prepare.sample_rows(df, 25).collect())
 
     assert ids(prepared) == ids(prepared.repartition(6)) and len(set(ids(prepared))) == 25
+    digest = lambda s: hashlib.md5(f"{s}:42".encode()).hexdigest()
+    every = sorted((r.snapshot_id for r in prepared.collect()), key=digest)
+    for n in (0, 1, 25, 1199, 1200, 5000):
+        assert sorted(r.snapshot_id for r in prepare.sample_rows(prepared, n).collect()) == sorted(every[:n])

@@ -15,8 +15,8 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, EVENT_SCHEMA).repartition(5)
 
 
-def brute_history(rows):
-    """History features by walking each borrower's events one by one."""
+def brute_history(rows, some=1):
+    """History features by walking each borrower's events one by one; for every event or for one in ``some``."""
     out = {}
     by = {}
     for r in (dict(zip(NAMES, r)) for r in rows):
@@ -25,6 +25,9 @@ def brute_history(rows):
         events.sort(key=lambda e: [e[c] for c in EVENT_ORDER])
         seen = []
         for i, e in enumerate(events):
+            if i % some:
+                seen.append(e)
+                continue
             late = [int((x["aggregated_payment_delay_days"] or 0) > 0) for x in seen]
             on = [int(not l and not x["missing_payment_flag"]) for l, x in zip(late, seen)]
             delay = [x["aggregated_payment_delay_days"] or 0 for x in seen]
@@ -76,6 +79,25 @@ def test_history_equals_brute_force(spark, many_parts, seed, limit):
             assert value == (pytest.approx(features[name]) if features[name] is not None else None), (key, name)
 
 
+def test_one_day_and_number_is_cut_into_bounded_runs(spark, many_parts):
+    """50,000 events of one borrower on one day and number, and some before and after."""
+    rows = [event(1, k, 5, -50, delay=(k * 7) % 40 - 5, missing=int(k % 11 == 0), version=1 + k % 2) for k in range(50_000)]
+    rows += [event(1, 90_000 + k, k, -60 + k, delay=k % 3) for k in range(9)] + [event(1, 90_100, 6, -50), event(1, 90_200, 1, -20), event(2, 1, 1, -50)]
+    events = frame(spark, rows)
+    hot = hot_keys(events, "SK_ID_CURR", 1000)
+    assert hot.count == 1
+    cut = timeline.split_hot(events, hot)
+    sizes = [r["count"] for r in cut.groupBy("SK_ID_CURR", *timeline.PIECE).count().collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == len(rows)
+    got = {r.snapshot_id: r.asDict() for r in timeline.installment_history(events, hot).collect()}
+    want = brute_history(rows, some=97)
+    assert len(got) == len(rows)
+    for key, features in want.items():
+        for name in HISTORY_FEATURES:
+            value = got[key][name]
+            assert value == (pytest.approx(features[name]) if features[name] is not None else None), (key, name)
+
+
 @pytest.mark.parametrize("limit", [10**6, 30, 1])
 def test_labels_do_not_depend_on_hot_borrowers(spark, many_parts, limit):
     rows = random_events(7)
@@ -164,6 +186,14 @@ def test_lookup_spreads_a_hot_key(spark, many_parts):
     assert hot_keys(left, "k", 1000).count == 0
 
 
+def test_hot_and_missing_keys_are_counted_exactly(spark, many_parts):
+    rows = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, -5).when(F.col("id") % 30 == 1, None).when(F.col("id") % 30 == 2, -6).otherwise(F.col("id")).alias("k"))
+    hot = hot_keys(rows, "k", 1000)
+    assert sorted(map(tuple, hot.frame.collect())) == [(-6, 10), (-5, 100)] and hot.null_pieces == 10
+    assert hot_keys(rows.where("k >= 0"), "k", 1000).count == 0
+    assert hot_keys(rows.limit(0), "k", 1000).count == 0
+
+
 @pytest.mark.parametrize("limit", [10**6, 3])
 def test_model_table_does_not_depend_on_hot_borrowers(spark, data, limit):
     some = data.events.where("SK_ID_CURR % 10 < 3")
