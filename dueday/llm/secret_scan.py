@@ -110,7 +110,7 @@ def candidates(docs: DataFrame, text: str = "text", repo: str | Column = "source
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(secret, n_spans, n_repos, n_owners) of every candidate value, over the whole table.
+    """(secret, n_spans, n_repos, n_owners) of every candidate value, over the whole table; ``n_spans`` counts a place once for each kind that finds it.
 
     Rows are first reduced to one per value, repository and owner, then to one per value and owner,
     so a value that stands everywhere is counted by many tasks.
