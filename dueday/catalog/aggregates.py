@@ -187,7 +187,7 @@ def feature_quality(d):
     positive_rate=6,
 )
 def target_summary(d):
-    return labels.target_summary({"missed_upcoming_emi": d.missed, "future_dpd30": d.dpd30})
+    return labels.target_summary(labels.both_labels(d.snapshots, d.pos, d.window_days, d.hot))
 
 
 @query("label_value_counts", "SELECT missed_upcoming_emi AS label, count(*) AS row_count FROM ov_missed GROUP BY 1")

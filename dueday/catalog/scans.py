@@ -117,7 +117,7 @@ def sink_by_split(d):
 )
 def run_manifest(d):
     outputs = {"missed_upcoming_emi": d.missed, "future_dpd30": d.dpd30}
-    return sinks.run_manifest(d.spark, "labels", outputs, {"window_days": 90})
+    return sinks.run_manifest(d.spark, "labels", outputs, {"window_days": 90}, d.scratch("run"))
 
 
 @query(
@@ -138,7 +138,7 @@ def family_cache(d):
 @query("event_layout", f"SELECT {EVENT_COLS}, NUM_INSTALMENT_VERSION FROM ov_events")
 def event_layout(d):
     out = d.events.select(*EVENT_COLS.split(", "), "NUM_INSTALMENT_VERSION")
-    return sinks.event_layout(out, d.scratch("layout"))
+    return sinks.event_layout(out, d.scratch("layout"), hot=d.hot)
 
 
 @query(

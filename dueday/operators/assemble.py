@@ -105,11 +105,12 @@ def target_rows(model: DataFrame, target: str) -> DataFrame:
 
 
 def interval_exists(
-    rows: DataFrame, flagged: DataFrame, days: int, key: str = ENTITY, day: str = "snapshot_day"
+    rows: DataFrame, flagged: DataFrame, days: int, key: str = ENTITY, day: str = "snapshot_day", limit: int = HOT_ROWS
 ) -> DataFrame:
     """For each row: is there a flagged day of the same key in (day, day + days]?
 
-    Both sides are reduced to distinct (key, day) before the range window.
+    Both sides are reduced to distinct (key, day) before the range window, so a key has at most one row per calendar day there. The
+    answers go back through ``lookup``: the rows of one key and day may be very many. NULL for rows without key or day.
     """
     probe = rows.select(key, F.col(day).alias("day"), F.lit(0).alias("hit"), F.lit(1).alias("probe"))
     marks = flagged.select(key, F.col(day).alias("day"), F.lit(1).alias("hit"), F.lit(0).alias("probe"))
@@ -117,14 +118,10 @@ def interval_exists(
         F.max("hit").alias("hit"), F.max("probe").alias("probe")
     )
     ahead = Window.partitionBy(key).orderBy("day").rangeBetween(1, days)
-    answers = (
-        merged.select(
-            key, F.col("day").alias(day), "probe", F.coalesce(F.max("hit").over(ahead), F.lit(0)).alias("exists")
-        )
-        .where("probe = 1")
-        .drop("probe")
-    )
-    return rows.join(answers, [key, day], "left")
+    answers = merged.withColumn("exists", F.coalesce(F.max("hit").over(ahead), F.lit(0))).where("probe = 1")
+    at = lambda d: F.concat(F.col(key).cast("string"), F.lit(":"), F.col(d).cast("string"))
+    found = answers.select(at("day").alias("_at"), "exists").where("_at IS NOT NULL")
+    return lookup(rows.withColumn("_at", at(day)), found, "_at", [c for c in rows.columns if c not in (key, day)] or [key], limit=limit).drop("_at")
 
 
 def entity_max_back(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,17 +119,28 @@ def future_dpd30(
     )
 
 
-def target_summary(labels: dict[str, DataFrame]) -> DataFrame:
-    """Rows, positives and positive rate of each label table."""
-    stacked = None
-    for name, df in labels.items():
-        one = df.select(F.lit(name).alias("target_name"), F.col(name).alias("label"))
-        stacked = one if stacked is None else stacked.unionByName(one)
-    return stacked.groupBy("target_name").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum("label").alias("positive_count"),
-        F.avg("label").alias("positive_rate"),
-    )
+def both_labels(
+    snapshots: DataFrame, pos: DataFrame, window_days: int = WINDOW_DAYS, hot: HotKeys | None = None
+) -> DataFrame:
+    """Snapshot keys and both labels, from one pass over the snapshots; a label is NULL where it is not defined."""
+    missed = F.when(F.col("next_DAYS_INSTALMENT").isNotNull(), missed_flag())
+    complete = F.col("borrower_max_installment_day") >= F.col("snapshot_day") + window_days
+    rows = snapshots.select(*SNAPSHOT_KEYS, missed.alias("missed_upcoming_emi"), complete.alias("complete"), "future_inst_dpd30_hit")
+    joined = lookup(rows, pos_dpd_days(pos), ENTITY, ["snapshot_id"], hot)
+    hit = F.greatest("future_inst_dpd30_hit", hit_ahead("pos_days", "snapshot_day", window_days))
+    return joined.select(*SNAPSHOT_KEYS, "missed_upcoming_emi", F.when(F.col("complete"), hit).alias("future_dpd30"))
+
+
+def target_summary(labels: DataFrame, targets: Sequence[str] = ("missed_upcoming_emi", "future_dpd30")) -> DataFrame:
+    """Rows, positives and positive rate of each label column; rows without the label do not count. One aggregation of one row."""
+    told = [
+        F.struct(
+            F.lit(t).alias("target_name"), F.count(t).alias("row_count"),
+            F.sum(t).cast("bigint").alias("positive_count"), F.avg(t).alias("positive_rate"),
+        ).alias(f"t{i}")
+        for i, t in enumerate(targets)
+    ]
+    return labels.agg(*told).select(F.inline(F.array(*[f"t{i}" for i in range(len(targets))])))
 
 
 def label_value_counts(labels: DataFrame, label: str) -> DataFrame:

@@ -83,8 +83,8 @@ def split_hot(events: DataFrame, hot: HotKeys) -> DataFrame:
     An event must name its borrower; one without fails the job. Days and numbers with more events than the limit are
     counted first, for hot borrowers only; there can be at most rows / limit of them.
     """
-    named = F.coalesce(ENTITY, F.raise_error(F.lit(f"an event has no {ENTITY}")).cast("bigint"))
-    events = events.withColumn(ENTITY, named)
+    # a filter keeps the column as it is, and with it the layout of a bucketed table
+    events = events.where(F.col(ENTITY).isNotNull() | F.raise_error(F.lit(f"an event has no {ENTITY}")).cast("boolean"))
     if not hot:
         return events.withColumns({piece: F.lit(0) for piece in PIECE})
     tagged = events.join(hot.keys().withColumn("is_hot", F.lit(True)), ENTITY, "left")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.skew import HotKeys, hot_keys
 from ..schemas import ENTITY, EVENT_ORDER
 from ..session import materialize
 
@@ -62,15 +65,28 @@ def sink_by_split(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def event_layout(events: DataFrame, path: str, key: str = ENTITY, order: Sequence[str] = tuple(EVENT_ORDER)) -> DataFrame:
-    """Events written in borrower and time order.
+def event_layout(
+    events: DataFrame, path: str, key: str = ENTITY, order: Sequence[str] = tuple(EVENT_ORDER), buckets: int | None = None, hot: HotKeys | None = None
+) -> DataFrame:
+    """Events as a table bucketed by borrower and sorted inside its files.
 
-    The files are cut by ranges of the full order key, which is unique, so a
-    borrower with very many events fills several files instead of one task.
+    Stages that work per borrower read it without a shuffle on the borrower. Rows are dealt to the writing tasks by their
+    bucket, so a bucket is one file; a hot borrower's rows are also dealt by a hash of the order, so they
+    fill several files of its bucket. There are as many buckets as shuffles have parts unless ``buckets`` says otherwise.
     """
-    laid_out = events.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    laid_out.write.mode("overwrite").parquet(path)
-    return events.sparkSession.read.parquet(path)
+    spark = events.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(events, key) if hot is None else hot
+    bucket = F.pmod(F.hash(key), F.lit(buckets))  # what Spark's writer puts the row in
+    if hot:
+        dealt = events.join(F.broadcast(hot.frame.select(key, F.col("pieces").alias("_pieces"))), key, "left")
+        piece = F.pmod(F.xxhash64(*order), F.coalesce("_pieces", F.lit(1)))
+        dealt = dealt.repartition(buckets, bucket, piece).drop("_pieces")
+    else:
+        dealt = events.repartition(buckets, bucket)
+    name = f"events_{uuid.uuid4().hex}"
+    dealt.select(*events.columns).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, *order).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def family_cache(
@@ -87,21 +103,17 @@ def family_cache(
     return spark.read.parquet(target)
 
 
-def run_manifest(spark: SparkSession, stage: str, outputs: dict[str, DataFrame], params: dict[str, Any]) -> DataFrame:
-    """One row per output: rows and columns of the table and the run's parameters."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
+def run_manifest(spark: SparkSession, stage: str, outputs: dict[str, DataFrame], params: dict[str, Any], path: str) -> DataFrame:
+    """Write the outputs and ``manifest`` beside them, a JSON file with one row per output: its rows, columns and the run's parameters.
 
+    Rows are counted while they are written, so no output is computed or read a second time.
+    """
     text = json.dumps(params, sort_keys=True)
-    rows = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(stage).alias("stage"),
-            F.lit(name).alias("output"),
-            "row_count",
-            F.lit(len(df.columns)).alias("column_count"),
-            F.lit(text).alias("params"),
-        )
-        for name, df in outputs.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    rows = []
+    for name, df in outputs.items():
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("row_count")).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows.append((stage, name, seen.get["row_count"], len(df.columns), text))
+    schema = "stage string, output string, row_count bigint, column_count int, params string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema(schema).json(f"{path}/manifest")

@@ -1,9 +1,15 @@
 """Scans and sinks."""
 
 import glob
+import json
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from dueday.operators import reports, timeline
+from dueday.operators.skew import hot_keys
+from dueday.schemas import EVENT_ORDER
 from dueday.session import scratch_path
 from dueday.sources import sinks, tables
 from frames import EVENT_SCHEMA, event
@@ -75,11 +81,40 @@ def test_report_is_one_file(spark):
     assert len(glob.glob(local(path) + "/part-*.csv")) == 1
 
 
-def test_event_layout_spreads_one_borrower(spark, many_parts):
-    events = spark.createDataFrame([event(1, k, 1, -k) for k in range(400)], EVENT_SCHEMA)
+def test_event_layout_spreads_a_hot_borrower(spark, many_parts):
+    rows = [event(1, k, 1, -k) for k in range(400)] + [event(b, 1000 + b, 1, -5) for b in range(2, 40)]
+    events = spark.createDataFrame(rows, EVENT_SCHEMA)
     path = scratch_path(spark, "layout")
-    assert sinks.event_layout(events, path).count() == 400
-    assert len(glob.glob(local(path) + "/part-*.parquet")) > 1
+    laid = sinks.event_layout(events, path, buckets=4, hot=hot_keys(events, "SK_ID_CURR", 100))
+    assert sorted(map(tuple, laid.collect())) == sorted(map(tuple, events.collect()))
+    files = [pq.read_table(f) for f in glob.glob(local(path) + "/part-*.parquet")]
+    holds = [t for t in files if 1 in t.column("SK_ID_CURR").to_pylist()]
+    assert len(holds) > 1 and len(files) <= 4 * 2 + 4
+    for t in files:
+        keys = list(zip(*[t.column(c).to_pylist() for c in ("SK_ID_CURR", *EVENT_ORDER)]))
+        assert keys == sorted(keys)
+
+
+def test_history_over_the_layout_needs_no_shuffle_of_events(spark):
+    events = spark.createDataFrame([event(b, 100 * b + k, k, -90 + k) for b in range(50) for k in range(9)], EVENT_SCHEMA)
+    hot = hot_keys(events, "SK_ID_CURR")
+    laid = sinks.event_layout(events, scratch_path(spark, "layout"), buckets=4, hot=hot)
+    got = timeline.installment_history(laid, hot)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, timeline.installment_history(events, hot).collect()))
+
+
+def test_sorted_output_is_in_order(spark):
+    """Rows inside each written file, and a mixed order over all rows."""
+    rows = spark.range(500).select((F.col("id") * 37 % 11).alias("SK_ID_CURR"), (F.col("id") * 91 % 101).alias("snapshot_day"), "id")
+    path = scratch_path(spark, "sorted")
+    sinks.sort_outputs(rows.repartition(3)).write.parquet(path)
+    files = [pq.read_table(f).to_pylist() for f in glob.glob(local(path) + "/part-*.parquet")]
+    for rows_of in files:
+        keys = [(r["SK_ID_CURR"], r["snapshot_day"]) for r in rows_of]
+        assert keys == sorted(keys)
+    got = [(r.SK_ID_CURR, r.id) for r in reports.sort_mixed(rows.repartition(5), F.desc("SK_ID_CURR"), F.asc("id")).collect()]
+    assert got == sorted(got, key=lambda t: (-t[0], t[1])) and len(got) == 500
 
 
 def test_column_roles(spark):
@@ -89,8 +124,11 @@ def test_column_roles(spark):
 
 
 def test_manifest(spark):
-    got = sinks.run_manifest(spark, "s", {"x": spark.range(4)}, {"k": 1}).first()
-    assert tuple(got) == ("s", "x", 4, 1, '{"k": 1}')
+    path = scratch_path(spark, "run")
+    got = sinks.run_manifest(spark, "s", {"x": spark.range(4), "none": spark.range(0)}, {"k": 1}, path).orderBy("output").collect()
+    assert [tuple(r) for r in got] == [("s", "none", 0, 1, '{"k": 1}'), ("s", "x", 4, 1, '{"k": 1}')]
+    (file,) = glob.glob(local(path) + "/manifest/part-*.json")
+    assert [json.loads(line)["row_count"] for line in open(file)] == [4, 0] and spark.read.parquet(f"{path}/x").count() == 4
 
 
 def test_large_report_is_written_whole(spark, tmp_path):

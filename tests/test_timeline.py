@@ -213,3 +213,10 @@ def test_result_does_not_depend_on_partitions(spark, data):
         assert rows() == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.parametrize("limit", [10**6, 2])
+def test_an_event_must_name_its_borrower(spark, limit):
+    rows = [event(1, k, k, -k) for k in range(1, 9)] + [event(None, 99, 1, -5)]
+    with pytest.raises(Exception, match="an event has no SK_ID_CURR"):
+        timeline.installment_history(frame(spark, rows), limit=limit).collect()
