@@ -20,9 +20,12 @@ from ..functions import scalars as S
 from ..session import materialize
 
 
+PARTS_A_TASK = 4  # several small parts of each group even out what a task of a shuffle gets
+
+
 def split_points(df: DataFrame, score: str = "y_prob", parts: int | None = None) -> list[float]:
-    """Scores that cut ``df`` into even parts, as many as shuffles have; one scan of one column."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Scores that cut ``df`` into even parts, a few for each task of a shuffle; one scan of one column."""
+    parts = parts or PARTS_A_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts < 2:
         return []
     ends = [k / parts for k in range(1, parts)]
@@ -33,10 +36,12 @@ def split_points(df: DataFrame, score: str = "y_prob", parts: int | None = None)
 def with_part(df: DataFrame, points: Sequence[float], score: str = "y_prob") -> DataFrame:
     """Add ``part``: how many of the points are not above the score; a missing score has a part of its own."""
     if not points:
-        return df.withColumn("part", F.lit(0.0))
+        return df.withColumn("part", F.lit(0))
     splits = [float("-inf"), *points, float("inf")]
     as_double = df.withColumn("_score", F.col(score).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_score", outputCol="part", handleInvalid="keep").transform(as_double).drop("_score")
+    parted = Bucketizer(splits=splits, inputCol="_score", outputCol="part", handleInvalid="keep").transform(as_double)
+    # whole numbers: windows take floating-point keys for other keys than the layout's
+    return parted.drop("_score").withColumn("part", F.col("part").cast("int"))
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str = "y_prob", label: str = "label") -> DataFrame:

@@ -237,8 +237,8 @@ def slice_table(scored: DataFrame, slices: Sequence[str], pred: str = "y_pred_op
 
     One scan: rows are combined by (slice columns, score) and laid out once, by (target, model) and part of the score. The
     windows of all slice columns run inside that layout. What the higher parts hold of a slice value enters
-    as a row above all scores of the part, with the other slice columns missing, so nothing is joined; rows are
-    fanned out to their slices only to be added up.
+    as a row above all scores of the part, with the other slice columns missing, so nothing is joined. Only
+    sums per combination of slice values are fanned out to the slices.
     """
     parted = with_part(scored, split_points(scored))
     counts = score_counts(parted, [*MODEL_KEYS, *slices, "part", F.col(pred).alias("pred")])
@@ -255,34 +255,35 @@ def slice_table(scored: DataFrame, slices: Sequence[str], pred: str = "y_pred_op
     down = F.when(F.col("carried"), F.lit(float("-inf"))).otherwise(F.coalesce(-F.col("score"), F.lit(float("inf"))))
     laid = rows.union(above).repartition(*MODEL_KEYS, "part").withColumn("down", down)
 
-    def running(c: str) -> dict[str, Column]:
-        upto, ties = Window.partitionBy(*MODEL_KEYS, "part", c).orderBy("down"), Window.partitionBy(*MODEL_KEYS, "part", c, "down")
-        return {f"{c}_tp": F.sum("tp").over(upto), f"{c}_fp": F.sum("fp").over(upto), f"{c}_tied": F.sum("tp").over(ties)}
-
     for c in slices:
-        laid = laid.withColumns(running(c))
+        down_the_slice = Window.partitionBy(*MODEL_KEYS, "part", c).orderBy("down")
+        # equal scores are peers: they share their totals, and all but the first follow themselves
+        laid = laid.withColumns({f"{c}_{k}": F.sum(k).over(down_the_slice) for k in ("tp", "fp")})
+        laid = laid.withColumns({f"{c}_{k}_last": F.coalesce(F.lag(f"{c}_{k}").over(down_the_slice), F.lit(0)) for k in ("tp", "fp")})
 
-    def one(name: str, value: Column, tp: Column, fp: Column, tied: Column) -> Column:
-        area = F.col("fp") * (tp - tied / F.lit(2.0))
-        steps = F.col("tp") * (tp / (tp + fp))
-        return F.struct(F.lit(name).alias("slice_col"), value.alias("slice_val"), area.alias("area"), steps.alias("steps"))
+    def area(c: str) -> Column:
+        return (F.col(f"{c}_fp") - F.col(f"{c}_fp_last")) * (F.col(f"{c}_tp") + F.col(f"{c}_tp_last")) / F.lit(2.0)
 
-    nothing = F.lit(None).cast("double")
-    each = [one(c, F.col(c), F.col(f"{c}_tp"), F.col(f"{c}_fp"), F.col(f"{c}_tied")) for c in slices]
-    each.append(one("overall", F.lit("all"), nothing, nothing, nothing))
-    fanned = laid.where("NOT carried").select(*MODEL_KEYS, "pred", "score", "tp", "fp", F.inline(F.array(*each))).where("slice_val IS NOT NULL")
+    def steps(c: str) -> Column:
+        return (F.col(f"{c}_tp") - F.col(f"{c}_tp_last")) * (F.col(f"{c}_tp") / (F.col(f"{c}_tp") + F.col(f"{c}_fp")))
 
-    def total(column: str | Column, pred: int | None = None) -> Column:
-        column = F.col(column) if isinstance(column, str) else column
-        return F.coalesce(F.sum(column if pred is None else F.when(F.col("pred") == pred, column)), F.lit(0))
+    def total(column: str, pred: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("pred") == pred, F.col(column))), F.lit(0))
 
     p, rows_at = F.col("score"), F.col("tp") + F.col("fp")
-    summed = fanned.groupBy(*keys).agg(
-        total("tp", 1).alias("TP"), total("fp", 1).alias("FP"), total("tp", 0).alias("FN"), total("fp", 0).alias("TN"),
-        F.sum(rows_at).alias("n"), F.sum(p * rows_at).alias("sum_prob"),
-        F.sum(F.col("tp") * F.pow(p - 1, F.lit(2.0)) + F.col("fp") * F.pow(p, F.lit(2.0))).alias("sum_sq"),
-        F.sum("tp").alias("pos"), F.sum("area").alias("area"), F.sum("steps").alias("steps"),
-    )
+    sums = {
+        "TP": total("tp", 1), "FP": total("fp", 1), "FN": total("tp", 0), "TN": total("fp", 0),
+        "n": F.sum(rows_at), "pos": F.sum("tp"), "sum_prob": F.sum(p * rows_at),
+        "sum_sq": F.sum(F.col("tp") * F.pow(p - 1, F.lit(2.0)) + F.col("fp") * F.pow(p, F.lit(2.0))),
+    }
+    areas = {f"{kind}_{c}": F.sum(of(c)) for c in slices for kind, of in (("area", area), ("steps", steps))}
+    # a row per combination of slice values from here on
+    cells = laid.where("NOT carried").groupBy(*MODEL_KEYS, *slices).agg(*[c.alias(n) for n, c in {**sums, **areas}.items()])
+    nothing = F.lit(None).cast("double")
+    told = [(c, F.col(c), F.col(f"area_{c}"), F.col(f"steps_{c}")) for c in slices] + [("overall", F.lit("all"), nothing, nothing)]
+    each = [F.struct(F.lit(n).alias("slice_col"), v.alias("slice_val"), a.alias("area"), s.alias("steps")) for n, v, a, s in told]
+    fanned = cells.select(*MODEL_KEYS, *sums, F.inline(F.array(*each))).where("slice_val IS NOT NULL")
+    summed = fanned.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in (*sums, "area", "steps")])
     # as doubles: the product of two row counts can exceed a bigint
     pairs = F.col("pos").cast("double") * (F.col("n") - F.col("pos")).cast("double")
     return summed.withColumns(

@@ -14,7 +14,7 @@ from ..session import materialize
 HOT_ROWS = 1_000_000
 # Keys a sketch keeps track of. It overlooks no key with more than 7 / TRACKED of the rows, so the limit
 # grows with the table beyond HOT_ROWS * TRACKED / 7 rows, and no list of hot keys is longer than TRACKED / 7.
-TRACKED = 100_000
+TRACKED = 30_000
 MOST_HOT = TRACKED // 7
 
 
