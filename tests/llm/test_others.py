@@ -1,6 +1,7 @@
 import gzip
 import random
 import textwrap
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -129,13 +130,47 @@ def archive(n=6):
     return [record(k, f"http://a.example/{k} x", f"<p>é {k}</p>WARC/1.1\r\n".encode() * k) for k in range(n)]
 
 
+def ids_of(found):
+    return [int(r.headers["warc-record-id"][10:-1]) for *_, r in found.records]
+
+
+def test_salvage_inside_members():
+    """Many records in one member; the member cut off or damaged; bytes that are no record between them."""
+    parts = [record(k, None, f"payload {k} ".encode() * (40 + 7 * k)) for k in range(50)]
+    whole = gzip_member(b"".join(parts), 6)
+    assert ids_of(salvage(whole)) == list(range(50)) and not salvage(whole).gaps
+    cut = salvage(whole[: len(whole) * 3 // 4] + gzip_member(parts[7]))
+    assert len(cut.records) > 25 and ids_of(cut) == [*range(len(cut.records) - 1), 7] and len(cut.gaps) == 1
+    bad = bytearray(whole)
+    bad[len(whole) // 2] ^= 0xFF
+    hurt = salvage(bytes(bad) + gzip_member(parts[3]))
+    assert len(hurt.records) > 10 and ids_of(hurt)[:-1] == list(range(len(hurt.records) - 1)) and ids_of(hurt)[-1] == 3
+    mixed = salvage(gzip_member(parts[0] + b"junk WARC/1.1 junk" + parts[1]))
+    assert ids_of(mixed) == [0, 1] and mixed.gaps == [(0, 18, len(parts[0]))]
+    stored = gzip_member(b"".join(parts[:5]), 0)
+    assert ids_of(salvage(stored[:-6])) == list(range(5))  # each once, though its bytes stand there unpacked
+
+
+def test_reading_takes_time_in_proportion():
+    """Members, false member starts and false version lines: four times the bytes, not sixteen times the work."""
+    def seconds(data):
+        start = time.perf_counter()
+        salvage(data)
+        return time.perf_counter() - start
+
+    member = gzip_member(record(1, None, b"some payload " * 20))
+    for unit in (member, b"\x1f\x8b\x08 no member ", b"WARC/1.1 no record "):
+        small = min(seconds(unit * 2_000) for _ in range(3))
+        assert min(seconds(unit * 16_000) for _ in range(2)) < 24 * small + 0.1
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage_finds_what_is_left(packed):
     records = archive()
     parts = [gzip_member(r) if packed else r for r in records]
     whole = b"".join(p + EMPTY_MEMBER * packed for p in parts)
     found = salvage(whole)
-    assert [r.headers["warc-record-id"] for _, _, r in found.records] == [f"<urn:page:{k}>" for k in range(6)] and not found.gaps
+    assert [r.headers["warc-record-id"] for *_, r in found.records] == [f"<urn:page:{k}>" for k in range(6)] and not found.gaps
     rng = random.Random(8)
     for _ in range(60):
         k = rng.randrange(6)
@@ -144,13 +179,13 @@ def test_salvage_finds_what_is_left(packed):
         junk = rng.randbytes(rng.randrange(0, 9))
         data = b"".join(junk + broken if i == k else p for i, p in enumerate(parts))
         found = salvage(data)
-        ids = [r.headers["warc-record-id"] for _, _, r in found.records]
+        ids = [r.headers["warc-record-id"] for *_, r in found.records]
         assert [i for i in ids if i in {f"<urn:page:{j}>" for j in range(6)} - {f"<urn:page:{k}>"}] == [f"<urn:page:{j}>" for j in range(6) if j != k]
-        covered = sum(n for _, n, _ in found.records) + sum(b - a for a, b in found.gaps)
+        covered = sum(n for _, n, _, _ in found.records) + sum(n for _, n, inner in found.gaps if inner is None)
         assert covered == len(data)
     cut = salvage(whole[:-30])
     assert len(cut.records) == 5 and cut.gaps
-    assert salvage(b"").records == [] and salvage(b"noise").gaps == [(0, 5)]
+    assert salvage(b"").records == [] and salvage(b"noise").gaps == [(0, 5, None)]
 
 
 def test_archives_read_back(spark, tmp_path):
