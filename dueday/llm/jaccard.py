@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .links import components
 from .packs import arrays, dealt
+from .sent import Sent
 from .textblocks import SPACED_WORDS, U64, blocks, mixed, row_sums, shingle_sets, small_batches, tidy
 
 SHINGLE_WORDS = 5
@@ -134,13 +135,13 @@ def _counted(docs: DataFrame, size: int, region_bits: int) -> DataFrame:
     return spread.groupBy("part").applyInArrow(count, "doc_id long, n long, node long, region int, bits binary")
 
 
-def _rarity(counted: DataFrame, region_bits: int) -> Rarity:
+def _rarity_bits(counted: DataFrame, region_bits: int) -> np.ndarray:
     """The bit tables on the driver: len(LEVELS) * 2**TABLE_BITS bits for any input."""
     width = 1 << (TABLE_BITS - region_bits - 3)
     bits = np.zeros((len(LEVELS), 1 << region_bits, width), np.uint8)
     for r in counted.where("region is not null").select("region", "bits").toLocalIterator():
         bits[:, r["region"]] = np.frombuffer(r["bits"], np.uint8).reshape(len(LEVELS), width)
-    return Rarity(bits.reshape(len(LEVELS), -1), region_bits)
+    return bits.reshape(len(LEVELS), -1)
 
 
 def _postings(docs: DataFrame, rarity, size: int, percent: int, parts: int) -> DataFrame:
@@ -368,7 +369,7 @@ def near_duplicates(
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     region_bits = min(max(6, (n_bytes // PART_BYTES).bit_length()), 18)
     counted = materialize(_counted(docs, size, region_bits), "sets")
-    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(counted, region_bits))
+    rarity = Sent(docs.sparkSession, Rarity, bits=_rarity_bits(counted, region_bits), region_bits=region_bits)
     rows = counted.where("region is null").select("doc_id", "n", "node")
     named = docs.where("doc_id is not null")
     lists = materialize(_postings(named, rarity, size, percent, 1 << (region_bits - 1)), "postings")
@@ -410,6 +411,7 @@ def near_duplicates(
         .join(stars, ["i", "j"], "left_anti")
     )
     links = links.union(materialize(_compare(rest, packed, rarity, percent), "near"))
+    rarity.destroy()  # every table made with it is written
 
     root = components(links)
     groups = owners.select("node", F.col("doc_id").alias("own")).join(root, owners.node == root.id, "left")

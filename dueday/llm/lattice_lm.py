@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .packs import arrays, dealt, pack_texts, unpack_texts
+from .sent import Sent
 from .textblocks import LOWER, SPACED_WORDS, U64, Block, small_batches, words
-from .vocabulary import MODEL, Vocabulary, by_length, load_vocabulary, substring_ids
+from .vocabulary import MODEL, Vocabulary, by_length, model_file, substring_ids
 
 STOP = 0.4  # a word ends after a piece with this probability
 RANK_OFFSET = 10.0
@@ -90,7 +91,8 @@ def _word_logs(vocabulary: Vocabulary, logs, other, known, data: np.ndarray, beg
 
 def _part_words(table: pa.Table):
     """Rows of a part with their words: the distinct hashes in order, and each word's place among them."""
-    ids, flags, missing, data, starts = unpack_texts(table)
+    ids, tags, missing, data, starts = unpack_texts(table)
+    flags = tags & 1
     found = words(Block(0, len(ids), data, starts), SPACED_WORDS)
     distinct, first, which = np.unique(found.hashes, return_index=True, return_inverse=True)
     return ids, flags, data, found, distinct, first, which
@@ -125,10 +127,12 @@ def score(
     parts = max(16, n_bytes // TEXT_PART)
     none = -(1 << 63)
     flag = F.when(F.expr(held_out), 1).otherwise(0).cast("long")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(none)).alias("id"), flag.alias("tag"), "text")
-    vocabulary = load_vocabulary(model)
-    logs, other = piece_logs(vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, logs, other))
+    # the lowest bit is the flag; the rest spreads the rows of one id, or of none, by their texts
+    tag = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) * 2 + flag
+    keyed = docs.select(F.coalesce("doc_id", F.lit(none)).alias("id"), tag.alias("tag"), "text")
+    arguments = model_file(model)
+    logs, other = piece_logs(Vocabulary(**arguments))
+    sent, sent_logs = Sent(docs.sparkSession, Vocabulary, **arguments), docs.sparkSession.sparkContext.broadcast((logs, other))
 
     def ask(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -153,7 +157,7 @@ def score(
         return pa.concat_tables([pa.table(out), ends])
 
     def answer(table: pa.Table) -> pa.Table:
-        vocabulary, logs, other = sent.value
+        vocabulary, (logs, other) = sent.value, sent_logs.value
         known = {vocabulary.pieces[i]: float(logs[i]) for i in vocabulary.normal if np.isfinite(logs[i])}
         rows = table.select(["part", "hashes", "counts", "sizes", "texts"]).to_pydict()
         own = [k for k, p in enumerate(rows["part"]) if p >= 0]

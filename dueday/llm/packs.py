@@ -33,8 +33,11 @@ def dealt(part: np.ndarray, parts: int, columns: list[np.ndarray]) -> tuple[pa.A
     return pa.array(some.astype(np.int32)), packed
 
 
-def id_part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(ids.view(U64)) % U64(parts)).astype(np.int32)
+def row_part(ids: np.ndarray, tags: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a row by its id and tag. Where ids repeat or are missing, the tag must tell texts
+    apart, so that the rows of one id are spread as well."""
+    spread = mixed(tags.astype(U64) + U64(1)) * (tags != 0)
+    return (mixed(ids.astype(U64) ^ spread) % U64(parts)).astype(np.int32)
 
 
 def pack_texts(docs: DataFrame, parts: int) -> DataFrame:
@@ -60,7 +63,7 @@ def pack_texts(docs: DataFrame, parts: int) -> DataFrame:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             missing = batch.column(2).is_null().to_numpy(False)
             data, starts = text_buffers(batch.column(2))
-            part, lengths = id_part(ids, parts), np.diff(starts)
+            part, lengths = row_part(ids, tags, parts), np.diff(starts)
             for p in np.unique(part):
                 rows = np.flatnonzero(part == p)
                 texts = np.concatenate([data[starts[r] : starts[r + 1]] for r in rows])

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .sent import Sent
 from .textblocks import BYTE_VALUES, U64, blocks, mixed, powers, small_batches, tidy
-from .vocabulary import MODEL, Vocabulary, by_length, load_vocabulary, substring_ids
+from .vocabulary import MODEL, Vocabulary, by_length, model_file, substring_ids
 
 BLOCK = 1 << 21
 SHORT = 24  # bytes of a stretch that is encoded together with others
@@ -200,7 +201,7 @@ def encode(
     at = docs.columns.index(text_col)
     schema = _with(docs.schema, ids_col, T.ArrayType(T.IntegerType()))
     schema = _with(schema, exact_col, T.BooleanType()) if exact_col else schema
-    sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+    sent = Sent(docs.sparkSession, Vocabulary, **model_file(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(sent.value), Decoder(sent.value)
@@ -267,7 +268,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
     small_batches(docs.sparkSession)
     docs = docs.drop(text_col)
     at = docs.columns.index(ids_col)
-    sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+    sent = Sent(docs.sparkSession, Vocabulary, **model_file(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(sent.value)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .packs import arrays, dealt, id_part, pack_texts, unpack_texts
+from .packs import arrays, dealt, pack_texts, row_part, unpack_texts
 from .textblocks import BYTE_VALUES, ODD, U64, blocks, mixed, powers, small_batches, tidy
 
 LENGTH = 100
@@ -190,7 +190,7 @@ def _anchors(docs: DataFrame, length: int, parts: int, id_parts: int) -> DataFra
 
 def _span_batch(rows: dict[str, np.ndarray], parts: int, id_parts: int, names: list[str]) -> pa.RecordBatch:
     """Spans to remove, dealt by id into the parts after ``parts``."""
-    some, columns = dealt(id_part(rows["id"], id_parts), id_parts, [rows[k] for k in SPAN])
+    some, columns = dealt(row_part(rows["id"], rows["tag"], id_parts), id_parts, [rows[k] for k in SPAN])
     none = pa.nulls(len(some), pa.binary())
     some = pa.array(some.to_numpy() + parts, pa.int32())
     return pa.record_batch([some, *columns, *[none] * (len(names) - len(columns))], ["part", *names])
@@ -219,7 +219,7 @@ def _judged(anchors: DataFrame, parts: int, id_parts: int) -> DataFrame:
         out = []
         for own, columns, place in ((gone, SPAN, 0), (kept, ANCHOR, 1)):
             if len(own["id"]):
-                some, packed = dealt(id_part(own["id"], id_parts), id_parts, [own[k] for k in columns])
+                some, packed = dealt(row_part(own["id"], own["tag"], id_parts), id_parts, [own[k] for k in columns])
                 empty = [b""] * len(some)
                 spans = packed if not place else [empty] * 4
                 out.append(_out(some, spans, [empty] * 7 if not place else packed))
@@ -298,7 +298,7 @@ def _compared(contexts: DataFrame, length: int, id_parts: int) -> DataFrame:
         first = np.flatnonzero(begins)
         n = np.diff(np.append(first, len(at))).astype(np.uint8)
         spans = [rows["id"][owner[first]], rows["tag"][owner[first]], at[first].astype(np.uint32), n]
-        some, packed = dealt(id_part(spans[0], id_parts), id_parts, spans)
+        some, packed = dealt(row_part(spans[0], spans[1], id_parts), id_parts, spans)
         return pa.table({"part": some} | {f"s{i}": x for i, x in enumerate(packed)})
 
     return contexts.groupBy("part").applyInArrow(compare, "part int, s0 binary, s1 binary, s2 binary, s3 binary")
@@ -397,18 +397,24 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_chars`` follows the new text. Rows that lose nothing keep their very text.
     """
     found = remove_repeats(docs, id_col, text_col, length).where("n_removed > 0")
-    found = materialize(
-        found.select(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag"), F.col("kept_text").alias("cut_text")).distinct(),
-        "cut_texts",
-    )
-    plain = found.where("cut_tag <> 0").limit(1).count() == 0  # ids alone tell rows apart
-    same = docs[id_col].cast("long").eqNullSafe(found["cut_id"])
+    names = {name: _unused(docs.columns, name) for name in ("cut_id", "cut_tag", "cut_text")}
+    found = found.select("doc_id", "tag", "kept_text").distinct().toDF(*names.values())
+    found = materialize(found, "cut_texts")
+    cut_id, cut_tag, cut_text = (F.col(name) for name in names.values())
+    plain = found.where(cut_tag != 0).limit(1).count() == 0  # ids alone tell rows apart
+    same = F.col(id_col).cast("long").eqNullSafe(cut_id)
     if not plain:
-        same = same & (F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")) == found["cut_tag"])
-    joined = docs.join(found, same, "left").where("cut_tag IS NULL OR cut_text <> ''")
-    changed = F.when(F.col("cut_tag").isNotNull(), F.col("cut_text")).otherwise(F.col(text_col))
-    out = joined.withColumn(text_col, changed)
+        same = same & (F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) == cut_tag)
+    joined = docs.join(found, same, "left").where(cut_tag.isNull() | (cut_text != ""))
+    out = joined.withColumn(text_col, F.when(cut_tag.isNotNull(), cut_text).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         shorter = F.length(text_col).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("cut_tag").isNotNull(), shorter).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(cut_tag.isNotNull(), shorter).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def _unused(columns: list[str], name: str) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -31,7 +31,13 @@ class Vocabulary:
     ranked: bool  # scores are negated merge ranks, not log probabilities
 
     def __post_init__(self):
-        hashes = np.array([piece_hash(self.pieces[i]) for i in self.normal], U64)
+        own = [self.pieces[i] for i in self.normal]
+        sizes = np.array([len(p) for p in own], np.int64)
+        data, begins = np.frombuffer(b"".join(own), np.uint8), np.cumsum(sizes) - sizes
+        place = np.arange(len(data)) - np.repeat(begins, sizes)
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(BYTE_VALUES[data] * powers(int(sizes.max(initial=0)) + 1)[0][place], out=sums[1:])
+        hashes = mixed(sums[begins + sizes] - sums[begins] + sizes.astype(U64))
         self.lengths = sorted({len(self.pieces[i]) for i in self.normal}, reverse=True)
         self.fallback = float(self.scores[self.normal].min(initial=0.0)) - 10.0
         self.levels = []  # one slot a key; those that find theirs taken go to the next level
@@ -48,10 +54,8 @@ class Vocabulary:
                 break
         assert not len(rest)
         inside = np.zeros(1 << 16, bool)
-        for i in self.normal:
-            piece = self.pieces[i]
-            for a, b in zip(piece, piece[1:]):
-                inside[a << 8 | b] = True
+        within = np.flatnonzero(place[1:] > 0)
+        inside[data[within].astype(np.int64) << 8 | data[within + 1]] = True
         self.joins = inside  # byte pairs that some piece holds; every path breaks between others
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -63,15 +67,8 @@ class Vocabulary:
         return out
 
 
-def piece_hash(piece: bytes) -> int:
-    data = np.frombuffer(piece, np.uint8)
-    up, _ = powers(len(data) + 1)
-    total = (BYTE_VALUES[data] * up[: len(data)]).sum(dtype=U64)
-    return int(mixed(np.array([total + U64(len(data))], U64))[0])
-
-
-def load_vocabulary(path: str = MODEL) -> Vocabulary:
-    """Read a model file on the driver. Its size is that of a vocabulary, whatever the data."""
+def model_file(path: str = MODEL) -> dict:
+    """A model file, read on the driver, as the arguments of a vocabulary. Its size is that of a vocabulary, whatever the data."""
     from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece_model_pb2.ModelProto()
@@ -94,7 +91,12 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     scores = np.array([p.score for p in model.pieces])
     ranked = model.trainer_spec.model_type == model.trainer_spec.BPE
     prefix = model.normalizer_spec.add_dummy_prefix
-    return Vocabulary(pieces, scores, np.array(normal, np.int32), byte_ids, prefix, ranked)
+    return {"pieces": pieces, "scores": scores, "normal": np.array(normal, np.int32), "byte_ids": byte_ids,
+            "dummy_prefix": prefix, "ranked": ranked}
+
+
+def load_vocabulary(path: str = MODEL) -> Vocabulary:
+    return Vocabulary(**model_file(path))
 
 
 def substring_ids(vocabulary: Vocabulary, rows: np.ndarray):

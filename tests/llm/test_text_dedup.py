@@ -123,3 +123,29 @@ def test_cut_repeats_leaves_other_rows_alone(spark):
         elif d in kept:
             assert kept[d].n_chars == len(kept[d].text) and len(kept[d].text.encode()) <= len(plain[d].encode()) - n
     assert 31 not in kept
+
+
+def test_rows_of_one_id_or_none_are_spread():
+    """A third of the rows without an id and a third under one id: no part holds much more than its share."""
+    import numpy as np
+
+    from dueday.llm.packs import row_part
+
+    n = 30_000
+    ids = np.where(np.arange(n) % 3 == 0, np.iinfo(np.int64).max, np.where(np.arange(n) % 3 == 1, 7, np.arange(n))).astype(np.int64)
+    tags = np.random.default_rng(1).integers(0, 1 << 32, n)
+    sizes = np.bincount(row_part(ids, tags, 64), minlength=64)
+    assert sizes.max() < 1.3 * n / 64 and sizes.min() > 0.7 * n / 64
+    assert np.bincount(row_part(np.arange(n), np.zeros(n, np.int64), 64), minlength=64).max() < 1.3 * n / 64
+
+
+def test_pipeline_keeps_columns_with_the_operators_names(spark, sf_dir):
+    import corpus_pipeline
+
+    text = "one passage of some length that stands in both of these documents, word for word, and is cut out of the second one"
+    rows = [(1, text, "a", "b", "c", "d"), (2, f"start {text} end", "a", "b", "c", "d"), (2, f"other {text} end", "a", "b", "c", "d"), (None, "x", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut_tag string, cut_text string, cut_id string, benchmark string")
+    cut = corpus_pipeline.suffix_array_dedup(spark, docs, sf_dir)
+    assert cut.columns == docs.columns and {r.cut_text for r in cut.collect()} == {"b", None} and cut.count() == 4
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, sf_dir)
+    assert kept.schema == docs.schema and kept.count() == 4 and {r.benchmark for r in kept.collect()} == {"d", None}
