@@ -54,10 +54,14 @@ def _weighted(train: DataFrame, weight: Column) -> DataFrame:
 
 
 def train_rf(train: DataFrame, **params: Any) -> RandomForestClassificationModel:
-    """Balanced random forest on (label, features) rows."""
-    shared_dir(train.sparkSession)
+    """Balanced random forest on (label, features) rows.
+
+    The fitted model is saved and loaded: a training summary holds the session, which cannot travel to tasks once it has observed anything.
+    """
+    path = scratch_path(train.sparkSession, "forest")
     forest = RandomForestClassifier(weightCol="weight", **_FIT, **{**RF_PARAMS, **params})
-    return forest.fit(_weighted(train, weight_column(train)))
+    forest.fit(_weighted(train, weight_column(train))).write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def fit_gb(train: DataFrame, weight: Column | None = None, **params: Any) -> GBTClassificationModel:
