@@ -1,4 +1,7 @@
-"""Report queries: small selections over the metric tables."""
+"""Report queries: small selections over the metric tables.
+
+The columns each report picks, and their order, are fixed values of the output contract.
+"""
 
 from __future__ import annotations
 

@@ -19,6 +19,7 @@ SNAPSHOT_KEYS = [
     "snapshot_month_approx",
 ]
 
+# The category columns that results are sliced by, and the feature lists of the output contract.
 SLICE_COLS = [
     "CODE_GENDER",
     "NAME_INCOME_TYPE",
@@ -98,7 +99,7 @@ FEATURE_FAMILIES = {
 }
 
 
-# DDL strings: ``spark.read.schema`` takes them as they are.
+# Raw columns and types of the input contract, as DDL strings that ``spark.read.schema`` takes.
 RAW_SCHEMAS: dict[str, str] = {
     "application_train": (
         "SK_ID_CURR bigint, TARGET int, CODE_GENDER string, NAME_INCOME_TYPE string,"
@@ -128,7 +129,7 @@ RAW_SCHEMAS: dict[str, str] = {
     "bureau_balance": "SK_ID_BUREAU bigint, MONTHS_BALANCE int, STATUS string",
 }
 
-# The key each raw table is audited on.
+# The key each raw table is audited on.
 AUDIT_KEYS: dict[str, list[str]] = {
     "application_train": ["SK_ID_CURR"],
     "installments_payments": INSTALMENT_KEYS,
