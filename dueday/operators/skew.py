@@ -16,6 +16,9 @@ HOT_ROWS = 1_000_000
 # grows with the table beyond HOT_ROWS * TRACKED / 7 rows, and no list of hot keys is longer than TRACKED / 7.
 TRACKED = 30_000
 MOST_HOT = TRACKED // 7
+# Rows a task of a large shuffle holds, and the tasks up to which the session's own settings deal them out.
+TASK_ROWS = 250_000
+LEAST_TASKS = 16
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,7 @@ class HotKeys:
     count: int
     null_pieces: int = 0
     limit: int = HOT_ROWS
+    rows: int = 0  # of the table they were counted on
 
     def __bool__(self) -> bool:
         return self.count > 0
@@ -57,7 +61,18 @@ def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys:
         sizes = counted.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).where(F.col("key_rows") > limit)
         rows = [(r[key], -(-r["key_rows"] // limit)) for r in sizes.collect()]  # at most rows / limit of them
     unnamed = -(-seen.missing // limit) if seen.missing > limit else 0
-    return HotKeys(key, df.sparkSession.createDataFrame(rows, f"{schema}, pieces int"), len(rows), unnamed, limit)
+    return HotKeys(key, df.sparkSession.createDataFrame(rows, f"{schema}, pieces int"), len(rows), unnamed, limit, seen.n)
+
+
+def small_tasks(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` laid out by ``keys`` for at most about TASK_ROWS rows a task, if ``rows`` are too many for the session's shuffles.
+
+    Grouping, windows and joins by the keys use this layout, which AQE does not coalesce, so it adds no shuffle to theirs.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    # with fewer tasks than the session's shuffles have, a join would lay both sides out again
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, least), *keys) if tasks > LEAST_TASKS else df
 
 
 def bounded_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, name: str) -> DataFrame:
@@ -93,7 +108,7 @@ def lookup(
     """
     hot = hot_keys(left, key, limit) if hot is None else hot
     if not hot and not hot.null_pieces:
-        return left.join(right, key, "left")
+        return left.join(small_tasks(right, hot.rows, key), key, "left")
     pieces = F.broadcast(hot.frame.select(key, F.col("pieces").alias("_pieces")))
     cut = F.when(F.col(key).isNull(), F.lit(max(hot.null_pieces, 1))).otherwise(F.coalesce("_pieces", F.lit(1)))
     spread_left = left.join(pieces, key, "left").withColumn(

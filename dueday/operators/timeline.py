@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schemas import ENTITY, EVENT_ORDER, HISTORY_FEATURES, SNAPSHOT_KEYS
 from ..session import materialize
-from .skew import HOT_ROWS, HotKeys, bounded_runs, hot_keys
+from .skew import HOT_ROWS, HotKeys, bounded_runs, hot_keys, small_tasks
 
 # Fixed value: length of the label's look-ahead.
 WINDOW_DAYS = 90
@@ -235,6 +235,7 @@ def borrower_timeline(
     """
     hot = hot_keys(events, ENTITY, limit) if hot is None else hot
     flagged = behaviour_flags(split_hot(events.select(*EVENT_COLS), hot) if cut is None else cut)
+    flagged = small_tasks(flagged, hot.rows, ENTITY, *(PIECE if hot else []))
     rows = _in_piece(flagged, window_days)
     if hot:
         rows = rows.join(piece_carry(flagged.where("is_hot"), window_days), [ENTITY, *PIECE], "left")

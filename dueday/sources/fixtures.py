@@ -17,7 +17,7 @@ from ..functions.scalars import apply_threshold
 from ..operators.assemble import threshold_lookup
 from ..operators.clean import collapse_events
 from ..operators.labels import filter_has_next, missed_flag
-from ..operators.skew import HotKeys, hot_keys, lookup
+from ..operators.skew import HotKeys, hot_keys, lookup, small_tasks
 from ..operators.timeline import build_snapshots
 from ..schemas import ENTITY, SLICE_COLS
 from ..session import materialize
@@ -162,7 +162,10 @@ class Tables:
         return materialize(rows, "labels")
 
     def _scored(self) -> DataFrame:
-        both = self("fx_snap").drop("snapshot_id").withColumn("model", F.explode(F.array(F.lit("rf"), F.lit("gb"))))
+        return self._with_scores(self("fx_snap").drop("snapshot_id"))
+
+    def _with_scores(self, rows: DataFrame) -> DataFrame:
+        both = rows.withColumn("model", F.explode(F.array(F.lit("rf"), F.lit("gb"))))
         return both.withColumn(
             "y_prob",
             F.expr(
@@ -173,7 +176,8 @@ class Tables:
 
     def _pred(self) -> DataFrame:
         slices = self("fx_application").select(ENTITY, *SLICE_COLS)
-        rows = lookup(self("fx_scored"), slices, ENTITY, ["ord", "model"], self.hot)
+        # slices join before the rows are repeated for each model
+        rows = self._with_scores(lookup(self("fx_snap").drop("snapshot_id"), slices, ENTITY, ["ord"], self.hot))
         rows = threshold_lookup(rows.withColumn("target", F.lit("missed_upcoming_emi")), self("fx_threshold"))
         return rows.withColumns(
             {
@@ -184,8 +188,10 @@ class Tables:
 
     def _sql(self, view: str) -> DataFrame:
         text = view.replace("{DD}", SPARK_DD)
-        used = sorted(set(_NAME.findall(text)))
-        return self.spark.sql(_NAME.sub(r"{\1}", text), **{n: self(n) for n in used})
+        used = {n: self(n) for n in sorted(set(_NAME.findall(text)))}
+        if view == VIEWS["fx_installments"]:  # many groups and windows read this join in the layout it leaves
+            used["lineitem"] = small_tasks(used["lineitem"], used["lineitem"].count(), "l_orderkey")
+        return self.spark.sql(_NAME.sub(r"{\1}", text), **used)
 
 
 class RawTables(Mapping):
