@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 FEATURES = 1 << 13
-FIT_PARAGRAPHS = 4_000  # unlabelled paragraphs in training, in expectation
+FIT_PARAGRAPHS = 4_000  # what all unlabelled paragraphs together weigh at most in training
 CONFIRM = 0.75  # share of a template's words that a paragraph must hold
 LEAST = 0.5
+STEPS = 1 << 16  # thresholds that are told apart
 QUANTILE = 0.99  # of the held-out paragraphs' probabilities; the threshold
 SLACK = 1.25  # words a notice may span, as a multiple of its template's
 LONG_WORD = 6  # letters of the template words that make a licence vocabulary
@@ -57,6 +58,7 @@ TEMPLATES = {
         "This library is free software under the GNU Lesser General Public License as published by the Free Software Foundation",
     ),
 }
+FEWEST = 5  # distinct words of the shortest template, or fewer
 FRAMES = ("{}", "{}.", "Note: {}.", "{} unless stated otherwise.", "Copyright 2020 the authors. {}.", "The text below is {}.")
 
 
@@ -138,36 +140,46 @@ def _features() -> list:
     ]
 
 
+def _outside(words: Column) -> Column:
+    """Is a paragraph no notice and no part of one: less than CONFIRM of any template, and less than two of its telling words?"""
+    own = F.array_distinct(F.flatten(F.array(*[words_of(F.lit(t)) for texts in TEMPLATES.values() for t in texts])))
+    telling = lambda k: F.size(F.filter(k, lambda w: F.length(w) >= LONG_WORD))
+    near = lambda k: F.greatest(*[template_match(k, F.lit(name)) for name in TEMPLATES])
+    # the lambda binds the template words a paragraph holds once; most hold too few for any template
+    found = lambda k: (telling(k) < 2) & ((F.size(k) <= CONFIRM * FEWEST) | (near(k) < CONFIRM))
+    return F.exists(F.array(F.array_intersect(own, words)), found)
+
+
 def train(lines: DataFrame, fit_paragraphs: int = FIT_PARAGRAPHS) -> tuple[PipelineModel, list[str], float]:
-    """(model, families, threshold) from the templates in a few frames, and a bounded sample of paragraphs.
+    """(model, families, threshold) from the templates in a few frames, and all paragraphs.
 
-    The sample counts as unknown, except paragraphs that hold most words of a
+    Paragraphs count as unknown, except those that hold most words of a
     template or two of its words of LONG_WORD letters, as lines of wrapped notices do:
-    those are neither class. A quarter of it is kept out of training; the threshold is the
-    QUANTILE of the highest probability of any family among those, and at least one half, so
+    those are neither class. All paragraphs together weigh as much as ``fit_paragraphs`` of them, if there are more, so that the few
+    templates keep their say in a corpus of any size. Those of one in four hashes are kept out of training; the threshold is the
+    QUANTILE of the highest probability of any family among them, rounded up to a multiple of 1 / STEPS, and at least one half, so
     the unknown class keeps what the corpus itself shows to be no licence.
     """
     spark = lines.sparkSession
     families = [UNKNOWN, *sorted(TEMPLATES)]
-    total = lines.count()
-    share = min(1.0, fit_paragraphs / max(total, 1))
-    spread = F.pmod(F.xxhash64("words"), F.lit(1 << 30))
-    near = F.greatest(*[template_match(F.col("words"), F.lit(name)) for name in TEMPLATES])
-    sample = lines.where(spread < int(share * (1 << 30))).select(F.lit(UNKNOWN).alias("family"), "words")
-    telling = F.array_distinct(F.flatten(F.array(*[words_of(F.lit(t)) for texts in TEMPLATES.values() for t in texts])))
-    telling = F.filter(telling, lambda w: F.length(w) >= LONG_WORD)
-    sample = materialize(sample.where((near < CONFIRM) & (F.size(F.array_intersect(telling, F.col("words"))) < 2)).dropDuplicates(["words"]).coalesce(2), "paragraphs")
+    weight = min(1.0, fit_paragraphs / max(lines.count(), 1))
+    unknown = lines.where(_outside(F.col("words"))).select(F.lit(UNKNOWN).alias("family"), "words")
     kept = F.pmod(F.xxhash64(F.concat_ws(" ", "words")), F.lit(4))
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
-    fit = sample.where(kept > 0).union(_notices(spark)).withColumn("label", label)
-    weights = F.when(F.col("family") == UNKNOWN, 1.0).otherwise(4.0)
+    weights = F.when(F.col("family") == UNKNOWN, weight).otherwise(4.0)
+    fit = unknown.where(kept > 0).union(_notices(spark)).withColumn("label", label).withColumn("weight", weights)
     logistic = LogisticRegression(family="multinomial", maxIter=25, regParam=0.002, elasticNetParam=0.3, weightCol="weight")
-    rows = fit.withColumn("weight", weights).coalesce(2).cache()
-    model = Pipeline(stages=[*_features(), logistic]).fit(rows)
-    rows.unpersist()
-    tested = model.transform(sample.where(kept == 0)).select(vector_to_array("probability").alias("p"))
-    worst = tested.agg(F.percentile(F.array_max(F.slice("p", 2, len(families) - 1)), QUANTILE)).first()[0]
-    return model, families, max(LEAST, min(0.99, worst or 0.0))
+    model = Pipeline(stages=[*_features(), logistic]).fit(fit)  # which keeps its blocks of rows for all iterations
+    tested = model.transform(unknown.where(kept == 0)).select(vector_to_array("probability").alias("p"))
+    step = F.ceil(F.array_max(F.slice("p", 2, len(families) - 1)) * STEPS)
+    counts = sorted((r.step, r["count"]) for r in tested.groupBy(step.alias("step")).count().collect())  # at most STEPS + 1 rows
+    left = QUANTILE * sum(n for _, n in counts)
+    worst = 0
+    for worst, n in counts:
+        left -= n
+        if left <= 0:
+            break
+    return model, families, max(LEAST, min(0.99, worst / STEPS))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_paragraphs: int = FIT_PARAGRAPHS) -> DataFrame:
