@@ -15,7 +15,7 @@ from ..schemas import (
     SNAPSHOT_KEYS,
 )
 from .labels import hit_ahead, missed_flag, pos_dpd_days
-from .skew import HOT_ROWS, HotKeys, hot_keys, lookup
+from .skew import HOT_ROWS, HotKeys, hot_keys, lookup, small_tasks
 from .timeline import EVENT_COLS, PIECE, WINDOW_DAYS, borrower_timeline, split_hot
 
 FEATURES = [*HISTORY_FEATURES, *APPLICATION_NUMERIC, *SLICE_COLS, *PREVIOUS_FEATURES, *BUREAU_FEATURES]
@@ -109,19 +109,21 @@ def interval_exists(
 ) -> DataFrame:
     """For each row: is there a flagged day of the same key in (day, day + days]?
 
-    Both sides are reduced to distinct (key, day) before the range window, so a key has at most one row per calendar day there. The
-    answers go back through ``lookup``: the rows of one key and day may be very many. NULL for rows without key or day.
+    Both sides are reduced to distinct (key, day) before they are laid out for the range window, so a key has at most one row per
+    calendar day and side there. The answers go back through ``lookup``: the rows of one key and day may be very many. NULL for rows without key or day.
     """
-    probe = rows.select(key, F.col(day).alias("day"), F.lit(0).alias("hit"), F.lit(1).alias("probe"))
-    marks = flagged.select(key, F.col(day).alias("day"), F.lit(1).alias("hit"), F.lit(0).alias("probe"))
-    merged = probe.unionByName(marks).groupBy(key, "day").agg(
+    at = lambda d: F.concat(F.col(key).cast("string"), F.lit(":"), F.col(d).cast("string"))
+    rows = rows.withColumn("_at", at(day))
+    hot = hot_keys(rows, "_at", limit)
+    probe = rows.select(key, F.col(day).alias("day"), F.lit(0).alias("hit"), F.lit(1).alias("probe")).distinct()
+    marks = flagged.select(key, F.col(day).alias("day"), F.lit(1).alias("hit"), F.lit(0).alias("probe")).distinct()
+    merged = small_tasks(probe.unionByName(marks), hot.rows + flagged.count(), key).groupBy(key, "day").agg(
         F.max("hit").alias("hit"), F.max("probe").alias("probe")
     )
     ahead = Window.partitionBy(key).orderBy("day").rangeBetween(1, days)
     answers = merged.withColumn("exists", F.coalesce(F.max("hit").over(ahead), F.lit(0))).where("probe = 1")
-    at = lambda d: F.concat(F.col(key).cast("string"), F.lit(":"), F.col(d).cast("string"))
     found = answers.select(at("day").alias("_at"), "exists").where("_at IS NOT NULL")
-    return lookup(rows.withColumn("_at", at(day)), found, "_at", [c for c in rows.columns if c not in (key, day)] or [key], limit=limit).drop("_at")
+    return lookup(rows, found, "_at", [c for c in rows.columns if c not in (key, day, "_at")] or [key], hot).drop("_at")
 
 
 def entity_max_back(

@@ -64,6 +64,11 @@ def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys:
     return HotKeys(key, df.sparkSession.createDataFrame(rows, f"{schema}, pieces int"), len(rows), unnamed, limit, seen.n)
 
 
+def many_rows(rows: int) -> bool:
+    """Are ``rows`` too many for the session's shuffles, and for a broadcast?"""
+    return -(-rows // TASK_ROWS) > LEAST_TASKS
+
+
 def small_tasks(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """``df`` laid out by ``keys`` for at most about TASK_ROWS rows a task, if ``rows`` are too many for the session's shuffles.
 
@@ -72,7 +77,7 @@ def small_tasks(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     tasks = -(-rows // TASK_ROWS)
     # with fewer tasks than the session's shuffles have, a join would lay both sides out again
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(tasks, least), *keys) if tasks > LEAST_TASKS else df
+    return df.repartition(max(tasks, least), *keys) if many_rows(rows) else df
 
 
 def bounded_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.scalars import apply_threshold
 from ..operators.assemble import threshold_lookup
 from ..operators.clean import collapse_events
 from ..operators.labels import filter_has_next, missed_flag
-from ..operators.skew import HotKeys, hot_keys, lookup, small_tasks
+from ..operators.skew import HotKeys, hot_keys, lookup, many_rows, small_tasks
 from ..operators.timeline import build_snapshots
 from ..schemas import ENTITY, SLICE_COLS
 from ..session import materialize
@@ -190,7 +190,10 @@ class Tables:
         text = view.replace("{DD}", SPARK_DD)
         used = {n: self(n) for n in sorted(set(_NAME.findall(text)))}
         if view == VIEWS["fx_installments"]:  # many groups and windows read this join in the layout it leaves
-            used["lineitem"] = small_tasks(used["lineitem"], used["lineitem"].count(), "l_orderkey")
+            rows = used["lineitem"].count()
+            used["lineitem"] = small_tasks(used["lineitem"], rows, "l_orderkey")
+            if many_rows(rows):  # the size of well compressed files hides how many loans a broadcast would hold
+                used["orders"] = used["orders"].hint("merge")
         return self.spark.sql(_NAME.sub(r"{\1}", text), **used)
 
 

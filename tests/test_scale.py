@@ -53,3 +53,24 @@ def test_rows_a_task_of_the_payments_holds(spark, sf_dir, monkeypatch):
     parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100)
     assert many.rdd.getNumPartitions() == parts
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_loans_of_many_payments_are_not_broadcast(spark, sf_dir, monkeypatch):
+    from dueday.sources.fixtures import Tables
+
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    plan = Tables(spark, sf_dir)("fx_installments")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rows_a_task_of_the_interval_window_holds(spark, monkeypatch):
+    from dueday.operators.assemble import interval_exists
+
+    rows = spark.createDataFrame([(i, i % 40, i % 7) for i in range(300)] + [(300, None, 1), (301, 1, None)], "snapshot_id int, SK_ID_CURR int, snapshot_day int")
+    flagged = spark.createDataFrame([(k, 4) for k in range(0, 40, 3)] * 2, "SK_ID_CURR int, snapshot_day int")
+    few = sorted(map(str, interval_exists(rows, flagged, 2).collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 5)
+    many = interval_exists(rows, flagged, 2)
+    assert sorted(map(str, many.collect())) == few
+    parts = -(-(rows.count() + flagged.count()) // 5)
+    assert f"hashpartitioning(SK_ID_CURR#{''}" in many._jdf.queryExecution().executedPlan().toString() and f", {parts})" in many._jdf.queryExecution().executedPlan().toString()
