@@ -74,3 +74,14 @@ def test_rows_a_task_of_the_interval_window_holds(spark, monkeypatch):
     assert sorted(map(str, many.collect())) == few
     parts = -(-(rows.count() + flagged.count()) // 5)
     assert f"hashpartitioning(SK_ID_CURR#{''}" in many._jdf.queryExecution().executedPlan().toString() and f", {parts})" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_are_one_array_made_into_a_vector(spark):
+    codes = spark.createDataFrame([("c", "a", 0), ("c", "b", 1)], "column_name string, category string, code int")
+    pre = prepare.Preprocessor(["n", "m"], ["c"], {"n": 2.5, "m": None}, {"c": "b"}, {"c": 2}, codes)
+    rows = spark.createDataFrame([(1, 4.0, None, "a"), (2, None, 0.0, None), (3, 0.0, 7.0, "new")], "id int, n double, m double, c string")
+    found = pre.transform(rows, ["id"])
+    assert {r.id: r.features.toArray().tolist() for r in found.collect()} == {1: [4.0, 0.0, 0.0], 2: [2.5, 0.0, 1.0], 3: [0.0, 7.0, -1.0]}
+    assert "struct(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="NaN"):
+        pre.transform(spark.createDataFrame([(1, float("nan"), 1.0, "a")], rows.schema), ["id"]).collect()
