@@ -150,6 +150,14 @@ def _outside(words: Column) -> Column:
     return F.exists(F.array(F.array_intersect(own, words)), found)
 
 
+def featured(lines: DataFrame) -> DataFrame:
+    """``lines`` with features, ``outside`` and ``kept_out``, written once: training, threshold and scan all read them."""
+    flagged = lines.withColumns(
+        {"outside": _outside(F.col("words")), "kept_out": F.pmod(F.xxhash64(F.concat_ws(" ", "words")), F.lit(4)) == 0}
+    )
+    return materialize(PipelineModel(_features()).transform(flagged).drop("pairs", "terms"), "paragraphs")
+
+
 def train(lines: DataFrame, fit_paragraphs: int = FIT_PARAGRAPHS) -> tuple[PipelineModel, list[str], float]:
     """(model, families, threshold) from the templates in a few frames, and all paragraphs.
 
@@ -162,15 +170,18 @@ def train(lines: DataFrame, fit_paragraphs: int = FIT_PARAGRAPHS) -> tuple[Pipel
     """
     spark = lines.sparkSession
     families = [UNKNOWN, *sorted(TEMPLATES)]
+    if "features" not in lines.columns:
+        lines = featured(lines)
     weight = min(1.0, fit_paragraphs / max(lines.count(), 1))
-    unknown = lines.where(_outside(F.col("words"))).select(F.lit(UNKNOWN).alias("family"), "words")
-    kept = F.pmod(F.xxhash64(F.concat_ws(" ", "words")), F.lit(4))
+    unknown = lines.where("outside").select(F.lit(UNKNOWN).alias("family"), "features", "kept_out")
+    told = PipelineModel(_features()).transform(_notices(spark)).select("family", "features", F.lit(False).alias("kept_out"))
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     weights = F.when(F.col("family") == UNKNOWN, weight).otherwise(4.0)
-    fit = unknown.where(kept > 0).union(_notices(spark)).withColumn("label", label).withColumn("weight", weights)
+    fit = unknown.where("NOT kept_out").union(told).withColumn("label", label).withColumn("weight", weights)
     logistic = LogisticRegression(family="multinomial", maxIter=25, regParam=0.002, elasticNetParam=0.3, weightCol="weight")
-    model = Pipeline(stages=[*_features(), logistic]).fit(fit)  # which keeps its blocks of rows for all iterations
-    tested = model.transform(unknown.where(kept == 0)).select(vector_to_array("probability").alias("p"))
+    fitted = Pipeline(stages=[logistic]).fit(fit).stages[0]  # which keeps its blocks of rows for all iterations
+    model = PipelineModel([*_features(), fitted])
+    tested = fitted.transform(unknown.where("kept_out")).select(vector_to_array("probability").alias("p"))
     step = F.ceil(F.array_max(F.slice("p", 2, len(families) - 1)) * STEPS)
     counts = sorted((r.step, r["count"]) for r in tested.groupBy(step.alias("step")).count().collect())  # at most STEPS + 1 rows
     left = QUANTILE * sum(n for _, n in counts)
@@ -189,9 +200,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_pa
     notices and those inside longer lines, each under the line of its middle word. ``confirmed``
     says that the words also hold enough of a template of that family. Empty and null texts have no lines.
     """
-    lines = paragraphs(docs, id_col, text_col)
+    lines = featured(paragraphs(docs, id_col, text_col))
     model, families, threshold = train(lines, fit_paragraphs)
-    judged = model.transform(lines.union(notices(docs, id_col, text_col))).withColumn("p", vector_to_array("probability"))
+    columns = ["id", "mark", "place", "words", "features"]
+    found = PipelineModel(model.stages[:-1]).transform(notices(docs, id_col, text_col)).select(*columns)
+    judged = model.stages[-1].transform(lines.select(*columns).union(found)).withColumn("p", vector_to_array("probability"))
     judged = judged.withColumn("probability", F.array_max(F.slice("p", 2, len(families) - 1))).where(F.col("probability") > threshold)
     names = F.array(*[F.lit(f) for f in families])
     judged = judged.withColumn("family", F.get(names, F.array_position("p", F.col("probability")).cast("int") - 1))

@@ -35,3 +35,12 @@ def test_paragraphs_near_a_template_do_not_train(spark):
     rows = spark.createDataFrame([(t,) for t in [*notices, "plain words", "licensed by hand"]], "line string")
     kept = rows.withColumn("words", licenses.words_of(F.col("line"))).where(licenses._outside(F.col("words")))
     assert {r.line for r in kept.collect()} == {"plain words", "licensed by hand"}
+
+
+def test_paragraphs_get_their_features_once(spark, monkeypatch):
+    text = "Released under the MIT License\nplain words here and there"
+    docs = spark.createDataFrame([(1, text), (2, "plain words\n\nother words"), (3, None)], "doc_id long, text string")
+    written = []
+    monkeypatch.setattr(licenses, "materialize", lambda df, name: written.append(name) or df.localCheckpoint())
+    found = licenses.scan(docs).where("confirmed").select("id", "family").distinct().collect()
+    assert written == ["paragraphs"] and [tuple(r) for r in found] == [(1, "MIT")]
