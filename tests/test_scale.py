@@ -3,6 +3,8 @@
 import pytest
 from dueday.operators import models, prepare, skew, timeline
 from dueday.plans import stages
+from dueday.session import materialize
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("asked, fitted", [("rf", ["rf"]), ("rounds", ["gb"])])
@@ -85,3 +87,17 @@ def test_features_are_one_array_made_into_a_vector(spark):
     assert "struct(" not in found._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(Exception, match="NaN"):
         pre.transform(spark.createDataFrame([(1, float("nan"), 1.0, "a")], rows.schema), ["id"]).collect()
+
+
+def test_features_of_many_columns_are_filled_by_one_function(spark):
+    """An expression a column makes a method longer than the 8,000 bytes the JVM compiles."""
+    names = [f"n{i}" for i in range(60)]
+    pre = prepare.Preprocessor(names, ["c"], dict.fromkeys(names, 0.5), {"c": "a"}, {"c": 1}, spark.createDataFrame([("c", "a", 0)], "column_name string, category string, code int"))
+    rows = spark.range(3).select("id", F.lit("a").alias("c"), *[F.when(F.col("id") != i % 3, F.col("id") + i).alias(n) for i, n in enumerate(names)])
+    found = pre.transform(materialize(rows, "wide"), ["id"])
+    want = {k: [0.5 if k == i % 3 else float(k + i) for i in range(60)] + [0.0] for k in range(3)}
+    assert {r.id: r.features.toArray().tolist() for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 1 and plan.count("coalesce(n") == 0
+    sizes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(found._jdf.queryExecution().executedPlan())
+    assert all(sizes.apply(k)._3().maxMethodCodeSize() <= 8000 for k in range(sizes.size()))
