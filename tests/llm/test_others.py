@@ -95,6 +95,17 @@ def test_embeddings_of_odd_tables(spark):
     )
 
 
+def test_two_cells_of_embeddings_meet_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    written, write = {}, embedding_dedup.materialize
+    monkeypatch.setattr(embedding_dedup, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    embedding_dedup.near_duplicates(frame, cell_rows=20)
+    placed = written["cells"].collect()
+    home = {r.node: r.cell for r in placed if r.member}
+    assert len(home) == 300 < len(placed) and all(r.cell <= home[r.node] for r in placed)
+
+
 LOG = "conv_id long, seq long, message long, kind string, role string, text string"
 
 
