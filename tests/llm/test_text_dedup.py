@@ -2,6 +2,7 @@ import random
 
 from helpers import documents, jaccard_groups, repeats_removed, sentence
 
+from dueday.llm import jaccard
 from dueday.llm.jaccard import keep_one, near_duplicates
 from dueday.llm.links import components
 from dueday.llm.suffixes import common_prefix_breaks, cut_repeats, remove_repeats, repeated_windows, suffix_order
@@ -149,3 +150,14 @@ def test_pipeline_keeps_columns_with_the_operators_names(spark, sf_dir):
     assert cut.columns == docs.columns and {r.cut_text for r in cut.collect()} == {"b", None} and cut.count() == 4
     kept = corpus_pipeline.benchmark_decontamination(spark, docs, sf_dir)
     assert kept.schema == docs.schema and kept.count() == 4 and {r.benchmark for r in kept.collect()} == {"d", None}
+
+
+def test_bit_tables_of_few_texts_are_small(spark, monkeypatch):
+    made = []
+    bits = jaccard._rarity_bits
+    monkeypatch.setattr(jaccard, "_rarity_bits", lambda *a: made.append(bits(*a)) or made[-1])
+    same = "one text of seven words that repeats "
+    rows = [(k, same * 3 if k % 2 else f"{k} other words here and there " * 5) for k in range(40)]
+    found = near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: 1 if k % 2 else k for k in range(40)}
+    assert made[0].any() and made[0].nbytes <= 1 << 18
