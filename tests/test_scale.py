@@ -101,3 +101,16 @@ def test_features_of_many_columns_are_filled_by_one_function(spark):
     assert plan.count("zip_with(") == 1 and plan.count("coalesce(n") == 0
     sizes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(found._jdf.queryExecution().executedPlan())
     assert all(sizes.apply(k)._3().maxMethodCodeSize() <= 8000 for k in range(sizes.size()))
+
+
+def test_the_array_of_features_is_built_by_compiled_code(spark):
+    names = ["n", "m"]
+    pre = prepare.Preprocessor(names, ["c"], {"n": 0.5, "m": float("nan")}, {"c": "a"}, {"c": 1}, spark.createDataFrame([("c", "a", 0)], "column_name string, category string, code int"))
+    rows = spark.createDataFrame([(1, None, 2.0, "a"), (2, None, None, "a")], "id int, n double, m double, c string")
+    found = pre.transform(materialize(rows, "narrow"), ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    built = next(line for line in plan.splitlines() if "array(n#" in line)
+    assert "*(" in built and "zip_with(" not in built
+    assert found.where("id = 1").first().features.toArray().tolist() == [0.5, 2.0, 0.0]
+    with pytest.raises(Exception, match="NaN"):  # a median that is NaN fails the rows it would fill
+        found.collect()
