@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -15,6 +17,7 @@ from ..session import materialize
 
 FEATURES = 1 << 13
 FIT_PARAGRAPHS = 4_000  # what all unlabelled paragraphs together weigh at most in training
+FIT_TASK_ROWS = 500_000  # paragraphs a task of the training takes, beyond one task for each core
 CONFIRM = 0.75  # share of a template's words that a paragraph must hold
 LEAST = 0.5
 STEPS = 1 << 16  # thresholds that are told apart
@@ -63,16 +66,26 @@ FRAMES = ("{}", "{}.", "Note: {}.", "{} unless stated otherwise.", "Copyright 20
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")  # compiled, as a filter with a lambda is not
+
+
+def _fixed(text: str) -> list[str]:
+    """Words of a fixed text in ASCII, as ``words_of`` gives them. Spark would split the text again for every row."""
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def _literal(words: Iterable[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, words) of every line that holds a word."""
-    lines = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"),
-        F.posexplode(F.split(text_col, "\n")).alias("place", "line"),
-    )
-    return lines.select("id", "mark", "place", words_of(F.col("line")).alias("words")).where("size(words) > 0")
+    # hashed before lines are taken apart: a text needed after would be copied, and hashed, for each of its lines
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.split(text_col, "\n").alias("lines"))
+    lines = texts.select("id", "mark", F.posexplode("lines").alias("place", "line"))
+    # asks for a first letter or digit only; a condition on the words would split each line twice
+    some = lines.where(F.lower("line").rlike(r"[\p{L}\p{N}]"))
+    return some.select("id", "mark", "place", words_of(F.col("line")).alias("words"))
 
 
 def _notices(spark: SparkSession) -> DataFrame:
@@ -87,8 +100,8 @@ def template_match(words: Column, family: Column) -> Column:
     for name, texts in TEMPLATES.items():
         shares = []
         for t in texts:
-            own = words_of(F.lit(t))
-            shares.append(F.size(F.array_intersect(own, words)) / F.size(F.array_distinct(own)))
+            own = dict.fromkeys(_fixed(t))
+            shares.append(F.size(F.array_intersect(_literal(own), words)) / F.lit(len(own)))
         out = F.when(family == name, F.greatest(*shares)).otherwise(out)
     return out
 
@@ -100,16 +113,13 @@ def notices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``place`` is the line of its middle template word. Texts without enough of the words are left out before.
     """
     known = [t for texts in TEMPLATES.values() for t in texts]
-    spark = docs.sparkSession
-    rows = spark.range(1).select(*[words_of(F.lit(t)).alias(f"t{k}") for k, t in enumerate(known)]).first()
-    listed = [(sorted(set(words)), math.ceil(SLACK * len(words))) for words in rows]
-    literal = lambda words: F.array(*[F.lit(w) for w in words])
+    listed = [(sorted(set(words)), math.ceil(SLACK * len(words))) for words in map(_fixed, known)]
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"),
-        F.array_intersect(literal(sorted({w for own, _ in listed for w in own})), words_of(F.col(text_col))).alias("seen"),
+        F.array_intersect(_literal(sorted({w for own, _ in listed for w in own})), words_of(F.col(text_col))).alias("seen"),
     )
     fits = F.array(*[
-        F.when(F.size(F.array_intersect(literal(own), F.col("seen"))) >= CONFIRM * len(own), F.struct(literal(own).alias("own"), F.lit(span).alias("span")))
+        F.when(F.size(F.array_intersect(_literal(own), F.col("seen"))) >= CONFIRM * len(own), F.struct(_literal(own).alias("own"), F.lit(span).alias("span")))
         for own, span in listed
     ])
     # exploding, unlike a filter, is not moved below the words of the text, which would split it once for each template
@@ -140,22 +150,26 @@ def _features() -> list:
     ]
 
 
+def _held(words: Column) -> Column:
+    """The words of any template that a paragraph holds, which is all that is asked of its words later."""
+    return F.array_intersect(_literal(dict.fromkeys(w for texts in TEMPLATES.values() for t in texts for w in _fixed(t))), words)
+
+
 def _outside(words: Column) -> Column:
     """Is a paragraph no notice and no part of one: less than CONFIRM of any template, and less than two of its telling words?"""
-    own = F.array_distinct(F.flatten(F.array(*[words_of(F.lit(t)) for texts in TEMPLATES.values() for t in texts])))
     telling = lambda k: F.size(F.filter(k, lambda w: F.length(w) >= LONG_WORD))
     near = lambda k: F.greatest(*[template_match(k, F.lit(name)) for name in TEMPLATES])
     # the lambda binds the template words a paragraph holds once; most hold too few for any template
     found = lambda k: (telling(k) < 2) & ((F.size(k) <= CONFIRM * FEWEST) | (near(k) < CONFIRM))
-    return F.exists(F.array(F.array_intersect(own, words)), found)
+    return F.exists(F.array(_held(words)), found)
 
 
 def featured(lines: DataFrame) -> DataFrame:
-    """``lines`` with features, ``outside`` and ``kept_out``, written once: training, threshold and scan all read them."""
-    flagged = lines.withColumns(
-        {"outside": _outside(F.col("words")), "kept_out": F.pmod(F.xxhash64(F.concat_ws(" ", "words")), F.lit(4)) == 0}
-    )
-    return materialize(PipelineModel(_features()).transform(flagged).drop("pairs", "terms"), "paragraphs")
+    """``lines`` with features, ``held``, ``outside`` and ``kept_out``, written once without their words: training, threshold and scan all read them."""
+    words = F.col("words")
+    flagged = lines.withColumns({"held": _held(words), "kept_out": F.pmod(F.xxhash64(F.concat_ws(" ", words)), F.lit(4)) == 0})
+    flagged = flagged.withColumn("outside", _outside(F.col("held")))
+    return materialize(PipelineModel(_features()).transform(flagged).drop("words", "pairs", "terms"), "paragraphs")
 
 
 def train(lines: DataFrame, fit_paragraphs: int = FIT_PARAGRAPHS) -> tuple[PipelineModel, list[str], float]:
@@ -172,13 +186,16 @@ def train(lines: DataFrame, fit_paragraphs: int = FIT_PARAGRAPHS) -> tuple[Pipel
     families = [UNKNOWN, *sorted(TEMPLATES)]
     if "features" not in lines.columns:
         lines = featured(lines)
-    weight = min(1.0, fit_paragraphs / max(lines.count(), 1))
+    rows = lines.count()
+    weight = min(1.0, fit_paragraphs / max(rows, 1))
     unknown = lines.where("outside").select(F.lit(UNKNOWN).alias("family"), "features", "kept_out")
     told = PipelineModel(_features()).transform(_notices(spark)).select("family", "features", F.lit(False).alias("kept_out"))
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     weights = F.when(F.col("family") == UNKNOWN, weight).otherwise(4.0)
     fit = unknown.where("NOT kept_out").union(told).withColumn("label", label).withColumn("weight", weights)
     logistic = LogisticRegression(family="multinomial", maxIter=25, regParam=0.002, elasticNetParam=0.3, weightCol="weight")
+    # every task writes a gradient of all coefficients in every iteration, so a task takes many rows
+    fit = fit.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FIT_TASK_ROWS)))
     fitted = Pipeline(stages=[logistic]).fit(fit).stages[0]  # which keeps its blocks of rows for all iterations
     model = PipelineModel([*_features(), fitted])
     tested = fitted.transform(unknown.where("kept_out")).select(vector_to_array("probability").alias("p"))
@@ -202,13 +219,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_pa
     """
     lines = featured(paragraphs(docs, id_col, text_col))
     model, families, threshold = train(lines, fit_paragraphs)
-    columns = ["id", "mark", "place", "words", "features"]
-    found = PipelineModel(model.stages[:-1]).transform(notices(docs, id_col, text_col)).select(*columns)
+    columns = ["id", "mark", "place", "held", "features"]
+    found = PipelineModel(model.stages[:-1]).transform(notices(docs, id_col, text_col).withColumn("held", _held(F.col("words")))).select(*columns)
     judged = model.stages[-1].transform(lines.select(*columns).union(found)).withColumn("p", vector_to_array("probability"))
     judged = judged.withColumn("probability", F.array_max(F.slice("p", 2, len(families) - 1))).where(F.col("probability") > threshold)
     names = F.array(*[F.lit(f) for f in families])
     judged = judged.withColumn("family", F.get(names, F.array_position("p", F.col("probability")).cast("int") - 1))
-    share = template_match(F.col("words"), F.col("family"))
+    share = template_match(F.col("held"), F.col("family"))
     return judged.select("id", "mark", F.col("place").alias("paragraph"), "family", "probability", share.alias("template_share")).withColumn(
         "confirmed", F.col("template_share") >= CONFIRM
     )
