@@ -12,8 +12,11 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from dueday.catalog import training
+from dueday.catalog.base import result
 from dueday.functions.trees import tree_shapley
 from dueday.operators import curves, explain, models, prepare
+from dueday.plans.stages import TARGETS, tuned_thresholds
 from dueday.session import materialize, scratch_path
 
 
@@ -270,3 +273,15 @@ def test_sample_is_repeatable(spark, prepared):
     every = sorted((r.snapshot_id for r in prepared.collect()), key=digest)
     for n in (0, 1, 25, 1199, 1200, 5000):
         assert sorted(r.snapshot_id for r in prepare.sample_rows(prepared, n).collect()) == sorted(every[:n])
+
+
+# --- the training queries do the whole job
+
+
+def test_scored_table_uses_tuned_thresholds(data):
+    got = materialize(result("scored_table", data), "scored-table")
+    tuned = {(r.target, r.model): r.optimal_threshold for r in tuned_thresholds(training.scored(data)).collect()}
+    rows = got.select("target", "model", "y_prob", "threshold", "y_pred_05", "y_pred_optimal").collect()
+    assert len(tuned) == 4 and all(r.threshold == pytest.approx(tuned[r.target, r.model]) for r in rows)
+    assert all(r.y_pred_optimal == (r.y_prob >= r.threshold) and r.y_pred_05 == (r.y_prob >= 0.5) for r in rows)
+    assert any(r.y_pred_optimal != r.y_pred_05 for r in rows)
