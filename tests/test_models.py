@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dueday.catalog import training
 from dueday.catalog.base import result
+from dueday.functions import trees
 from dueday.functions.trees import tree_shapley
 from dueday.operators import curves, explain, models, prepare
 from dueday.plans.stages import TARGETS, tuned_thresholds
@@ -224,6 +225,18 @@ def test_attributions_add_up(request, prepared, name, column):
             assert sums[r.snapshot_id] == pytest.approx(r.v, abs=1e-9)
 
 
+@pytest.mark.parametrize("name, column", [("forest", "probability"), ("boosted", "rawPrediction")])
+def test_attributions_of_all_rows(request, prepared, name, column):
+    model = request.getfixturevalue(name)
+    got = materialize(explain.tree_attribution(model, prepared, n_rows=None), "toy-attributions")
+    sums = {r.snapshot_id: r.s for r in got.groupBy("snapshot_id").agg(F.sum("attribution").alias("s")).collect()}
+    out = model.transform(prepared).select("snapshot_id", vector_to_array(column)[1].alias("v")).collect()
+    assert {r.snapshot_id: r.v for r in out} == pytest.approx(sums, abs=1e-9) and len(sums) == 1200
+    some = explain.tree_attribution(model, prepared, n_rows=20).collect()
+    every = {(r.snapshot_id, r.feature_index): r.attribution for r in got.collect()}
+    assert all(every.get((r.snapshot_id, r.feature_index), 0.0) == pytest.approx(r.attribution, abs=1e-9) for r in some)
+
+
 def test_unused_feature_has_no_importance(forest, prepared, pre):
     got = explain.tree_attribution(forest, prepared, n_rows=10)
     mean = explain.mean_abs_attribution(got, [*pre.feature_names, "never"])
@@ -233,8 +246,10 @@ def test_unused_feature_has_no_importance(forest, prepared, pre):
     assert {ranked[0].feature, ranked[1].feature} == {"a", "b"}
 
 
-def test_shapley_values_equal_the_definition():
+@pytest.mark.parametrize("most", [16, 0])
+def test_shapley_values_equal_the_definition(monkeypatch, most):
     """Two features, one of them tested twice on a path."""
+    monkeypatch.setattr(trees, "MOST_CODES", most)
     tree = pd.DataFrame(
         {
             "feature": [0, 1, 0, -1, -1, -1, -1], "threshold": [5.0, 2.0, 8.0, 0, 0, 0, 0],
@@ -278,6 +293,14 @@ def test_sample_is_repeatable(spark, prepared):
 # --- the training queries do the whole job
 
 
+def test_importance_is_of_all_test_rows(data, monkeypatch):
+    asked, of = [], explain.tree_attribution
+    monkeypatch.setattr(explain, "tree_attribution", lambda *a, **p: asked.append(materialize(of(*a, **p), "asked")) or asked[-1])
+    assert result("top_features", data).count() == 40
+    rows = [training.trained(data, t).split("test").count() for t in TARGETS for _ in range(2)]
+    assert min(rows) > 100 and [df.select("snapshot_id").distinct().count() for df in asked] == rows
+
+
 def test_scored_table_uses_tuned_thresholds(data):
     got = materialize(result("scored_table", data), "scored-table")
     tuned = {(r.target, r.model): r.optimal_threshold for r in tuned_thresholds(training.scored(data)).collect()}
