@@ -158,6 +158,25 @@ def test_early_stopping(spark, prepared):
     assert all(judged[r] == pytest.approx(twin[r]) for r in judged)
 
 
+def test_rounds_are_fitted_as_long_as_they_may_gain(spark, prepared, monkeypatch):
+    """The model is the one that all rounds would give, without fitting all of them."""
+    fitted, fit = [], models.fit_gb
+    monkeypatch.setattr(models, "fit_gb", lambda *a, **p: fitted.append(p["maxIter"]) or fit(*a, **p))
+    scores = {1: 0.3, 2: 0.2, 3: 0.4, 4: 0.5, 5: 0.1, 6: 0.1, 7: 0.9}
+    judged = spark.createDataFrame([], "rounds int, pr_auc double")
+
+    def judge(margins, by, score):
+        own = [r.rounds for r in margins.select("rounds").distinct().collect()]
+        return judged.union(spark.createDataFrame([(r, scores[r]) for r in own], judged.schema))
+
+    monkeypatch.setattr(models, "average_precision", judge)
+    model, history = models.train_gb(prepared, prepared, maxIter=40, maxDepth=2, patience=2)
+    assert fitted == [4, 8] and model.getNumTrees == 4
+    assert sorted(r.rounds for r in history.collect()) == [1, 2, 3, 4, 5, 6]
+    whole = models.prefix_model(fit(prepared, maxIter=8, maxDepth=2), 4, spark)
+    assert model.toDebugString.split("\n")[1:] == whole.toDebugString.split("\n")[1:]
+
+
 def test_boosting_on_parts_shares_the_pooled_weight(prepared):
     parted = materialize(models.stratified_partition(prepared, 2), "toy-parts")
     local = models.train_parts_gb(parted, 2, maxIter=3, maxDepth=2)
@@ -293,6 +312,26 @@ def test_sample_is_repeatable(spark, prepared):
 # --- the training queries do the whole job
 
 
+def test_queries_train_with_full_settings(data):
+    for target in TARGETS:
+        found = training.trained(data, target)
+        assert (found.rf.getNumTrees, found.rf.getOrDefault("maxDepth"), found.rf.getOrDefault("minInstancesPerNode")) == (300, 15, 100)
+        last = max(r.rounds for r in found.rounds.select("rounds").collect())
+        assert found.gb.getOrDefault("maxDepth") == 6 and (last == 1000 or last - found.gb.getNumTrees >= 50)
+
+
+def test_parts_are_trained_with_full_settings(data, monkeypatch):
+    """Fits are replaced by the pooled models; only what is asked of them counts here."""
+    pooled, asked = training.trained(data), []
+    monkeypatch.setattr(models, "train_rf", lambda df, **p: asked.append({**models.RF_PARAMS, **p}) or pooled.rf)
+    monkeypatch.setattr(models, "fit_gb", lambda df, weight=None, **p: asked.append({**models.GB_PARAMS, **p}) or pooled.gb)
+    got = result("fit_per_partition", data)
+    assert sorted({r.client for r in got.select("client").collect()}) == ["all", *(f"client_{k}" for k in range(1, 6))]
+    forests, boosted = ([p for p in asked if key in p] for key in ("numTrees", "maxIter"))
+    assert [(p["numTrees"], p["maxDepth"]) for p in forests] == [(60, 15)] * 10
+    assert [(p["maxIter"], p["maxDepth"]) for p in boosted] == [(200, 6)] * 10
+
+
 def test_importance_is_of_all_test_rows(data, monkeypatch):
     asked, of = [], explain.tree_attribution
     monkeypatch.setattr(explain, "tree_attribution", lambda *a, **p: asked.append(materialize(of(*a, **p), "asked")) or asked[-1])
