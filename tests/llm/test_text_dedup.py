@@ -161,3 +161,20 @@ def test_bit_tables_of_few_texts_are_small(spark, monkeypatch):
     found = near_duplicates(documents(spark, rows)).collect()
     assert {r.doc_id: r.component_id for r in found} == {k: 1 if k % 2 else k for k in range(40)}
     assert made[0].any() and made[0].nbytes <= 1 << 18
+
+
+def test_blocks_hold_what_may_link_and_postings_one_of_equal_texts(spark, monkeypatch):
+    """Texts that share a passage but can reach no other, and copies, do not travel."""
+    word = lambda k, i: f"w{k}x{i}"
+    passage = [word("p", i) for i in range(12)]
+    rows = [(k, " ".join([*passage, *(word(k, i) for i in range(100))])) for k in range(6)]
+    near = [word("n", i) for i in range(112)]
+    rows += [(10, " ".join(near)), (11, " ".join([*near[:-1], "other"])), *((100 + k, " ".join(near)) for k in range(20))]
+    written, write, asked, postings = {}, jaccard.materialize, [], jaccard._postings
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    monkeypatch.setattr(jaccard, "_postings", lambda docs, *a: asked.append(docs) or postings(docs, *a))
+    found = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, rows)).collect()}
+    assert found == {k: k if k < 10 else 10 for k, _ in rows}
+    block = written["blocks"].collect()
+    assert sum(len(r.nodes) // 8 for r in block) == 2 and sum(len(r.tokens) // 8 for r in block) < 2 * 108
+    assert asked[0].count() == 8
